@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterloom.operators import badrows, gridfill, hotkeys
+from meterloom.operators import badrows, gridfill, hotkeys, spikes
 from meterloom.sources.tables import table
 
 HOT_SHARE = 0.03
@@ -73,6 +73,20 @@ def p4_loaded(spark: SparkSession, d: str) -> DataFrame:
     return a.unionByName(b)
 
 
+def _flags(spark: SparkSession, d: str) -> DataFrame:
+    readings = gridfill.gauge_readings(table(spark, d, "binary_out_prefix"), table(spark, d, "binary_sink"))
+    return spikes.flag_records(readings, table(spark, d, "gauge_kinds"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return _flags(spark, d).select("rec_id")
+
+
+def p5_reasons(spark: SparkSession, d: str) -> DataFrame:
+    """Every implausible record with the reason."""
+    return _flags(spark, d)
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_grid": p2_grid,
@@ -81,6 +95,8 @@ QUERIES = {
     "p4_found": p4_found,
     "p4_reasons": p4_reasons,
     "p4_loaded": p4_loaded,
+    "p5_found": p5_found,
+    "p5_reasons": p5_reasons,
 }
 
 _READINGS = """
