@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meterloom.llm import encoding_queries, leak_queries, packing_queries
+from meterloom.llm import bitmap_queries, encoding_queries, leak_queries, packing_queries
 
-_MODULES = [packing_queries, leak_queries, encoding_queries]
+_MODULES = [bitmap_queries, packing_queries, leak_queries, encoding_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
