@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meterloom.plans import data_quality
+from meterloom.plans import data_quality, metrics, sink_queries
 
-_MODULES = [data_quality]
+_MODULES = [metrics, sink_queries, data_quality]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,4 +20,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return data_quality.p3_found(spark, sf_dir)
+    return metrics.flush_messages(spark, sf_dir)
