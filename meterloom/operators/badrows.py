@@ -20,6 +20,7 @@ import io
 import re
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.csv as pacsv
@@ -30,7 +31,7 @@ TYPES = ("kv", "g", "c", "ms", "h", "s")
 RATED = ("c", "ms", "h")
 NUMBER = r"[+-]?[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?"
 _NUMBER = re.compile(NUMBER)
-_SEP, _ABSENT = "\x1f", "~"
+_SEP, _ABSENT = "\x1f", "\x1e~\x1e"
 #: One joined record: name, type, value, rate. The name must show a visible ASCII character here; other names go the strict way.
 _RECORD = (
     rf"^[^:{_SEP}]*[!-9;-~][^:{_SEP}]*{_SEP}"
@@ -140,9 +141,8 @@ def _strict_line(row_id, line) -> tuple:
 
 
 def _joined(name: pa.Array, value: pa.Array, kind: pa.Array, rate: pa.Array) -> pa.Array:
-    """One text per record for the grammar; null where a field that must exist is null or an absent rate isn't null."""
-    rates = pc.if_else(pc.equal(rate, ""), None, pc.fill_null(rate, _ABSENT))
-    return pc.binary_join_element_wise(name, kind, value, rates, _SEP)
+    """One text per record for the grammar; null where a field that must exist is null."""
+    return pc.binary_join_element_wise(name, kind, value, pc.fill_null(rate, _ABSENT), _SEP)
 
 
 def _bulk(joined: pa.Array, row_id: pa.Array, name: pa.Array, value: pa.Array, kind: pa.Array, rate: pa.Array, rejects_only: bool):
@@ -150,18 +150,24 @@ def _bulk(joined: pa.Array, row_id: pa.Array, name: pa.Array, value: pa.Array, k
     if joined.null_count or pc.all(pc.match_substring_regex(joined, _RECORD)).as_py() is False:
         return None
     is_set = pc.equal(kind, "s")
-    number = pc.cast(pc.if_else(is_set, None, value), pa.float64())
-    factor = pc.cast(pc.fill_null(rate, "1"), pa.float64())
-    if pc.all(pc.is_finite(number)).as_py() is False:
+    try:
+        numbers = pc.cast(value.filter(pc.invert(is_set)), pa.float64())
+        factor = pc.cast(pc.fill_null(rate, "1"), pa.float64())
+    except pa.ArrowInvalid:
+        return None
+    if pc.all(pc.is_finite(numbers)).as_py() is False:
         return None
     span = pc.min_max(factor).as_py()
     if span["min"] is not None and not (0 < span["min"] and span["max"] <= 1):
         return None
     if rejects_only:
         return True
-    return pa.RecordBatch.from_arrays(
-        [row_id, pa.nulls(len(row_id), pa.string()), name, kind, number, pc.if_else(is_set, value, None), factor], schema=_OUT
-    )
+    n = len(row_id)
+    sets = is_set.to_numpy(zero_copy_only=False)
+    spread = np.zeros(n)
+    spread[~sets] = numbers.to_numpy(zero_copy_only=False)
+    member = value.take(pa.array(np.arange(n), mask=~sets))
+    return pa.RecordBatch.from_arrays([row_id, pa.nulls(n, pa.string()), name, kind, pa.array(spread, mask=sets), member, factor], schema=_OUT)
 
 
 def _bulk_lines(row_id: pa.Array, line: pa.Array, rejects_only: bool):
@@ -180,7 +186,7 @@ def _bulk_lines(row_id: pa.Array, line: pa.Array, rejects_only: bool):
     if t.num_rows != len(row_id):
         return None
     c = {x: t[x].combine_chunks() for x in names}
-    rate = pc.if_else(pc.equal(c["rate"], ""), None, c["rate"])
+    rate = pa.array([x or None for x in c["rate"].to_pylist()], pa.string())
     return _bulk(_joined(c["name"], c["value"], c["type"], rate), row_id, c["name"], c["value"], c["type"], rate, rejects_only)
 
 

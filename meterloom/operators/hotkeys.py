@@ -37,7 +37,8 @@ def candidates(df: DataFrame, key: str, share: float) -> DataFrame:
         .groupBy("_lane")
         .agg(F.expr(f"approx_top_k_accumulate(hot_key, {tracked})").alias("_sketch"))
     )
-    merged = lanes.agg(F.expr(f"approx_top_k_combine(_sketch, {tracked})").alias("_sketch"))
+    # grouped by a constant: without lanes there is nothing to combine
+    merged = lanes.groupBy(F.lit(1).alias("_all")).agg(F.expr(f"approx_top_k_combine(_sketch, {tracked})").alias("_sketch"))
     return merged.select(F.explode(F.expr(f"approx_top_k_estimate(_sketch, {top})")).alias("_it")).select("_it.item").toDF("hot_key")
 
 

@@ -73,7 +73,8 @@ def chart(v: np.ndarray, p: ChartParams, frozen: np.ndarray) -> np.ndarray:
     # the source's step: the smallest of scales it may shrink to; the median of its non-zero steps is robust against spikes
     typical = float(np.median(d)) * 1.0483
     floor = 0.35 * typical
-    least = p.tail * float(np.quantile(d, 0.96))
+    # steps beyond 25 typical ones belong to spikes, which in a short series would be a large share
+    least = p.tail * float(np.quantile(d[d <= 25 * typical], 0.96))
     head = finite[: p.warm_up]
     level = float(np.nanmedian(head)) if not np.isnan(head).all() else float(np.nanmedian(finite))
     scale = max(floor, typical)
