@@ -267,14 +267,14 @@ def pack(documents: DataFrame, params: PackParams = PackParams()) -> DataFrame:
     while n:
         n_blocks = max(1, -(-n // p.block_items))
         solved = solve_blocks(items, n_blocks, level, p).checkpoint()
-        container = F.concat_ws("-", F.lit(f"l{level}"), "block", "bin")
-        if n_blocks == 1:
-            done.append(solved.select("doc_id", "piece", "size", container.alias("container")))
+        solved = solved.withColumn("container", F.concat_ws("-", F.lit(f"l{level}"), "block", "bin"))
+        left = solved.where("open").count() if n_blocks > 1 else 0
+        # each level must halve what is left; small blocks of tiny items could go round for ever
+        again = 0 < 2 * left <= n
+        done.append((solved.where(~F.col("open")) if again else solved).select("doc_id", "piece", "size", "container"))
+        if not again:
             break
-        done.append(solved.where(~F.col("open")).select("doc_id", "piece", "size", container.alias("container")))
-        items = solved.where("open").select("doc_id", "piece", "size")
-        n = items.count()
-        level += 1
+        items, n, level = solved.where("open").select("doc_id", "piece", "size"), left, level + 1
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
