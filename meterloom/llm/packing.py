@@ -41,6 +41,7 @@ class PackParams:
     population: int = 8
     children: int = 60  # crossovers per island and round
     well_filled: float = 0.998
+    task_states: int = 4  # islands that one task evolves
     open_bins: int = 2  # least filled containers of a block whose items are dealt anew
     seed: int = 17
 
@@ -202,13 +203,19 @@ def _round(state: DataFrame, p: PackParams, number: int) -> DataFrame:
     return state.select("block", "island", "items", "genomes").mapInArrow(run, _STATE)
 
 
-def _migrate(state: DataFrame, p: PackParams) -> DataFrame:
+def _spread(state: DataFrame, n_tasks: int) -> DataFrame:
+    """The islands of one block in different tasks. A fixed number of tasks: the rows are few and small, but each takes
+    long, so tasks must not be merged by their size."""
+    return state.repartition(n_tasks, "block", "island")
+
+
+def _migrate(state: DataFrame, p: PackParams, n_tasks: int) -> DataFrame:
     """Every island keeps its own genomes and gets the best one of the island before it."""
     own = F.struct(F.col("island").alias("to"), F.col("items").alias("items"), F.col("genomes").alias("genomes"))
     next_island = F.pmod(F.col("island") + 1, F.lit(p.islands)).cast("int")
     guest = F.struct(next_island.alias("to"), F.lit(None).cast(_ITEMS).alias("items"), F.slice("genomes", 1, 1).alias("genomes"))
-    moved = state.select("block", F.explode(F.array(own, guest)).alias("x")).select("block", "x.*")
-    return moved.groupBy("block", F.col("to").alias("island")).agg(
+    moved = state.select("block", F.explode(F.array(own, guest)).alias("x")).select("block", F.col("x.to").alias("island"), "x.items", "x.genomes")
+    return _spread(moved, n_tasks).groupBy("block", "island").agg(
         F.first("items", ignorenulls=True).alias("items"), F.flatten(F.collect_list("genomes")).alias("genomes")
     )
 
@@ -219,10 +226,10 @@ def solve_blocks(items: DataFrame, n_blocks: int, level: int, p: PackParams) ->
     blocks = dealt.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("doc_id", "piece", "size"))).alias("items"))
     islands = F.explode(F.sequence(F.lit(0), F.lit(p.islands - 1))).alias("island")
     state = blocks.select("block", islands, "items", F.lit(None).cast("array<binary>").alias("genomes"))
-    # an exchange by island: the islands of one block run in different tasks
-    state = _round(state.repartition("block", "island"), p, level * 1000)
+    n_tasks = max(1, -(-n_blocks * p.islands // p.task_states))
+    state = _round(_spread(state, n_tasks), p, level * 1000)
     for r in range(1, p.rounds):
-        state = _round(_migrate(state, p), p, level * 1000 + r)
+        state = _round(_migrate(state, p, n_tasks), p, level * 1000 + r)
     best = state.groupBy("block").agg(F.max_by(F.struct("items", F.element_at("genomes", 1).alias("genome")), F.struct("fitness", "island")).alias("b"))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
