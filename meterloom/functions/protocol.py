@@ -41,28 +41,28 @@ def effective_rate(rate: Column, number: Column) -> Column:
 
 
 def to_samples(messages: DataFrame, name: str = "name", raw: str = "raw", kind: str = "type", rate: str = "rate") -> DataFrame:
-    """Typed samples of tokenised messages; extra columns other than seq and ts are dropped."""
+    """Typed samples of tokenised messages; extra columns other than seq and ts are dropped.
+
+    The type is a plain projection below the generator that parses numbers, so a filter on it, such as every aggregate
+    has, is applied before any number is parsed.
+    """
     t, v, r = F.col(kind), F.col(raw), F.col(rate)
-    is_set = t == "s"
     keep = [c for c in ("seq", "ts") if c in messages.columns]
     out_type = F.when(t == "h", "ms").when((t == "g") & v.rlike(r"\A[+-]"), "gd").otherwise(t)
-    x = messages.select(
-        *keep,
-        F.col(name).alias("name"),
-        bind(out_type.alias("type"), F.when(is_set, v).alias("member"), r.alias("rate"), number_parts(F.when(~is_set, v)).alias("v"), number_parts(r).alias("r")).alias("_b"),
-    )
-    rated = F.col("_b.type").isin("c", "ms")
+    x = messages.select(*keep, F.col(name).alias("name"), out_type.alias("type"), v.alias("_v"), r.alias("_r"))
+    is_set, rated = F.col("type") == "s", F.col("type").isin("c", "ms")
+    x = x.select(*keep, "name", "type", bind(F.col("_v"), F.col("_r"), number_parts(F.when(~is_set, F.col("_v"))).alias("v"), number_parts(F.when(rated, F.col("_r"))).alias("r")).alias("_b"))
     x = x.select(
         *keep,
         "name",
+        "type",
         bind(
-            F.col("_b.type").alias("type"),
-            F.col("_b.member").alias("member"),
+            F.when(is_set, F.col("_b._v")).alias("member"),
             number_of(F.col("_b.v")).alias("value"),
-            F.when(rated, effective_rate(F.col("_b.rate"), number_of(F.col("_b.r")))).otherwise(F.lit(1.0)).alias("sample_rate"),
+            F.when(rated, effective_rate(F.col("_b._r"), number_of(F.col("_b.r")))).otherwise(F.lit(1.0)).alias("sample_rate"),
         ).alias("_b"),
     )
-    x = x.select(*keep, "_b.type", "name", "_b.value", "_b.member", "_b.sample_rate")
+    x = x.select(*keep, "type", "name", "_b.value", "_b.member", "_b.sample_rate")
     return x.where(F.col("sample_rate").isNotNull() & (F.col("value").isNotNull() | (F.col("type") == "s") & F.col("member").isNotNull()))
 
 

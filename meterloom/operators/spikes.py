@@ -224,6 +224,7 @@ def _limits(kinds: DataFrame) -> dict[str, tuple[float, float]]:
 
 def flag_records(readings: DataFrame, kinds: DataFrame, params: ChartParams = ChartParams()) -> DataFrame:
     """(rec_id, reason): every delivered record of an implausible reading."""
+    readings = readings.select("rec_id", "key", "ts", "val")
     flags = flag_readings(readings, kinds, params)
     alone = flags.where("copies = 1").select("rec_id", "reason")
     several = flags.where("copies > 1").select(F.col("key").alias("_k"), F.col("ts").alias("_t"), F.col("val").alias("_v"), "reason")
