@@ -12,6 +12,9 @@ most frequent word of the corpus that fits.
 Statistics cover every word of every document. Words are judged once each, not once per document, and meet the documents
 again by a join; only the character table (at most one row per code point) is collected.
 
+A lone letter where the corpus has a symbol a hundred times as often counts as damage, so a letter that stands alone for
+good reason, but hardly ever, may be taken for damage; lone symbols are never judged by counts.
+
 Defined cases: null or empty texts hold no damage; repeated documents are each found; a message whose damage can't be
 undone is still found, and its text stays; an empty table gives no rows; extra columns are ignored.
 """
@@ -32,6 +35,8 @@ from meterloom.session import checkpoint_dir
 
 LOST = "�"
 WORD = re.compile("[A-Za-z]*(?:[^\x00-\x7f\xa0  　]\xa0?[A-Za-z]*)+")
+#: A lone character beyond ASCII before a digit or a blank; at a line's end it may be what is left of a cut word.
+SYMBOL = re.compile("(?<![A-Za-z\x80-\U0010ffff])([^\x00-\x7f\xa0\u2028\u2029\u3000\ufffd])([0-9 ])")
 #: Encodings that bytes may have been taken for, and encodings they may have been in.
 TAKEN_FOR = ("cp1252", "cp1250", "cp1251", "cp437", "cp850", "mac_roman", "cp1253", "cp1254", "cp1257", "koi8_r", "cp866", "cp852", "iso8859_2", "iso8859_5")
 WERE_IN = ("cp1252", "cp1250", "cp1251", "mac_roman", "cp437", "cp850", "koi8_r", "cp1253", "iso8859_2", "cp866", "cp852")
@@ -45,6 +50,7 @@ class EncodingParams:
     slack: float = 6.0  # log-likelihood by which a one-byte reading may fall behind before word counts are asked
     word_docs: int = 5  # documents that must hold a one-byte reading
     ratio: float = 4.0  # and how many times more than the word as it stands
+    symbol_ratio: float = 100.0  # the same for a lone letter that reads as a symbol
     passes: int = 4
 
 
@@ -178,6 +184,11 @@ class Channel:
         return sorted(x for x in out if re.search("[A-Za-z]", x))
 
 
+def symbol_word(m: re.Match) -> str:
+    """A lone character with its neighbour, all digits alike."""
+    return m[1] + ("0" if m[2] != " " else " ")
+
+
 def words_per_document(documents: DataFrame) -> DataFrame:
     """(doc_id, word): the different words beyond ASCII of each document, transfer encodings undone."""
 
@@ -189,7 +200,9 @@ def words_per_document(documents: DataFrame) -> DataFrame:
                 t = text.as_py()
                 if not t:
                     continue
-                found = set(WORD.findall(mail.undo_transfer(t)))
+                t = mail.undo_transfer(t)
+                found = set(WORD.findall(t)) if not t.isascii() else set()
+                found |= {symbol_word(m) for m in SYMBOL.finditer(t)} if found else set()
                 ids += [doc_id] * len(found)
                 words += found
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(words, pa.string())], names=["doc_id", "word"])
@@ -228,7 +241,9 @@ def damaged_words(vocab: DataFrame, params: EncodingParams = EncodingParams()) -
                     continue
                 if C1.search(word):
                     rows.append((word, n, "control", None))
-                rows += [(word, n, "byte", r) for r in ch.byte_readings(word)]
+                how = "byte" if word[-1] not in "0 " else "symbol"
+                if how == "byte" or word[0].isalpha():
+                    rows += [(word, n, how, r) for r in ch.byte_readings(word) if how == "byte" or not r[0].isalpha()]
                 rows += [(word, n, "mask", m) for m in ch.wildcard_masks(word)]
             cols = list(zip(*rows)) or [[]] * 4
             yield pa.RecordBatch.from_arrays(
@@ -241,8 +256,9 @@ def damaged_words(vocab: DataFrame, params: EncodingParams = EncodingParams()) -
     p = params
     # one-byte confusions: the reading must be a frequent word
     counts = vocab.groupBy(F.lower("word").alias("_w")).agg(F.sum("n").alias("_n"))
-    byte = judged.where("how = 'byte'").join(counts, F.lower("reading") == F.col("_w"))
-    byte = byte.where((F.col("_n") >= p.word_docs) & (F.col("_n") >= p.ratio * F.col("n")))
+    byte = judged.where("how in ('byte', 'symbol')").join(counts, F.lower("reading") == F.col("_w"))
+    times = F.when(F.col("how") == "symbol", p.symbol_ratio).otherwise(p.ratio)
+    byte = byte.where((F.col("_n") >= p.word_docs) & (F.col("_n") >= times * F.col("n")))
     byte = byte.groupBy("word").agg(F.max_by("reading", F.struct("_n", "reading")).alias("restored")).withColumn("how", F.lit("byte"))
     # wildcards: the most frequent word that fits the pattern
     masks = (
@@ -284,7 +300,8 @@ def restore(documents: DataFrame, params: EncodingParams = EncodingParams()) ->
             out = []
             for text, pairs in zip(b["text"], b["fixes"]):
                 by = {x["word"]: x["restored"] for x in pairs.as_py() or []}
-                out.append(WORD.sub(lambda m, by=by: by.get(m[0], m[0]), mail.undo_transfer(text.as_py())))
+                t = WORD.sub(lambda m, by=by: by.get(m[0], m[0]), mail.undo_transfer(text.as_py()))
+                out.append(SYMBOL.sub(lambda m, by=by: by.get(symbol_word(m), m[1])[0] + m[2], t))
             yield pa.RecordBatch.from_arrays(
                 [b["doc_id"], pa.array(out, pa.string()), b["n_restored"], b["n_left"]], names=["doc_id", "restored_text", "n_restored", "n_left"]
             )

@@ -50,15 +50,24 @@ def test_damage_of_every_kind(spark):
 
 
 def test_correct_text_is_no_case(spark):
-    texts = corpus() + [
+    decoys = [
         "AÇÃO, LIÇÃO, IRMÃ. © ® ™ ° ¬ ¦", "├── depot\n│   └── plan.txt", "∑ = √(a² + b²) ± ½, ∂f/∂x ≈ 3·10⁻⁴", "Ð og Þ eru íslenskir stafir; Ægir á að læra þá.",
         "Тест: ПРОВЕРКА СВЯЗИ — «ёлка», № 5.", "ΑΒΓ: η ώρα είναι 5 μ.μ.", "Âme, âge, pâte, ÊTRE, Åre", "次の会議は静かに点検されます。", "Grüß\xa0 Gott", "d’été à l’élève", None, "", "ascii only",
         "Subject: =?UTF-8?B?Q2Fmw6k=?=", "Content-Transfer-Encoding: quoted-printable\n\ncaf=C3=A9",
     ]
-    _, found = find(spark, texts)
+    # as often as rare but correct text is in a corpus
+    _, found = find(spark, corpus() + decoys * 3)
     assert found == {}
 
 
+def test_lone_letters_for_symbols(spark):
+    base = [f"{t} • one – two £5" for t in corpus()]
+    _, found = find(spark, [*base, "ò one û two ú7", "um été"])
+    assert found == {(400, "ò "): "• ", (400, "û "): "– ", (400, "ú0"): "£0"}
+    df = spark.createDataFrame(list(enumerate([*base, "ò one û two ú7"])), "doc_id bigint, text string")
+    assert enc.restore(df).first().restored_text == "• one – two £7"
+
+
 def test_damage_inside_a_transfer_encoding(spark):
     texts = [*corpus(), "Content-Transfer-Encoding: quoted-printable\n\ncaf=C3=83=C2=A9"]
     _, found = find(spark, texts)
