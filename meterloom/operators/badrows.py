@@ -37,7 +37,8 @@ _RECORD = (
     rf"^[^:{_SEP}]*[!-9;-~][^:{_SEP}]*{_SEP}"
     rf"(?:s{_SEP}[^|{_SEP}]+{_SEP}{_ABSENT}|(?:kv|g){_SEP}{NUMBER}{_SEP}{_ABSENT}|(?:c|ms|h){_SEP}{NUMBER}{_SEP}(?:{NUMBER}|{_ABSENT}))$"
 )
-_FIELD = r'(?:"(?:[^"]|"")*"|[^",]*)'
+#: An unquoted field with a line break is left to the strict parser, as the bulk parser would end the line there.
+_FIELD = r'(?:"(?:[^"]|"")*"|[^",\r\n]*)'
 _LINE = rf'^(?:"[0-9]+"|[0-9]+)(?:,{_FIELD}){{4}}$'
 
 OUT_SCHEMA = "row_id bigint, reason string, name string, type string, number double, member string, rate double"
