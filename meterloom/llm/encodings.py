@@ -34,7 +34,7 @@ from meterloom.llm import mail
 from meterloom.session import checkpoint_dir
 
 LOST = "�"
-WORD = re.compile("[A-Za-z]*(?:[^\x00-\x7f\xa0  　]\xa0?[A-Za-z]*)+")
+WORD = re.compile("(?<![A-Za-z])[A-Za-z]*+(?:[^\x00-\x7f\xa0  　]\xa0?[A-Za-z]*)+")
 #: A lone character beyond ASCII before a digit or a blank; at a line's end it may be what is left of a cut word.
 SYMBOL = re.compile("(?<![A-Za-z\x80-\U0010ffff])([^\x00-\x7f\xa0\u2028\u2029\u3000\ufffd])([0-9 ])")
 #: Encodings that bytes may have been taken for, and encodings they may have been in.
@@ -201,8 +201,11 @@ def words_per_document(documents: DataFrame) -> DataFrame:
                 if not t:
                     continue
                 t = mail.undo_transfer(t)
-                found = set(WORD.findall(t)) if not t.isascii() else set()
-                found |= {symbol_word(m) for m in SYMBOL.finditer(t)} if found else set()
+                if t.isascii():
+                    continue
+                # most lines are plain ASCII and need no pattern
+                t = "\n".join([x for x in t.split("\n") if not x.isascii()])
+                found = set(WORD.findall(t)) | {symbol_word(m) for m in SYMBOL.finditer(t)}
                 ids += [doc_id] * len(found)
                 words += found
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(words, pa.string())], names=["doc_id", "word"])
