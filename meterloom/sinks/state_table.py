@@ -6,7 +6,9 @@ counters, sums and counts add up and extremes combine, statistics that are absen
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Value type of binary records to state column; fixed values. Percentiles (128 + p) go to the map `percentiles`.
@@ -14,12 +16,17 @@ STATS = {0: "kv", 1: "sum", 2: "sumsqrt", 3: "mean", 4: "count", 5: "stddev", 6:
 TYPES = {1: "kv", 2: "counter", 3: "timer", 4: "set", 5: "gauge"}
 
 
+STATE_SCHEMA = (
+    "key string, ts bigint, type string, kv double, sum double, sumsqrt double, mean double, count double, stddev double, min double, max double, percentiles map<string,double>"
+)
+
+
 def collect_state(recs: DataFrame) -> DataFrame:
     """(key, ts, type, kv, sum, sumsqrt, mean, count, stddev, min, max, percentiles) of decoded binary records."""
     order = F.struct("ts", *(["seq"] if "seq" in recs.columns else []))
     kinds = F.create_map(*[F.lit(v) for kv in TYPES.items() for v in kv])
     is_p = (F.col("value_type") >= 128) & (F.col("value_type") < 256)
-    pct = F.when(is_p, F.struct((F.col("value_type") - 128).cast("int").alias("k"), F.col("value").alias("v")))
+    pct = F.when(is_p, F.struct((F.col("value_type") - 128).cast("string").alias("k"), F.col("value").alias("v")))
     return recs.groupBy("key").agg(
         F.max("ts").alias("ts"),
         F.max_by(F.try_element_at(kinds, F.col("type").cast("int")), order).alias("type"),
@@ -47,3 +54,31 @@ def merge_state(old: DataFrame, new: DataFrame) -> DataFrame:
 
     rest = [c for c in new.columns if c != "key"]
     return o.join(n, F.col("o.key") == F.col("n.key"), "full_outer").select(F.coalesce("n.key", "o.key").alias("key"), *[pick(c) for c in rest])
+
+
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(where):
+        return []
+    names = (x.getPath().getName() for x in fs.listStatus(where))
+    return sorted(int(m[1]) for n in names if (m := re.fullmatch("version=([0-9]+)", n)))
+
+
+def load_state(spark: SparkSession, path: str, kind: str = "json", version: int | None = None) -> DataFrame | None:
+    """The kept state, the latest version unless told otherwise; None where there is none."""
+    found = _versions(spark, path)
+    if not found:
+        return None
+    return spark.read.schema(STATE_SCHEMA).format(kind).load(f"{path}/version={found[-1] if version is None else version}")
+
+
+def update_state(new: DataFrame, path: str, kind: str = "json") -> int:
+    """Merge a flush into the kept state and write it as the next version; readers of the old one are not disturbed."""
+    spark = new.sparkSession
+    old = load_state(spark, path, kind)
+    merged = new if old is None else merge_state(old, new)
+    version = (_versions(spark, path) or [0])[-1] + 1
+    merged.write.format(kind).save(f"{path}/version={version}")
+    return version

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import islice
+from typing import TextIO
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,3 +34,11 @@ def split_datagrams(datagrams: DataFrame, data: str = "data", order: str = "chun
     """(line, seq) of datagrams; a missing final newline is supplied by the split."""
     x = datagrams.select(F.col(order).alias("_no"), F.posexplode(F.split(F.col(data).cast("string"), "\n")).alias("_pos", "line"))
     return x.where("line <> ''").select("line", (F.col("_no") * F.lit(1 << 20) + F.col("_pos")).alias("seq"))
+
+
+def handle_lines(spark: SparkSession, handle: TextIO, size: int = 100_000) -> Iterator[DataFrame]:
+    """(line, seq) frames of at most `size` lines from an open text handle, such as standard input."""
+    seq = 0
+    while rows := [(line.rstrip("\n"), seq + i) for i, line in enumerate(islice(handle, size))]:
+        seq += len(rows)
+        yield spark.createDataFrame(rows, "line string, seq bigint")

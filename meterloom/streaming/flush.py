@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from meterloom.config import EngineConfig
 from meterloom.functions.protocol import parse_lines
 from meterloom.operators import emit
+from meterloom.sources import binary
 
 Sink = Callable[[DataFrame, int], object]
 
@@ -42,6 +43,22 @@ def start(samples: DataFrame, cfg: EngineConfig, sink: Sink, checkpoint: str, on
     return writer.start()
 
 
+def start_raw(chunks: DataFrame, cfg: EngineConfig, sink: Sink, checkpoint: str, once: bool = False) -> StreamingQuery:
+    """The same for a stream of received chunks (seq, data) of either protocol, as a listener gives them."""
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        chunks = batch.select(F.col("seq").alias("chunk_no"), "data").persist()
+        try:
+            samples = binary.parse_mixed(chunks).withColumn("seq", F.col("chunk_no") * F.lit(1 << 20) + F.col("pos"))
+            sink(flush_batch(samples.select("seq", "type", "name", "value", "member", "sample_rate"), cfg), batch_id)
+        finally:
+            chunks.unpersist()
+
+    writer = chunks.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
+    writer = writer.trigger(availableNow=True) if once else writer.trigger(processingTime=f"{cfg.flush_interval} seconds")
+    return writer.start()
+
+
 def start_lines(lines: DataFrame, cfg: EngineConfig, sink: Sink, checkpoint: str, once: bool = False) -> StreamingQuery:
     """The same for a stream of protocol lines."""
     return start(parse_lines(lines), cfg, sink, checkpoint, once)

@@ -145,7 +145,7 @@ def test_state_merge(spark):
     new = state_table.collect_state(spark.createDataFrame([(2, 2, 1, "c", 7.0), (2, 3, 6, "t", 4.0), (2, 3, 178, "t", 3.0), (2, 2, 6, "c", 3.0)], schema))
     got = {r.key: r for r in state_table.merge_state(old, new).collect()}
     assert (got["c"]["sum"], got["c"]["count"], got["c"]["min"], got["c"]["max"], got["c"].ts) == (12.0, 2.0, 1.0, None, 2)
-    assert got["t"]["min"] == 4.0 and got["t"].percentiles == {50: 3.0} and got["only"].kv == 9.0
+    assert got["t"]["min"] == 4.0 and got["t"].percentiles == {"50": 3.0} and got["only"].kv == 9.0
 
 
 def test_command_sink(spark, tmp_path):
@@ -160,3 +160,17 @@ def test_command_sink(spark, tmp_path):
     binary_cfg = EngineConfig(stream_cmd=f"cat > {out}", binary_stream=True)
     assert command.command_sink(binary_cfg)(emit.flush(s, binary_cfg, F.lit(7), binary=True), 4) == 0
     assert len(out.read_bytes()) == 3 * 20 + 6
+
+
+def test_state_versions(spark, tmp_path):
+    schema = "ts bigint, type int, value_type int, key string, value double"
+    path = str(tmp_path / "state")
+    assert state_table.load_state(spark, path) is None
+    for kind in ("json", "parquet"):
+        where = f"{path}-{kind}"
+        for ts, v in ((1, 5.0), (2, 7.0)):
+            new = state_table.collect_state(spark.createDataFrame([(ts, 2, 1, "c", v), (ts, 3, 178, "t", v)], schema))
+            assert state_table.update_state(new, where, kind) == ts
+        got = {r.key: r for r in state_table.load_state(spark, where, kind).collect()}
+        assert got["c"]["sum"] == 12.0 and got["t"].percentiles == {"50": 7.0}
+        assert {r.key: r["sum"] for r in state_table.load_state(spark, where, kind, 1).collect()}["c"] == 5.0

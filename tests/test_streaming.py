@@ -91,3 +91,22 @@ def test_listener_as_a_stream(spark, tmp_path):
     finally:
         q.stop()
     assert any(x and x[0].startswith("counts.foo|") for _, x in store)
+
+
+def test_chunks_of_both_protocols(spark, tmp_path):
+    from meterloom.sources import binary
+
+    path, store = str(tmp_path / "chunks"), []
+    rows = [(0, bytearray(b"a:1|c\ng:5|g")), (1, bytearray(binary.write_number(2, "a", 2.0) + binary.write_number(6, "g", -1.0))), (2, bytearray(b"\xaa\x09bad"))]
+    df = spark.createDataFrame(rows, "seq bigint, data binary")
+    df.write.parquet(path)
+    q = flush.start_raw(spark.readStream.schema(df.schema).parquet(path), EngineConfig(), collecting(store), str(tmp_path / "ck"), once=True)
+    assert q.awaitTermination(60)
+    assert [x for _, x in store] == [["counts.a|3.000000", "gauges.g|4.000000"]]
+
+
+def test_lines_of_a_handle(spark):
+    import io
+
+    frames = list(text.handle_lines(spark, io.StringIO("a:1|c\nb:2|g\nc:3|kv"), size=2))
+    assert [[(r.line, r.seq) for r in f.collect()] for f in frames] == [[("a:1|c", 0), ("b:2|g", 1)], [("c:3|kv", 2)]]
