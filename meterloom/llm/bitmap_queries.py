@@ -16,10 +16,9 @@ def p1_distinct_identifiers(spark: SparkSession, d: str) -> DataFrame:
 def p1_within_bound(spark: SparkSession, d: str) -> DataFrame:
     """The groups whose estimate lies within the stated bound (five identifiers allowed) of an exact count."""
     messages = table(spark, d, "ascii_parser")
-    exact = bitmaps.identifiers(messages).cube(*bitmaps.DIMS, "day").agg(
-        F.count_distinct("id").alias("exact"), F.grouping("day").alias("g"), F.grouping_id(*bitmaps.DIMS, "day").alias("gid")
-    )
-    exact = exact.where("g = 0")
+    ids = bitmaps.identifiers(messages)
+    groups = [[d for i, d in enumerate(bitmaps.DIMS) if keep >> i & 1] for keep in range(2 ** len(bitmaps.DIMS))]
+    exact = ids.groupingSets([[F.col("day"), *map(F.col, g)] for g in groups], "day", *bitmaps.DIMS).agg(F.count_distinct("id").alias("exact"))
     est = bitmaps.distinct_counts(messages)
     same = [est[c].eqNullSafe(exact[c]) for c in ("day", *bitmaps.DIMS)]
     on = same[0] & same[1] & same[2] & same[3]

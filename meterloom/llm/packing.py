@@ -8,7 +8,7 @@ every island moves to the next island of the block. What is left in a block's le
 one block holds it all, so that unused room does not grow with the number of blocks.
 
 Defined cases: a null or empty text has no tokens and comes out with a null container; equal texts are packed one by one;
-doc_id must be unique; an empty table gives no rows; no item is ever split, dropped or put in twice.
+rows with equal or null doc_id are packed one by one too; an empty table gives no rows; no item is ever split, dropped or put in twice.
 """
 
 from __future__ import annotations
@@ -264,8 +264,8 @@ def pack(documents: DataFrame, params: PackParams = PackParams()) -> DataFrame:
         .select("doc_id", "piece", F.least(cap, F.col("n_tokens") - F.col("piece") * cap).cast("int").alias("size"))
         .checkpoint()
     )
-    name = F.concat_ws("-", F.lit("full"), "doc_id", "piece")
-    whole = pieces.where(F.col("size") == cap).withColumn("container", name)
+    # numbered by place in the checkpoint, so that even rows without or with equal ids get containers of their own
+    whole = pieces.withColumn("container", F.concat(F.lit("full-"), F.monotonically_increasing_id())).where(F.col("size") == cap)
     none = pieces.where("size = 0").withColumn("container", F.lit(None).cast("string"))
     done = [whole, none]
     items = pieces.where((F.col("size") > 0) & (F.col("size") < cap))

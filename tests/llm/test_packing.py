@@ -68,6 +68,17 @@ def test_pack(spark, block_items):
     assert len(by_bin) <= least + 3
 
 
+@needs_vocab
+def test_equal_and_null_ids(spark):
+    df = spark.createDataFrame([(1, "word " * 5000), (1, "word " * 5000), (None, "word " * 5000), (None, "word " * 5000), (None, "a"), (1, "a")], "doc_id bigint, text string")
+    rows = packing.pack(df).collect()
+    fill = {}
+    for r in rows:
+        fill[r.container] = fill.get(r.container, 0) + r.n_tokens
+    n = sum(r.n_tokens for r in packing.token_counts(df).collect())
+    assert sum(fill.values()) == n and max(fill.values()) <= 4096
+
+
 @needs_vocab
 def test_pack_nothing(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
