@@ -12,12 +12,20 @@ _HEAD = r"(?s)\A([+-]?[0-9]*(?:\.[0-9]*)?)([eE][+-]?[0-9]+)?([eE])?.*\z"
 _SMALLEST_NORMAL = 2.2250738585072014e-308
 
 
+def _plain(text: Column) -> Column:
+    """Whether a text is a decimal number through and through: at most a leading sign, digits and one point."""
+    rest = F.translate(text, "0123456789", "")
+    unsigned = rest.isin("", ".")
+    signed = rest.isin("-", "+", "-.", "+.") & (F.substring(text, 1, 1) == F.substring(rest, 1, 1))
+    return (unsigned | signed) & (F.length(text) > F.length(rest))
+
+
 def number_parts(text: Column) -> Column:
-    """Array of mantissa, exponent and lone exponent letter; input of number_of."""
-    return F.split(F.regexp_replace(text, _HEAD, "$1\n$2\n$3"), "\n")
+    """Array of mantissa, exponent and lone exponent letter; null for plain numbers, which need no pattern."""
+    return F.when(~_plain(text), F.split(F.regexp_replace(text, _HEAD, "$1\n$2\n$3"), "\n"))
 
 
-def number_of(parts: Column) -> Column:
+def number_of(parts: Column, text: Column) -> Column:
     """The number a text starts with, or null: what follows it is ignored, and a sign or point alone reads as zero.
 
     Only where an exponent letter follows the digits can a value be out of range, and is then rejected.
@@ -30,7 +38,8 @@ def number_of(parts: Column) -> Column:
     size = F.abs(scaled)
     in_range = (size < float("inf")) & ((size >= _SMALLEST_NORMAL) | zero)
     return (
-        F.when(has_letter, F.when(has_digit & in_range, scaled))
+        F.when(parts.isNull(), text.try_cast("double"))
+        .when(has_letter, F.when(has_digit & in_range, scaled))
         .when(has_digit, mantissa.try_cast("double"))
         .when(F.length(mantissa) > 0, F.lit(0.0))
     )

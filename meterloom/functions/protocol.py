@@ -58,8 +58,8 @@ def to_samples(messages: DataFrame, name: str = "name", raw: str = "raw", kind:
         "type",
         bind(
             F.when(is_set, F.col("_b._v")).alias("member"),
-            number_of(F.col("_b.v")).alias("value"),
-            F.when(rated, effective_rate(F.col("_b._r"), number_of(F.col("_b.r")))).otherwise(F.lit(1.0)).alias("sample_rate"),
+            number_of(F.col("_b.v"), F.when(~is_set, F.col("_b._v"))).alias("value"),
+            F.when(rated, effective_rate(F.col("_b._r"), number_of(F.col("_b.r"), F.col("_b._r")))).otherwise(F.lit(1.0)).alias("sample_rate"),
         ).alias("_b"),
     )
     x = x.select(*keep, "type", "name", "_b.value", "_b.member", "_b.sample_rate")

@@ -220,7 +220,7 @@ def parse_lines(spark: SparkSession, d: str) -> DataFrame:
 
 def parse_numbers(spark: SparkSession, d: str) -> DataFrame:
     """The number that every message's value starts with."""
-    return table(spark, d, "ascii_parser").where("type <> 's'").select("seq", number_of(number_parts(F.col("value"))).alias("number"))
+    return table(spark, d, "ascii_parser").where("type <> 's'").select("seq", number_of(number_parts(F.col("value")), F.col("value")).alias("number"))
 
 
 def message_counters(spark: SparkSession, d: str) -> DataFrame:
