@@ -45,7 +45,7 @@ class LeakParams:
     min_score: float = 2.2  # in weights of a triple that one item alone has
     min_words: int = 15
     edge_slack: int = 1  # words at the ends of a stretch that may be lost to edits
-    edit_share: float = 0.34
+    edit_share: float = 0.22
     max_shift: int = 4  # words dropped or added between two shared triples
 
 
