@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -49,9 +50,9 @@ def heavy_hitters(df: DataFrame, key: str, share: float = 0.03) -> DataFrame:
     counted = (
         rows.join(F.broadcast(cand), rows["_key"] == cand["hot_key"], "left").groupBy("hot_key").agg(F.count(F.lit(1)).alias("n"))
     )
-    # at most 2 / share + 1 rows from here on
+    # at most 2 / share + 1 rows from here on; the share as a decimal, so that a key at exactly the share is hot
     totals = counted.withColumn("total", F.sum("n").over(Window.partitionBy(F.lit(1))))
-    return totals.where(F.col("hot_key").isNotNull() & (F.col("n") >= F.lit(share) * F.col("total")))
+    return totals.where(F.col("hot_key").isNotNull() & (F.col("n") >= F.lit(Decimal(repr(share))) * F.col("total")))
 
 
 def split_aggregate(

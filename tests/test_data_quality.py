@@ -68,6 +68,13 @@ def test_heavy_hitters_exactly(spark):
     assert got == {("hot", 333, 1000), ("edge", 33, 1000)}
 
 
+@pytest.mark.parametrize(("share", "total"), [(0.03, 700), (0.07, 300), (0.29, 100), (0.57, 100)])
+def test_a_key_at_exactly_the_share_is_hot(spark, share, total):
+    n = round(share * total)
+    df = spark.createDataFrame([("tie",)] * n + [(f"k{i}",) for i in range(total - n)], "name string")
+    assert [r.hot_key for r in hotkeys.heavy_hitters(df, "name", share).collect()] == ["tie"]
+
+
 def test_heavy_hitters_of_nothing(spark):
     assert hotkeys.heavy_hitters(spark.createDataFrame([], "name string"), "name").count() == 0
     assert hotkeys.heavy_hitters(spark.createDataFrame([(None,)] * 5, "name string"), "name").count() == 0
