@@ -3,7 +3,7 @@
 The items form a small inverted index over word triples with BM25 weights, its postings cut into blocks of item numbers
 with the greatest weight of each block. Every passage (a window of words) of every document is a query: windows for which
 no block can reach the threshold are dropped by one vectorised upper bound, the others go through block-max WAND, and each
-item retrieved is verified by chaining the triples it shares with the document into one stretch of the item's passage.
+item retrieved is verified by aligning the words around each run of triples it shares with the document with its passage.
 
 A document leaks an item if a stretch of at least `min_words` successive words of the passage is there, up to
 `edit_share` of them replaced, dropped or added. Introduction and question are not evidence; they only show up in the
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left, bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -46,7 +47,6 @@ class LeakParams:
     min_words: int = 15
     edge_slack: int = 1  # words at the ends of a stretch that may be lost to edits
     edit_share: float = 0.22
-    max_shift: int = 4  # words dropped or added between two shared triples
 
 
 def words_of(text: str) -> list[str]:
@@ -224,43 +224,87 @@ class ItemIndex:
         return out
 
     def verify(self, words: list[str], k: int, pairs: list[tuple[int, int]]) -> tuple[int, int] | None:
-        """The longest stretch of item k's passage in the document: (words of the passage, edits), or None."""
+        """The longest stretch of item k's passage in the document: (words of the passage, edits), or None.
+
+        A stretch within `edit_share` always holds three words in a row without an edit, so every unbroken run of shared
+        triples is taken as the core of a stretch and aligned outwards on both sides, edits counted word by word. A stretch
+        ends before words of which more are edited than agree.
+        """
         p, passage = self.p, self.passages[k]
-        ends: list[list[int]] = []  # open chains: last a, last j, first a, first j, words covered
         best: tuple[int, int] | None = None
-        for a, j in pairs:
-            ends = [c for c in ends if a - c[0] <= p.window]
-            take, gain = None, 0
-            for c in ends:
-                da, dj = a - c[0], j - c[1]
-                if da > 0 and dj > 0 and abs(da - dj) <= p.max_shift and max(da, dj) <= 3 + 2 * p.max_shift and c[4] >= gain:
-                    take, gain = c, c[4]
-            if take:
-                new = [a, j, take[2], take[3], take[4] + min(3, a - take[0], j - take[1])]
-            else:
-                new = [a, j, a, j, 3]
-            ends.append(new)
-            if new[4] >= 6:
-                fa, fj = self._extend(words, passage, new[2], new[3], -1)
-                la, lj = self._extend(words, passage, new[0] + 2, new[1] + 2, 1)
-                span = lj - fj + 1
-                covered = new[4] + (new[2] - fa > 0) + (la - new[0] - 2 > 0)
-                edits = max(span, la - fa + 1) - covered
-                if span >= p.min_words - p.edge_slack and edits <= p.edit_share * span and (best is None or span - edits > best[0] - best[1]):
-                    best = (span, max(0, edits))
+        places = sorted(a for a, _ in pairs)
+        least = min((s - 2 - 3 * int(p.edit_share * s) for s in range(p.min_words - p.edge_slack, len(passage) + 1)), default=len(pairs) + 1)
+        for a, j, n in sorted(self._runs(pairs), key=lambda r: -r[2]):
+            if best and best[0] - best[1] >= len(passage):
+                break
+            most = int(p.edit_share * len(passage))
+            if p.edit_share < 0.33:
+                # an edit breaks three triples at most, so the triples within reach bound the words of a stretch and its edits
+                far = len(passage) + most
+                shared = bisect_right(places, a + n + far) - bisect_left(places, a - far)
+                if shared < least:
+                    continue
+                most = min(most, int(p.edit_share * (shared + 6) / (1 - 3 * p.edit_share)))
+            right = self._reach(words, passage, a + n, j + n, 1, most)
+            # what the right side leaves of the edits allowed
+            spare = max(p.edit_share * (n + after) - y for y, after in right)
+            left = self._reach(words, passage, a - 1, j - 1, -1, min(most, int(spare + p.edit_share * j)))
+            for x, before in left:
+                for y, after in right:
+                    span, edits = before + n + after, x + y
+                    if span >= p.min_words - p.edge_slack and edits <= p.edit_share * span and (best is None or (span - edits, -edits) > (best[0] - best[1], -best[1])):
+                        best = (span, edits)
         return best
 
     @staticmethod
-    def _extend(words: list[str], passage: list[str], a: int, j: int, step: int) -> tuple[int, int]:
-        """Over single edits outwards, as long as words agree beyond."""
-        while True:
-            for da, dj in ((1, 1), (2, 2), (1, 2), (2, 1)):
-                x, y = a + step * da, j + step * dj
-                if 0 <= x < len(words) and 0 <= y < len(passage) and words[x] == passage[y]:
-                    a, j = x, y
-                    break
+    def _runs(pairs: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+        """(a, j, words) of every unbroken run of shared triples."""
+        out, last = [], None
+        for d, a in sorted((a - j, a) for a, j in pairs):
+            if last and last[0] == d and last[1] + last[2] - 2 == a:
+                last[2] += 1
             else:
-                return a, j
+                last = [d, a, 3]
+                out.append(last)
+        return [(a, a - d, n) for d, a, n in out]
+
+    @staticmethod
+    def _reach(words: list[str], passage: list[str], a: int, j: int, step: int, most: int) -> list[tuple[int, int]]:
+        """(edits, words of the passage) of the ends that a stretch may have from (a, j) in direction `step`.
+
+        Furthest-reaching points per shift between document and passage, one edit more each round. An end is an agreeing word
+        up to which no more words are edited than agree, from wherever one counts.
+        """
+        rows = len(words) - a if step > 0 else a + 1
+        cols = len(passage) - j if step > 0 else j + 1
+        far: dict[int, int] = {}  # shift: words of the passage behind the furthest point
+        out: list[tuple[int, int]] = [(0, 0)]
+        top = gain = 0
+        for e in range(most + 1):
+            now: dict[int, int] = {}
+            ends = []
+            for d in range(-e, e + 1):
+                x = max(far.get(d, -2) + 1, far.get(d - 1, -2), far.get(d + 1, -2) + 1) if e else 0
+                x = min(x, cols, rows - d)
+                if x < 0 or x + d < 0:
+                    continue
+                while x < cols and x + d < rows and words[a + step * (x + d)] == passage[j + step * x]:
+                    x += 1
+                now[d] = x
+                # points behind the last round's cost one edit less
+                y, old = x, max(top, far.get(d, 0), -d)
+                while y > old and words[a + step * (y - 1 + d)] != passage[j + step * (y - 1)]:
+                    y -= 1
+                if y > old and max(y, y + d) - 2 * e >= gain:
+                    ends.append((y, max(y, y + d) - 2 * e))
+            far = now
+            if ends:
+                top = max(ends)[0]
+                gain = max(g for _, g in ends)
+                out.append((e, top))
+            if top == cols:
+                break
+        return out
 
 
 def load_items(items: DataFrame) -> list[tuple[int, str, str | None]]:

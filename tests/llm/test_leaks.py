@@ -86,3 +86,47 @@ def test_leaks_are_found_and_near_misses_are_not(spark):
     assert whole.words == 70 and whole.edits == 0 and whole.question_share == 1.0
     assert leaks.find_leaks(df.limit(0), it).count() == 0
     assert leaks.find_leaks(df, it.limit(0)).count() == 0
+
+
+def fewest_edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def one_item(words):
+    """An index that also holds other items, so that a triple of the first has weight."""
+    others = [(i, sentence(random.Random(i), 60), None) for i in range(1, 30)]
+    return leaks.ItemIndex([(0, " ".join(words), None), *others], leaks.LeakParams())
+
+
+def test_edits_are_counted_word_by_word():
+    passage = [f"p{i}" for i in range(15)]
+    ix = one_item(passage)
+    noise = [f"n{i}" for i in range(40)]
+    doc = noise[:20] + [*passage[:2], "x", *passage[3:12], "y", *passage[13:]] + noise[20:]
+    assert [(k, span, edits) for k, _, span, edits in ix.search(doc)] == [(0, 15, 2)]
+    # agreeing words between two edits are none
+    passage = [f"p{i}" for i in range(40)]
+    ix = one_item(passage)
+    doc = noise[:20] + [*passage[:8], "x", passage[9], "y", *passage[11:20]] + noise[20:]
+    assert [(k, span, edits) for k, _, span, edits in ix.search(doc)] == [(0, 20, 2)]
+
+
+def test_planted_stretches_are_found_with_their_edits():
+    rnd = random.Random(3)
+    p = leaks.LeakParams()
+    for _ in range(150):
+        passage = [f"p{i}" for i in range(40)]
+        n = rnd.randrange(15, 26)
+        part = edit(rnd, passage[8 : 8 + n], rnd.randrange(1, int(p.edit_share * n) + 1))
+        doc = [*(f"n{i}" for i in range(9)), *part, *(f"n{i}" for i in range(9, 20))]
+        ix = one_item(passage)
+        at, term = ix.terms(doc)
+        got = ix.verify(doc, 0, [(a, j) for a, t in zip(at.tolist(), term.tolist()) for _, _, places in ix.postings[t] for j in places])
+        edits = fewest_edits(part, passage[8 : 8 + n])
+        # edits crowded at an end are cut off with the words beyond
+        assert got and got[0] - got[1] >= n - edits - 2 and (got[0] < n or got == (n, edits))
