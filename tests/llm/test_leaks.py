@@ -130,3 +130,12 @@ def test_planted_stretches_are_found_with_their_edits():
         edits = fewest_edits(part, passage[8 : 8 + n])
         # edits crowded at an end are cut off with the words beyond
         assert got and got[0] - got[1] >= n - edits - 2 and (got[0] < n or got == (n, edits))
+
+
+def test_a_reworded_start_does_not_hide_what_follows():
+    passage = [f"p{i}" for i in range(60)]
+    ix = one_item(passage)
+    noise = [f"n{i}" for i in range(40)]
+    for n in (15, 18, 24):
+        doc = noise[:20] + passage[5:8] + [f"r{i}" for i in range(8)] + passage[16 : 16 + n] + noise[20:]
+        assert [(k, span, edits) for k, _, span, edits in ix.search(doc)] == [(0, n, 0)]
