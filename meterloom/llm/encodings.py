@@ -9,7 +9,8 @@ encodings keep a word's length and look like text; they are judged by word frequ
 holds it far more often than the word as it stands. Wildcards (U+FFFD, lead bytes whose rest is gone) are filled with the
 most frequent word of the corpus that fits.
 
-Statistics cover every word of every document. Words are judged once each, not once per document, and meet the documents
+Statistics cover every word of every document and count different lines, quote marks apart, so that copies and quotes do
+not make a word likelier; characters that can be read as UTF-8 are left out of the character counts. Words are judged once each, not once per document, and meet the documents
 again by a join; only the character table (at most one row per code point) is collected.
 
 A lone letter where the corpus has a symbol a hundred times as often counts as damage, so a letter that stands alone for
@@ -21,8 +22,10 @@ undone is still found, and its text stays; an empty table gives no rows; extra c
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -37,6 +40,7 @@ LOST = "�"
 WORD = re.compile("(?<![A-Za-z])[A-Za-z]*+(?:[^\x00-\x7f\xa0  　]\xa0?[A-Za-z]*)+")
 #: A lone character beyond ASCII before a digit or a blank; at a line's end it may be what is left of a cut word.
 SYMBOL = re.compile("(?<![A-Za-z\x80-\U0010ffff])([^\x00-\x7f\xa0\u2028\u2029\u3000\ufffd])([0-9 ])")
+QUOTE = re.compile(r"^[\s>|]+")
 #: Encodings that bytes may have been taken for, and encodings they may have been in.
 TAKEN_FOR = ("cp1252", "cp1250", "cp1251", "cp437", "cp850", "mac_roman", "cp1253", "cp1254", "cp1257", "koi8_r", "cp866", "cp852", "iso8859_2", "iso8859_5")
 WERE_IN = ("cp1252", "cp1250", "cp1251", "mac_roman", "cp437", "cp850", "koi8_r", "cp1253", "iso8859_2", "cp866", "cp852")
@@ -46,9 +50,9 @@ C1 = re.compile("[\x80-\x84\x86-\x9f]")
 @dataclass(frozen=True)
 class EncodingParams:
     gain: float = 4.0  # log-likelihood by which a UTF-8 reading must be better than the word as it stands
-    seen: int = 3  # documents that must hold a character before it is offered as a reading
+    seen: int = 3  # different lines that must hold a character before it is offered as a reading
     slack: float = 6.0  # log-likelihood by which a one-byte reading may fall behind before word counts are asked
-    word_docs: int = 5  # documents that must hold a one-byte reading
+    word_docs: int = 5  # different lines that must hold a one-byte reading
     ratio: float = 4.0  # and how many times more than the word as it stands
     symbol_ratio: float = 100.0  # the same for a lone letter that reads as a symbol
     passes: int = 4
@@ -159,6 +163,16 @@ class Channel:
             now, score = top, top_score
         return now if now != word else None
 
+    def unread(self, word: str) -> str:
+        """The characters beyond ASCII that no encoding reads as the bytes of a known UTF-8 character."""
+        left = [c > "\x7f" for c in word]
+        for table in self.to_bytes.values():
+            for i, c in enumerate(word):
+                d = self._decoded(word, i, table) if c > "\x7f" else None
+                if d and self.counts.get(d[0], 0) >= self.p.seen:
+                    left[i : i + d[1]] = [False] * d[1]
+        return "".join(c for c, x in zip(word, left) if x)
+
     def byte_readings(self, word: str) -> list[str]:
         """Readings of the same length in which another one-byte encoding was meant. A single character proves nothing."""
         if len(word) < 2:
@@ -190,12 +204,13 @@ def symbol_word(m: re.Match) -> str:
 
 
 def words_per_document(documents: DataFrame) -> DataFrame:
-    """(doc_id, word): the different words beyond ASCII of each document, transfer encodings undone."""
+    """(doc_id, word, lines): the different words beyond ASCII of each document, transfer encodings undone, with hashes of their lines."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids: list[int] = []
             words: list[str] = []
+            lines: list[list[int]] = []
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1)):
                 t = text.as_py()
                 if not t:
@@ -204,36 +219,58 @@ def words_per_document(documents: DataFrame) -> DataFrame:
                 if t.isascii():
                     continue
                 # most lines are plain ASCII and need no pattern
-                t = "\n".join([x for x in t.split("\n") if not x.isascii()])
-                found = set(WORD.findall(t)) | {symbol_word(m) for m in SYMBOL.finditer(t)}
+                found: dict[str, set[int]] = defaultdict(set)
+                for line in t.split("\n"):
+                    if not line.isascii():
+                        h = int.from_bytes(hashlib.blake2b(" ".join(QUOTE.sub("", line).split()).encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
+                        line += "\n"
+                        for w in WORD.findall(line):
+                            found[w].add(h)
+                        for m in SYMBOL.finditer(line):
+                            found[symbol_word(m)].add(h)
                 ids += [doc_id] * len(found)
                 words += found
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(words, pa.string())], names=["doc_id", "word"])
+                lines += map(list, found.values())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids, pa.int64()), pa.array(words, pa.string()), pa.array(lines, pa.list_(pa.int64()))], names=["doc_id", "word", "lines"]
+            )
 
-    return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, word string")
+    return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, word string, lines array<bigint>")
 
 
 def vocabulary(pairs: DataFrame) -> DataFrame:
-    """(word, n): how many documents hold each word; written to the checkpoint folder, as it is read several times."""
+    """(word, n, docs): how many different lines and how many documents hold each word; written to the checkpoint folder, as it is read several times."""
     checkpoint_dir(pairs.sparkSession)
-    return pairs.groupBy("word").agg(F.count(F.lit(1)).alias("n")).checkpoint()
+    once = pairs.select("word", F.posexplode("lines").alias("at", "line")).groupBy("word", "line").agg(F.count_if(F.col("at") == 0).alias("docs"))
+    return once.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.sum("docs").alias("docs")).checkpoint()
+
+
+def character_counts(vocab: DataFrame, params: EncodingParams = EncodingParams()) -> dict[str, int]:
+    """At most one entry per code point; estimated again without what can be read as UTF-8 under the first counts."""
 
+    def count(words: DataFrame) -> dict[str, int]:
+        chars = words.select(F.explode(F.split("word", "")).alias("c"), "n").where("c > '\x7f'").groupBy("c").agg(F.sum("n").alias("n"))
+        return {r.c: r.n for r in chars.collect()}
+
+    first = vocab.sparkSession.sparkContext.broadcast(Channel(count(vocab), params))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            left = [first.value.unread(w) for w in b["word"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.string()), b["n"]], names=["word", "n"])
 
-def character_counts(vocab: DataFrame) -> dict[str, int]:
-    """At most one entry per code point."""
-    chars = vocab.select(F.explode(F.split("word", "")).alias("c"), "n").where("c > '\x7f'").groupBy("c").agg(F.sum("n").alias("n"))
-    return {r.c: r.n for r in chars.collect()}
+    return count(vocab.select("word", "n").mapInArrow(run, "word string, n bigint"))
 
 
 def damaged_words(vocab: DataFrame, params: EncodingParams = EncodingParams()) -> DataFrame:
     """(word, restored, how): words that arose from a wrong decoding; restored is null where no reading is likely."""
-    channel = vocab.sparkSession.sparkContext.broadcast(Channel(character_counts(vocab), params))
+    channel = vocab.sparkSession.sparkContext.broadcast(Channel(character_counts(vocab, params), params))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ch = channel.value
         for b in batches:
             rows: list[tuple] = []  # word, n, how, reading (to be looked up for "byte" and "lost")
-            for word, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for word, n, docs in zip(*(c.to_pylist() for c in b.columns)):
                 if LOST in word:
                     rows.append((word, n, "lost", None))
                     rows += [(word, n, "lost", m) for m in ch.wildcard_masks(word)]
@@ -246,7 +283,7 @@ def damaged_words(vocab: DataFrame, params: EncodingParams = EncodingParams()) -
                     rows.append((word, n, "control", None))
                 how = "byte" if word[-1] not in "0 " else "symbol"
                 if how == "byte" or word[0].isalpha():
-                    rows += [(word, n, how, r) for r in ch.byte_readings(word) if how == "byte" or not r[0].isalpha()]
+                    rows += [(word, n if how == "byte" else docs, how, r) for r in ch.byte_readings(word) if how == "byte" or not r[0].isalpha()]
                 rows += [(word, n, "mask", m) for m in ch.wildcard_masks(word)]
             cols = list(zip(*rows)) or [[]] * 4
             yield pa.RecordBatch.from_arrays(
@@ -254,12 +291,14 @@ def damaged_words(vocab: DataFrame, params: EncodingParams = EncodingParams()) -
                 names=["word", "n", "how", "reading"],
             )
 
-    judged = vocab.select("word", "n").mapInArrow(run, "word string, n bigint, how string, reading string")
+    judged = vocab.select("word", "n", "docs").mapInArrow(run, "word string, n bigint, how string, reading string")
     sure = judged.where("how = 'utf8' or reading is null").select("word", F.col("reading").alias("restored"), "how")
     p = params
     # one-byte confusions: the reading must be a frequent word
-    counts = vocab.groupBy(F.lower("word").alias("_w")).agg(F.sum("n").alias("_n"))
+    counts = vocab.groupBy(F.lower("word").alias("_w")).agg(F.sum("n").alias("_lines"), F.sum("docs").alias("_docs"))
     byte = judged.where("how in ('byte', 'symbol')").join(counts, F.lower("reading") == F.col("_w"))
+    # lone letters go by documents: one that stands in several copies of a text is more likely meant
+    byte = byte.withColumn("_n", F.when(F.col("how") == "symbol", F.col("_docs")).otherwise(F.col("_lines")))
     times = F.when(F.col("how") == "symbol", p.symbol_ratio).otherwise(p.ratio)
     byte = byte.where((F.col("_n") >= p.word_docs) & (F.col("_n") >= times * F.col("n")))
     byte = byte.groupBy("word").agg(F.max_by("reading", F.struct("_n", "reading")).alias("restored")).withColumn("how", F.lit("byte"))

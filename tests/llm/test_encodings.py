@@ -91,3 +91,12 @@ def test_round_trip_of_one_word(as_):
     ch = enc.Channel(dict.fromkeys("éüñß’ł", 1000) | {"Ã": 10, "©": 50}, enc.EncodingParams())
     assert ch.utf8_reading(wrong("dé’ß", as_)) == "dé’ß"
     assert ch.utf8_reading("dé’ß") is None
+
+
+def test_copies_and_quotes_of_a_damaged_message_change_nothing(spark):
+    base = corpus()
+    bad = wrong("ein été à la façade’s für Señora", "cp1252")
+    copies = [f"{'> ' * (i % 4)}{bad}" for i in range(len(base) // 2)]
+    _, found = find(spark, [*base, *copies, wrong("another naïve", "cp1252")])
+    assert {d for d, _ in found} == set(range(len(base), len(base) + len(copies) + 1))
+    assert {found[len(base) + i, wrong("für", "cp1252")] for i in range(len(copies))} == {"für"}
