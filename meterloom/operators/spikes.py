@@ -7,7 +7,9 @@ A run-length counter finds frozen stretches, limits of the kind find values that
 
 Sources are cut into time shards so that no task holds an unbounded source: repeated deliveries are first reduced to one
 reading by an aggregate (never collected), the number of shards of a source follows its number of readings, and every
-shard also gets the stretches before and after it as context, whose readings it does not report.
+shard also gets the stretches before and after it as context, whose readings it does not report. Whether a source changes
+with nearly every reading, and how long a run is that reaches a shard's border, is found per source from run summaries of
+its shards.
 
 Defined cases: readings with null key, null time, or null/NaN value are not judged; infinite values are judged; every
 delivered copy of a flagged reading is flagged; several different values at one second are taken in order of value; a
@@ -22,7 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 REASONS = ("limit", "frozen", "spike")
@@ -113,10 +115,24 @@ def chart(v: np.ndarray, p: ChartParams, frozen: np.ndarray) -> np.ndarray:
     return out
 
 
-def judge(v: np.ndarray, low: float, high: float, p: ChartParams) -> np.ndarray:
+def shard_runs(v: np.ndarray, own: np.ndarray, facts: tuple[bool, int, int], p: ChartParams) -> np.ndarray:
+    """The same for a shard and its context: the source's verdict, and the whole lengths of the first and last run of its own."""
+    changes, first, last = facts
+    if not changes or not own.any():
+        return np.zeros(len(v), bool)
+    starts = np.flatnonzero(np.r_[True, v[1:] != v[:-1]])
+    lengths = np.diff(np.r_[starts, len(v)])
+    long = lengths >= p.frozen_len
+    at = np.flatnonzero(own)
+    for i, n in ((at[0], first), (at[-1], last)):
+        long[np.searchsorted(starts, i, "right") - 1] = n >= p.frozen_len
+    return np.repeat(long, lengths)
+
+
+def judge(v: np.ndarray, low: float, high: float, p: ChartParams, frozen: np.ndarray | None = None) -> np.ndarray:
     """Reason code per reading in time order: 0 none, else 1 + index into REASONS."""
     limit = (v < low) | (v > high)
-    frozen = frozen_runs(v, p)
+    frozen = frozen_runs(v, p) if frozen is None else frozen
     seen = np.where(limit, np.inf, v) if limit.any() else v
     spike = chart(seen, p, frozen) | chart(seen[::-1], p, frozen[::-1])[::-1]
     return np.where(limit, 1, np.where(frozen, 2, np.where(spike, 3, 0)))
@@ -128,8 +144,8 @@ def distinct_readings(readings: DataFrame) -> DataFrame:
     return readings.where(ok).groupBy("key", "ts", "val").agg(F.min("rec_id").alias("rec_id"), F.count(F.lit(1)).alias("copies"))
 
 
-def _sharded(once: DataFrame, p: ChartParams) -> DataFrame:
-    """Readings with their shard, and again as context (own = false) for the shards beside it."""
+def _cut(once: DataFrame, p: ChartParams) -> DataFrame:
+    """Readings with their shard."""
     extent = once.groupBy("key").agg(F.count(F.lit(1)).alias("_n"), F.min("ts").alias("_from"), F.max("ts").alias("_to"))
     extent = extent.withColumn("_shards", F.ceil(F.col("_n") / F.lit(p.shard_rows))).withColumn(
         "_len", F.ceil((F.col("_to") - F.col("_from") + 1) / F.col("_shards"))
@@ -138,9 +154,53 @@ def _sharded(once: DataFrame, p: ChartParams) -> DataFrame:
     # sources with one shard, nearly all of them, need no join partner: left join keeps them in shard 0
     x = once.join(many, "key", "left")
     shard = F.coalesce(F.floor((F.col("ts") - F.col("_from")) / F.col("_len")), F.lit(0).cast("bigint"))
+    return x.withColumn("_shard", shard)
+
+
+def _run_facts(x: DataFrame, p: ChartParams) -> DataFrame:
+    """(key, shard, changes, first_run, last_run) of sources with several shards, from run summaries of the shards.
+
+    changes: whether the source, long runs apart, changes with nearly every reading and has long runs at all.
+    """
+    inside = Window.partitionBy("key", "shard").orderBy("ts", "val")
+    x = x.where("_shards > 1").select("key", F.col("_shard").alias("shard"), "ts", "val")
+    x = x.withColumn("_new", F.coalesce(F.col("val") != F.lag("val").over(inside), F.lit(True)).cast("bigint"))
+    x = x.withColumn("run", F.sum("_new").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = x.groupBy("key", "shard", "run").agg(F.max("val").alias("val"), F.count(F.lit(1)).alias("n"))
+    runs = runs.withColumn("runs", F.max("run").over(Window.partitionBy("key", "shard")))
+    inner, short = (F.col("run") > 1) & (F.col("run") < F.col("runs")), F.col("n") < p.frozen_len
+    shards = runs.groupBy("key", "shard").agg(
+        F.max(F.when(F.col("run") == 1, F.struct("val", "n"))).alias("head"),
+        F.max(F.when((F.col("run") == F.col("runs")) & (F.col("runs") > 1), F.struct("val", "n"))).alias("tail"),
+        F.coalesce(F.sum(F.when(inner & short, F.col("n"))), F.lit(0)).alias("rest"),
+        F.count_if(inner & short).alias("rest_runs"),
+        F.count_if(inner & ~short).alias("long"),
+    )
+    zero = F.lit(0).cast("bigint")
+    ends = F.array(
+        F.struct(F.lit(0).alias("pos"), F.col("head").alias("of"), F.col("rest").alias("rest"), F.col("rest_runs").alias("rest_runs"), F.col("long").alias("long")),
+        F.struct(F.lit(1).alias("pos"), F.col("tail").alias("of"), zero.alias("rest"), zero.alias("rest_runs"), zero.alias("long")),
+    )
+    # a run goes on from a shard's last to the next shard's first
+    order = Window.partitionBy("key").orderBy("shard", "pos")
+    e = shards.select("key", "shard", F.explode(ends).alias("e")).select("key", "shard", "e.*").where("of is not null")
+    starts = (F.col("pos") == 1) | F.coalesce(F.col("of.val") != F.lag("of.val").over(order), F.lit(True))
+    e = e.withColumn("_new", starts.cast("bigint")).withColumn("run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    e = e.withColumn("n", F.sum("of.n").over(Window.partitionBy("key", "run")))
+    of_key = Window.partitionBy("key")
+    rest = F.sum(F.col("rest") + F.when(short, F.col("of.n")).otherwise(0)).over(of_key)
+    rest_runs = F.sum(F.col("rest_runs") + F.when(short, F.col("_new")).otherwise(0)).over(of_key)
+    long = F.sum(F.col("long") + F.when(short, 0).otherwise(1)).over(of_key)
+    e = e.withColumn("changes", (long > 0) & (rest >= p.frozen_len) & (rest - rest_runs <= p.max_repeats * rest))
+    return e.groupBy("key", "shard").agg(
+        F.first("changes").alias("changes"), F.min_by("n", "pos").alias("first_run"), F.max_by("n", "pos").alias("last_run")
+    )
+
+
+def _with_context(x: DataFrame, p: ChartParams) -> DataFrame:
+    """Readings with their shard, and again as context (own = false) for the shards beside it."""
     into = (F.col("ts") - F.col("_from")) - F.col("_shard") * F.col("_len")
     halo = F.ceil(F.col("_len") * F.lit(p.context_share))
-    x = x.withColumn("_shard", shard)
     spots = F.filter(
         F.array(
             F.struct(F.col("_shard").alias("shard"), F.lit(True).alias("own")),
@@ -196,18 +256,26 @@ def flag_readings(readings: DataFrame, kinds: DataFrame, params: ChartParams = C
     def _judge_groups(t: pa.Table, starts: np.ndarray, end: int) -> pa.RecordBatch:
         codes = np.zeros(end, np.int64)
         vals = t["val"].to_numpy()[:end]
+        own = t["own"].to_numpy()[:end]
         keys = t["key"]
         for s, e in zip(starts, [*starts[1:], end]):
             low, high = limits.get(keys[int(s)].as_py().rsplit(".", 1)[-1], (-math.inf, math.inf))
-            codes[s:e] = judge(vals[s:e], low, high, params)
-        hit = np.flatnonzero((codes > 0) & t["own"].to_numpy()[:end])
+            frozen = None
+            if t["changes"][int(s)].is_valid:
+                facts = tuple(t[c][int(s)].as_py() for c in ("changes", "first_run", "last_run"))
+                s += 1
+                frozen = shard_runs(vals[s:e], own[s:e], facts, params)
+            codes[s:e] = judge(vals[s:e], low, high, params, frozen)
+        hit = np.flatnonzero((codes > 0) & own)
         out = t.select(["key", "ts", "val", "rec_id", "copies"]).take(pa.array(hit)).combine_chunks()
         reason = pa.array([REASONS[c - 1] for c in codes[hit]], pa.string())
         cols = [(c.chunk(0) if c.num_chunks else pa.array([], c.type)) for c in out.columns]
         return pa.RecordBatch.from_arrays([*cols, reason], names=["key", "ts", "val", "rec_id", "copies", "reason"])
 
-    once = distinct_readings(readings)
-    parts = _sharded(once, params).repartition("key", "shard").sortWithinPartitions("key", "shard", "ts", "val")
+    cut = _cut(distinct_readings(readings), params)
+    # the facts of a shard are the first row of its group, as they have no time
+    every = _with_context(cut, params).unionByName(_run_facts(cut, params).withColumn("own", F.lit(False)), allowMissingColumns=True)
+    parts = every.repartition("key", "shard").sortWithinPartitions("key", "shard", "ts", "val")
     return parts.mapInArrow(run, "key string, ts bigint, val double, rec_id bigint, copies bigint, reason string")
 
 

@@ -241,3 +241,16 @@ def test_flags_on_frames(spark):
     reasons = {r.reason for r in spikes.flag_records(df, kinds).collect()}
     assert reasons == {"limit", "spike"}
     assert spikes.flag_records(df.limit(0), kinds).count() == 0
+
+
+def test_frozen_over_whole_shards_is_flagged(spark):
+    rnd = random.Random(4)
+    n, a, b = 4000, 900, 3300
+    rows = [(i, "web.busy.latency", i, 5.0 if a <= i < b else round(rnd.uniform(1, 9), 6)) for i in range(n)]
+    # a source that repeats its readings as a whole, but not in every shard
+    rows += [(n + i, "web.coarse.latency", i, 3.0 if 1500 <= i < 1530 else float(rnd.randrange(1000) if 1400 < i < 1700 else rnd.randrange(2))) for i in range(n)]
+    df = spark.createDataFrame(rows, "rec_id bigint, key string, ts bigint, val double")
+    kinds = spark.createDataFrame([("latency", None, None)], "kind string, low double, high double")
+    for shard_rows in (4096, 256):
+        got = spikes.flag_records(df, kinds, spikes.ChartParams(shard_rows=shard_rows)).where("reason = 'frozen'").collect()
+        assert {r.rec_id for r in got} == set(range(a, b)), shard_rows
