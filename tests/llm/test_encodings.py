@@ -100,3 +100,12 @@ def test_copies_and_quotes_of_a_damaged_message_change_nothing(spark):
     _, found = find(spark, [*base, *copies, wrong("another naïve", "cp1252")])
     assert {d for d, _ in found} == set(range(len(base), len(base) + len(copies) + 1))
     assert {found[len(base) + i, wrong("für", "cp1252")] for i in range(len(copies))} == {"für"}
+
+
+def test_one_byte_damage_in_many_quotes(spark):
+    base = corpus()
+    n = len(base)
+    quotes = [f"{'> ' * (i % 4)}{wrong('ein naïve', 'mac_roman', 'cp1252')}" for i in range(n // 2)]
+    _, found = find(spark, [*base, *quotes])
+    assert {d for d, _ in found} == set(range(n, n + len(quotes)))
+    assert set(found.values()) == {"naïve"}
