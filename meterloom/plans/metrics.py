@@ -144,7 +144,7 @@ def set_exact(spark: SparkSession, d: str) -> DataFrame:
 
 
 def set_hybrid_small(spark: SparkSession, d: str) -> DataFrame:
-    """Small sets, one per hour and type: the sketch still counts exactly."""
+    """Small sets, one per hour and type: the sketch still counts exactly. Larger ones are left to set_hll_within_bound."""
     name = F.concat_ws(".", "event_type", F.date_format(F.col("ts"), "yyyy-MM-dd'T'HH"))
     return agg.sets(events_as(spark, d, "s", name=name), CFG).where(f"members <= {agg.EXACT_SET}")
 
@@ -167,7 +167,7 @@ def input_counter(spark: SparkSession, d: str) -> DataFrame:
 
 
 def flush_all_types(spark: SparkSession, d: str) -> DataFrame:
-    """Every flushed row of samples of all types, with prefixes and suffixes."""
+    """Every flushed row of samples of all types, with prefixes and suffixes. Rows of sets are left to set_hll_within_bound."""
     kinds = ("c", "ms", "g", "s")
     x = None
     for k in kinds:
