@@ -1,9 +1,11 @@
 """Load the valid rows of dirty input and set the others apart with the reason.
 
-Rows travel in Arrow batches. A block of a batch takes the bulk path: one pass of compiled kernels parses all its
-fields at once, and either the whole block is valid or it is not. A block that is not is halved, and so on; blocks of
-`leaf` rows or fewer that still fail are diagnosed row by row by the strict parser, which alone decides and names the
-reason. The bulk path is conservative: it may refuse a valid block, it never passes an invalid row.
+Rows travel in Arrow batches. A block takes the bulk path: one pass of compiled kernels parses all its fields at once, and
+either the whole block is valid or it is not. A block that is not is halved, and so on down to the single record, which
+is diagnosed by the strict parser; that alone decides and names the reason. How many records of a stretch have the shape
+of a sample is known from running sums after one pass of the grammar, so that most halves fail without being parsed.
+The bulk path is conservative: it may refuse a valid record, it never passes an invalid one. Valid and rejected rows come
+out of the same pass.
 
 A valid sample: name neither null nor blank and without ':'; type one of kv, g, c, ms, h, s; value for type s non-empty
 and without '|', else a finite decimal number; sample rate absent or, for c, ms and h, a decimal number in (0, 1].
@@ -16,7 +18,6 @@ rows are each judged; an empty table gives none; long values are parsed whole; e
 
 from __future__ import annotations
 
-import io
 import re
 from collections.abc import Callable, Iterator
 
@@ -146,107 +147,132 @@ def _joined(name: pa.Array, value: pa.Array, kind: pa.Array, rate: pa.Array) ->
     return pc.binary_join_element_wise(name, kind, value, pc.fill_null(rate, _ABSENT), _SEP)
 
 
-def _bulk(joined: pa.Array, row_id: pa.Array, name: pa.Array, value: pa.Array, kind: pa.Array, rate: pa.Array, rejects_only: bool):
-    """A whole block parsed at once: a RecordBatch (True where only rejects are wanted), or None where any record fails."""
-    if joined.null_count or pc.all(pc.match_substring_regex(joined, _RECORD)).as_py() is False:
-        return None
-    is_set = pc.equal(kind, "s")
+def _misshapen(text: pa.Array, grammar: str) -> np.ndarray:
+    """Running number of records that the grammar does not match; one entry more than records."""
+    fits = pc.fill_null(pc.match_substring_regex(text, grammar), False).to_numpy(zero_copy_only=False)
+    return np.r_[0, np.cumsum(~fits)]
+
+
+def _typed(row_id: pa.Array, name: pa.Array, value: pa.Array, kind: pa.Array, rate: pa.Array) -> pa.RecordBatch | None:
+    """A block of records of the right shape, typed, or None where a number is out of range."""
+    sets = pc.equal(kind, "s").to_numpy(zero_copy_only=False)
     try:
-        numbers = pc.cast(value.filter(pc.invert(is_set)), pa.float64())
+        numbers = pc.cast(value.filter(pa.array(~sets)), pa.float64()).to_numpy(zero_copy_only=False)
         factor = pc.cast(pc.fill_null(rate, "1"), pa.float64())
     except pa.ArrowInvalid:
         return None
-    if pc.all(pc.is_finite(numbers)).as_py() is False:
+    f = factor.to_numpy(zero_copy_only=False)
+    if not np.isfinite(numbers).all() or not ((f > 0) & (f <= 1)).all():
         return None
-    span = pc.min_max(factor).as_py()
-    if span["min"] is not None and not (0 < span["min"] and span["max"] <= 1):
-        return None
-    if rejects_only:
-        return True
     n = len(row_id)
-    sets = is_set.to_numpy(zero_copy_only=False)
     spread = np.zeros(n)
-    spread[~sets] = numbers.to_numpy(zero_copy_only=False)
+    spread[~sets] = numbers
     member = value.take(pa.array(np.arange(n), mask=~sets))
     return pa.RecordBatch.from_arrays([row_id, pa.nulls(n, pa.string()), name, kind, pa.array(spread, mask=sets), member, factor], schema=_OUT)
 
 
-def _bulk_lines(row_id: pa.Array, line: pa.Array, rejects_only: bool):
-    if line.null_count or pc.all(pc.match_substring_regex(line, _LINE)).as_py() is False:
-        return None
-    names = ["at", "name", "value", "type", "rate"]
+def bisect(n: int, misshapen: np.ndarray, parse: Callable[[int, int], object], block: int) -> tuple[list, list[int]]:
+    """(what `parse` made of the blocks that pass, the records that fail) of n records.
+
+    parse(a, b) gives None where any record from a to b fails.
+    """
+    good: list = []
+    bad: list[int] = []
+
+    def halve(a: int, b: int) -> None:
+        if a == b:
+            return
+        if misshapen[a] == misshapen[b]:
+            parsed = parse(a, b)
+            if parsed is not None:
+                good.append(parsed)
+                return
+        if b - a == 1:
+            bad.append(a)
+            return
+        half = (a + b) // 2
+        halve(a, half)
+        halve(half, b)
+
+    for a in range(0, n, block):
+        halve(a, min(n, a + block))
+    return good, bad
+
+
+def _rows_of(good: list[pa.RecordBatch], judged: list[tuple]) -> list[pa.RecordBatch]:
+    if judged:
+        good = [*good, pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*judged), _OUT)], schema=_OUT)]
+    return pa.Table.from_batches(good).combine_chunks().to_batches() if good else []
+
+
+def judge_messages(b: pa.RecordBatch, block: int) -> list[pa.RecordBatch]:
+    """Typed rows and diagnosed ones of tokenised messages (row_id, name, value, type, rate)."""
+    row_id, name, value, kind, rate = b.columns
+    wrong = _misshapen(_joined(name, value, kind, rate), _RECORD)
+    good, bad = bisect(b.num_rows, wrong, lambda i, j: _typed(*[c.slice(i, j - i) for c in b.columns]), block)
+    return _rows_of(good, [_strict(*(c[i].as_py() for c in b.columns)) for i in bad])
+
+
+_CSV = ("at", "name", "value", "type", "rate")
+
+
+def _fields(lines: pa.Array) -> list[pa.Array] | None:
+    """The five fields of a block of lines by the bulk reader, or None where it can't tell them apart."""
+    one = pa.LargeListArray.from_arrays(pa.array([0, len(lines)], pa.int64()), lines)
+    text = pc.binary_join(one, "\n")[0].as_buffer()
     try:
         t = pacsv.read_csv(
-            io.BytesIO(("\n".join(line.to_pylist()) + "\n").encode()),
-            read_options=pacsv.ReadOptions(column_names=names, use_threads=False),
-            parse_options=pacsv.ParseOptions(newlines_in_values=True),
-            convert_options=pacsv.ConvertOptions(column_types=dict.fromkeys(names, pa.string()), strings_can_be_null=False),
+            pa.BufferReader(text),
+            read_options=pacsv.ReadOptions(column_names=_CSV, use_threads=False, block_size=max(1 << 20, text.size + 1)),
+            parse_options=pacsv.ParseOptions(newlines_in_values=True, ignore_empty_lines=False),
+            convert_options=pacsv.ConvertOptions(column_types=dict.fromkeys(_CSV, pa.string()), strings_can_be_null=False),
         )
     except pa.ArrowInvalid:
         return None
-    if t.num_rows != len(row_id):
+    if t.num_rows != len(lines):
         return None
-    c = {x: t[x].combine_chunks() for x in names}
-    rate = pa.array([x or None for x in c["rate"].to_pylist()], pa.string())
-    return _bulk(_joined(c["name"], c["value"], c["type"], rate), row_id, c["name"], c["value"], c["type"], rate, rejects_only)
-
-
-def bisect(columns: list[pa.Array], bulk: Callable, strict: Callable, leaf: int, rejects_only: bool, good: list, judged: list) -> None:
-    """Blocks that pass go to good; what a failing block is halved down to goes, row by row, to judged."""
-    parsed = bulk(*columns, rejects_only)
-    n = len(columns[0])
-    if parsed is not None:
-        if parsed is not True:
-            good.append(parsed)
-    elif n <= leaf:
-        rows = map(strict, *[c.to_pylist() for c in columns])
-        judged += [r for r in rows if r[1] is not None] if rejects_only else rows
-    else:
-        half = n // 2
-        bisect([c.slice(0, half) for c in columns], bulk, strict, leaf, rejects_only, good, judged)
-        bisect([c.slice(half) for c in columns], bulk, strict, leaf, rejects_only, good, judged)
-
-
-def judge_batch(columns: list[pa.Array], bulk: Callable, strict: Callable, block: int, leaf: int, rejects_only: bool) -> list[pa.RecordBatch]:
-    good: list = []
-    judged: list = []
-    for at in range(0, len(columns[0]), block):
-        bisect([c.slice(at, block) for c in columns], bulk, strict, leaf, rejects_only, good, judged)
-    if judged:
-        good.append(pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*judged), _OUT)], schema=_OUT))
-    return pa.Table.from_batches(good).combine_chunks().to_batches() if good else []
-
+    return [t[x].combine_chunks() for x in _CSV[1:]]
 
-def _strict_joined(joined, row_id, name, value, kind, rate) -> tuple:
-    return _strict(row_id, name, value, kind, rate)
 
+def judge_lines(b: pa.RecordBatch, block: int) -> list[pa.RecordBatch]:
+    """Typed rows and diagnosed ones of spool lines (row_id, line)."""
+    row_id, line = b.columns
 
-def judge_messages(b: pa.RecordBatch, block: int, leaf: int, rejects_only: bool) -> list[pa.RecordBatch]:
-    row_id, name, value, kind, rate = b.columns
-    return judge_batch([_joined(name, value, kind, rate), row_id, name, value, kind, rate], _bulk, _strict_joined, block, leaf, rejects_only)
-
+    def parse(i: int, j: int) -> tuple | None:
+        fields = _fields(line.slice(i, j - i))
+        return fields and (i, j, *fields)
 
-def judge_lines(b: pa.RecordBatch, block: int, leaf: int, rejects_only: bool) -> list[pa.RecordBatch]:
-    return judge_batch(b.columns, _bulk_lines, _strict_line, block, leaf, rejects_only)
+    read, bad = bisect(b.num_rows, _misshapen(line, _LINE), parse, block)
+    good: list[pa.RecordBatch] = []
+    judged = [_strict_line(row_id[i].as_py(), line[i].as_py()) for i in bad]
+    if read:
+        at = pa.array(np.concatenate([np.arange(i, j) for i, j, *_ in read]))
+        name, value, kind, rate = (pa.chunked_array(c).combine_chunks() for c in zip(*[r[2:] for r in read]))
+        rate = pc.if_else(pc.equal(rate, ""), pa.scalar(None, pa.string()), rate)
+        cols = [row_id.take(at), name, value, kind, rate]
+        wrong = _misshapen(_joined(name, value, kind, rate), _RECORD)
+        good, bad = bisect(len(at), wrong, lambda i, j: _typed(*[c.slice(i, j - i) for c in cols]), block)
+        judged += [_strict(*(c[i].as_py() for c in cols)) for i in bad]
+    return _rows_of(good, judged)
 
 
-def _parse(df: DataFrame, judge: Callable, block: int, leaf: int, rejects_only: bool) -> DataFrame:
+def _parse(df: DataFrame, judge: Callable, block: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield from judge(b, block, leaf, rejects_only)
+            yield from judge(b, block)
 
     return df.mapInArrow(run, OUT_SCHEMA)
 
 
-def parse_messages(df: DataFrame, row_id: str = "seq", block: int = 256, leaf: int = 32, rejects_only: bool = False) -> DataFrame:
+def parse_messages(df: DataFrame, row_id: str = "seq", block: int = 1024) -> DataFrame:
     """Judge tokenised messages (name, value, type, samplerate); one row each, reason null where valid."""
     fields = df.select(F.col(row_id).cast("bigint").alias("row_id"), "name", "value", "type", "samplerate")
-    return _parse(fields, judge_messages, block, leaf, rejects_only)
+    return _parse(fields, judge_messages, block)
 
 
-def parse_spool(df: DataFrame, row_id: str = "line_id", line: str = "line", block: int = 256, leaf: int = 32, rejects_only: bool = False) -> DataFrame:
+def parse_spool(df: DataFrame, row_id: str = "line_id", line: str = "line", block: int = 1024) -> DataFrame:
     """Judge spool lines `second,name,value,type,samplerate`; one row each, reason null where valid."""
-    return _parse(df.select(F.col(row_id).cast("bigint").alias("row_id"), F.col(line).alias("line")), judge_lines, block, leaf, rejects_only)
+    return _parse(df.select(F.col(row_id).cast("bigint").alias("row_id"), F.col(line).alias("line")), judge_lines, block)
 
 
 def valid_rows(parsed: DataFrame) -> DataFrame:

@@ -49,28 +49,25 @@ def p3_key_results(spark: SparkSession, d: str) -> DataFrame:
     return of("ascii_parser", "name", "value", "ts").unionByName(of("binary_sink", "key", "sink_host", "recv_at"))
 
 
-def _judged(spark: SparkSession, d: str, rejects_only: bool) -> list[tuple[str, DataFrame]]:
-    return [
-        ("ascii_parser", badrows.parse_messages(table(spark, d, "ascii_parser"), rejects_only=rejects_only)),
-        ("ascii_raw", badrows.parse_spool(table(spark, d, "ascii_raw"), rejects_only=rejects_only)),
-    ]
+def _judged(spark: SparkSession, d: str) -> DataFrame:
+    """Every message and line, typed or with its reason: one pass for what is loaded and what is rejected."""
+    a = badrows.parse_messages(table(spark, d, "ascii_parser")).select(F.lit("ascii_parser").alias("src"), "*")
+    b = badrows.parse_spool(table(spark, d, "ascii_raw")).select(F.lit("ascii_raw").alias("src"), "*")
+    return a.unionByName(b)
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    a, b = (badrows.rejected_rows(x).select(F.lit(src).alias("src"), "row_id") for src, x in _judged(spark, d, True))
-    return a.unionByName(b)
+    return _judged(spark, d).where("reason is not null").select("src", "row_id")
 
 
 def p4_reasons(spark: SparkSession, d: str) -> DataFrame:
     """Every rejected row with the reason."""
-    a, b = (badrows.rejected_rows(x).select(F.lit(src).alias("src"), "row_id", "reason") for src, x in _judged(spark, d, True))
-    return a.unionByName(b)
+    return _judged(spark, d).where("reason is not null").select("src", "row_id", "reason")
 
 
 def p4_loaded(spark: SparkSession, d: str) -> DataFrame:
     """The valid samples, typed."""
-    a, b = (badrows.valid_rows(x).select(F.lit(src).alias("src"), "*") for src, x in _judged(spark, d, False))
-    return a.unionByName(b)
+    return badrows.valid_rows(_judged(spark, d))
 
 
 def _flags(spark: SparkSession, d: str) -> DataFrame:
@@ -125,7 +122,19 @@ def _fails(name: str, value: str, kind: str, rate: str) -> str:
                ELSE {num.format(rate)} AND TRY_CAST({rate} AS DOUBLE) > 0 AND TRY_CAST({rate} AS DOUBLE) <= 1 END, false)"""
 
 
-_F = r'("([^"]|"")*"|[^",]*)'
+def _reason(name: str, value: str, kind: str, rate: str) -> str:
+    num = f"regexp_full_match({{}}, '{_NUMBER}')"
+    return f"""CASE WHEN {name} IS NULL THEN 'name missing' WHEN trim({name}, ' ' || chr(9) || chr(10) || chr(13)) = '' THEN 'name blank'
+      WHEN strpos({name}, ':') > 0 THEN 'name has a colon' WHEN {kind} IS NULL OR {kind} NOT IN ('kv', 'g', 'c', 'ms', 'h', 's') THEN 'type unknown'
+      WHEN {value} IS NULL THEN 'value missing' WHEN {value} = '' THEN 'value empty'
+      WHEN {kind} = 's' AND strpos({value}, '|') > 0 THEN 'set member has a bar'
+      WHEN {kind} <> 's' AND NOT {num.format(value)} THEN 'value is no number'
+      WHEN {kind} <> 's' AND NOT coalesce(abs(TRY_CAST({value} AS DOUBLE)) < 'inf'::DOUBLE, false) THEN 'value not finite'
+      WHEN {rate} IS NULL THEN NULL WHEN {kind} NOT IN ('c', 'ms', 'h') THEN 'rate not allowed for type'
+      WHEN NOT {num.format(rate)} THEN 'rate is no number'
+      WHEN NOT coalesce(TRY_CAST({rate} AS DOUBLE) > 0 AND TRY_CAST({rate} AS DOUBLE) <= 1, false) THEN 'rate out of range' END"""
+
+
 _SPLIT = r'(?s)^("[0-9]+"|[0-9]+),("(?:[^"]|"")*"|[^",]*),("(?:[^"]|"")*"|[^",]*),("(?:[^"]|"")*"|[^",]*),("(?:[^"]|"")*"|[^",]*)$'
 _UNQUOTE = "CASE WHEN {0} LIKE '\"%' THEN replace({0}[2:-2], '\"\"', '\"') ELSE {0} END"
 
@@ -142,6 +151,20 @@ fields AS (
 )
 """
 
+#: Fields that end with a comma, as many as can be told apart from the left, and what is then left of the line.
+_WHOLE = r'(?:"(?:[^"]|"")*"|[^",]*),'
+
+_REASONS = f"""
+cut AS (SELECT line_id, regexp_replace(line, '(?s)^(?:{_WHOLE})*', '') AS rest FROM ascii_raw WHERE line IS NOT NULL),
+counted AS (SELECT c.line_id, rest, len(regexp_extract_all(left(r.line, length(r.line) - length(rest)), '(?s){_WHOLE}')) + 1 AS n FROM cut c JOIN ascii_raw r USING (line_id)),
+line_reasons AS (
+  SELECT line_id, CASE
+    WHEN regexp_full_match(rest, '(?s)"(?:[^"]|"")*"|[^",]*') THEN CASE WHEN n < 5 THEN 'too few fields' WHEN n > 5 THEN 'too many fields' ELSE 'time is not digits' END
+    WHEN NOT starts_with(rest, '"') THEN 'quote inside unquoted field'
+    WHEN regexp_matches(rest, '(?s)^"(?:[^"]|"")*"[^",]') THEN 'text after closing quote' ELSE 'quote not closed' END AS reason
+  FROM counted)
+"""
+
 ORACLE_SQL = {
     "p2_found": f"WITH {_READINGS} SELECT key, slot_no * 60 AS slot FROM gaps",
     "p2_grid": f"""WITH {_READINGS}
@@ -160,6 +183,11 @@ ORACLE_SQL = {
     "p4_found": f"""WITH {_LINES}
       SELECT 'ascii_parser' AS src, seq AS row_id FROM ascii_parser WHERE {_fails("name", "value", "type", "samplerate")}
       UNION ALL SELECT 'ascii_raw' AS src, line_id AS row_id FROM fields WHERE NOT ok OR {_fails("name", "value", "kind", "rate")}""",
+    "p4_reasons": f"""WITH {_LINES}, {_REASONS}, every AS (
+      SELECT 'ascii_parser' AS src, seq AS row_id, {_reason("name", "value", "type", "samplerate")} AS reason FROM ascii_parser
+      UNION ALL SELECT 'ascii_raw', line_id, {_reason("name", "value", "kind", "rate")} FROM fields WHERE ok
+      UNION ALL SELECT 'ascii_raw', line_id, coalesce(reason, 'line missing') FROM fields LEFT JOIN line_reasons USING (line_id) WHERE NOT ok)
+      SELECT * FROM every WHERE reason IS NOT NULL""",
     "p4_loaded": f"""WITH {_LINES},
       good AS (
         SELECT 'ascii_parser' AS src, seq AS row_id, name, type AS kind, value, samplerate AS rate

@@ -124,16 +124,24 @@ FIELD = st.one_of(st.none(), st.sampled_from(["a", "", " ", "x:y", "1", "-2.5",
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.tuples(FIELD, FIELD, FIELD, FIELD), max_size=40), st.integers(1, 9), st.integers(1, 3))
-def test_bisection_agrees_with_the_strict_parser(rows, block, leaf):
+@given(st.lists(st.tuples(FIELD, FIELD, FIELD, FIELD), max_size=40), st.integers(1, 9))
+def test_bisection_agrees_with_the_strict_parser(rows, block):
     cols = [pa.array(range(len(rows)), pa.int64()), *[pa.array([r[i] for r in rows], pa.string()) for i in range(4)]]
     b = pa.RecordBatch.from_arrays(cols, names=["row_id", "name", "value", "type", "samplerate"])
     key = lambda r: (r["row_id"], r["reason"], r["name"], r["type"], r["number"], r["member"], r["rate"])
-    got = sorted((key(r) for x in badrows.judge_messages(b, block, leaf, False) for r in x.to_pylist()), key=lambda r: r[0])
-    want = [badrows._strict(i, n, v, t, r) for i, (n, v, t, r) in enumerate(rows)]
-    assert got == want
-    rejects = sorted(r["row_id"] for x in badrows.judge_messages(b, block, leaf, True) for r in x.to_pylist())
-    assert rejects == [w[0] for w in want if w[1]]
+    got = sorted((key(r) for x in badrows.judge_messages(b, block) for r in x.to_pylist()), key=lambda r: r[0])
+    assert got == [badrows._strict(i, n, v, t, r) for i, (n, v, t, r) in enumerate(rows)]
+
+
+def test_only_failing_records_are_diagnosed(monkeypatch):
+    n = 10_000
+    rows = [(i, None if i % 125 == 0 else f"n{i}", "1e999" if i % 1000 == 7 else "1.5", "c", None) for i in range(n)]
+    b = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), *[pa.string()] * 4))], names=["row_id", "name", "value", "type", "samplerate"])
+    seen = []
+    strict = badrows._strict
+    monkeypatch.setattr(badrows, "_strict", lambda *r: seen.append(r[0]) or strict(*r))
+    out = pa.Table.from_batches(badrows.judge_messages(b, 1024))
+    assert out.num_rows == n and sorted(seen) == [i for i in range(n) if i % 125 == 0 or i % 1000 == 7]
 
 
 PIECE = st.sampled_from(['"', ",", "\n", "\r", "1", "a", "c", "s", "0.5", '""', " ", "1,a,2,c,", "﻿"])
@@ -145,14 +153,14 @@ LINE = st.one_of(st.none(), st.lists(PIECE, max_size=8).map("".join), st.sampled
 @given(st.lists(LINE, max_size=30), st.integers(1, 12))
 def test_line_bisection_agrees_with_the_strict_parser(rows, block):
     b = pa.RecordBatch.from_arrays([pa.array(range(len(rows)), pa.int64()), pa.array(rows, pa.string())], names=["row_id", "line"])
-    got = sorted((tuple(r.values()) for x in badrows.judge_lines(b, block, 2, False) for r in x.to_pylist()), key=lambda r: r[0])
+    got = sorted((tuple(r.values()) for x in badrows.judge_lines(b, block) for r in x.to_pylist()), key=lambda r: r[0])
     assert got == [badrows._strict_line(i, x) for i, x in enumerate(rows)]
 
 
 def test_parse_frames(spark):
     rows = [(i, *r, "other") for i, r in enumerate([*GOOD, *[b for b, _ in BAD], ("long", "y" * 200_000, "s", None)])]
     df = spark.createDataFrame(rows, "seq bigint, name string, value string, type string, samplerate string, reason string")
-    out = badrows.parse_messages(df, block=4, leaf=1)
+    out = badrows.parse_messages(df, block=4)
     assert out.count() == len(rows)
     assert {(r.row_id, r.reason) for r in badrows.rejected_rows(out).collect()} == {(len(GOOD) + i, why) for i, (_, why) in enumerate(BAD)}
     valid = {r.row_id: r for r in badrows.valid_rows(out).collect()}
