@@ -1,15 +1,16 @@
 """Implausible readings: values that cannot occur, frozen stretches, spikes.
 
-Per source a robust exponentially weighted control chart follows level and scale; a reading beyond `clip` scales is
-suspected and only its clipped deviation enters the update. A suspected group of at most `spike_len` readings after which
-the source is back at its former level is a spike; a longer one is a change of level, which the chart then adopts.
-A run-length counter finds frozen stretches, limits of the kind find values that cannot occur.
-
-Sources are cut into time shards so that no task holds an unbounded source: repeated deliveries are first reduced to one
-reading by an aggregate (never collected), the number of shards of a source follows its number of readings, and every
-shard also gets the stretches before and after it as context, whose readings it does not report. Whether a source changes
-with nearly every reading, and how long a run is that reaches a shard's border, is found per source from run summaries of
-its shards.
+Per source a robust exponentially weighted control chart follows level, scale and the far quantile of the deviations. A
+reading beyond the chart's bound is suspected; like every other it enters the update, but clipped to half the bound, so that
+a spike hardly moves level and scale. A suspected group of at most `spike_len` readings after which the source is back at
+the level it had before is a spike; a longer one is a change of level, from which the chart goes on. The chart is run in
+both directions. A run-length counter finds frozen stretches, limits of the kind find values that cannot occur.
+
+Sources are cut into shards of about `shard_rows` readings so that no task holds an unbounded source: repeated deliveries
+are first reduced to one reading by an aggregate (never collected), readings of large sources are counted per 16 seconds,
+running totals over those counts, in two levels, give the shard of each, and every shard also gets the readings before and
+after it as context, which it does not report. Whether a source changes with nearly every reading, and how long a run is
+that reaches a shard's border, is found per source from run summaries of its shards.
 
 Defined cases: readings with null key, null time, or null/NaN value are not judged; infinite values are judged; every
 delivered copy of a flagged reading is flagged; several different values at one second are taken in order of value; a
@@ -24,7 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 REASONS = ("limit", "frozen", "spike")
@@ -33,16 +34,17 @@ REASONS = ("limit", "frozen", "spike")
 @dataclass(frozen=True)
 class ChartParams:
     clip: float = 8.0  # scales beyond which a reading is suspected
-    tail: float = 2.5  # and times the 96 % quantile of the source's steps, for sources with heavy tails
+    tail: float = 2.5  # and times the 96 % quantile of the deviations, for sources with heavy tails
     back: float = 6.0  # scales within which the source counts as back at its former level
     level_weight: float = 0.25
     scale_weight: float = 0.06
-    warm_up: int = 24  # readings that give the first level and scale
+    tail_weight: float = 0.01
+    warm_up: int = 24  # readings that give the first level
     spike_len: int = 3
     frozen_len: int = 12
     max_repeats: float = 0.2  # share of repeats, long runs apart, up to which a source changes with nearly every reading
     shard_rows: int = 4096
-    context_share: float = 0.125  # of a shard's length, on either side
+    context_share: float = 0.125  # of a shard's readings, on either side
 
 
 def frozen_runs(v: np.ndarray, p: ChartParams) -> np.ndarray:
@@ -62,7 +64,7 @@ def frozen_runs(v: np.ndarray, p: ChartParams) -> np.ndarray:
 
 
 def chart(v: np.ndarray, p: ChartParams, frozen: np.ndarray) -> np.ndarray:
-    """Spikes by a forward control chart with look-ahead of spike_len readings."""
+    """Spikes by a forward control chart; a group is judged once up to spike_len readings have followed its first."""
     n = len(v)
     out = np.zeros(n, bool)
     if n < 6:
@@ -72,46 +74,49 @@ def chart(v: np.ndarray, p: ChartParams, frozen: np.ndarray) -> np.ndarray:
     d = d[d > 0]
     if not len(d):
         return out
-    # the source's step: the smallest of scales it may shrink to; the median of its non-zero steps is robust against spikes
+    # first scale and far quantile, from the source's steps: their median is robust against spikes, and steps beyond 25
+    # typical ones belong to spikes, which in a short series would be a large share
     typical = float(np.median(d)) * 1.0483
-    floor = 0.35 * typical
-    # steps beyond 25 typical ones belong to spikes, which in a short series would be a large share
-    least = p.tail * float(np.quantile(d[d <= 25 * typical], 0.96))
+    far = float(np.quantile(d[d <= 25 * typical], 0.96))
+    floor, least = 0.35 * typical, 0.5 * far
     head = finite[: p.warm_up]
     level = float(np.nanmedian(head)) if not np.isnan(head).all() else float(np.nanmedian(finite))
     scale = max(floor, typical)
-    vals = v.tolist()
-    hold = frozen.tolist()
+    before = (level, 0.0)  # level and tolerance when the first of the pending readings came
     pending: list[int] = []
-    a, b, clip, back = p.level_weight, p.scale_weight, p.clip, p.back
+    rise, fall = math.exp(0.96 * p.tail_weight), math.exp(-0.04 * p.tail_weight)
+    a, b, clip, tail = p.level_weight, p.scale_weight, p.clip, p.tail
+    vals, hold = v.tolist(), frozen.tolist()
     for i, x in enumerate(vals):
         e = x - level
         dev = abs(e)
         if pending:
-            if dev <= max(back * scale, least * 0.75):
+            if abs(x - before[0]) <= before[1]:
                 out[pending] = True
                 pending = []
             elif len(pending) < p.spike_len:
                 pending.append(i)
-                continue
             else:
-                # longer than a spike: a lasting change, the chart starts anew at the new level
+                # longer than a spike: a lasting change, the chart goes on from the new level
                 known = [vals[j] for j in [*pending, i] if math.isfinite(vals[j]) and abs(vals[j]) < 1e300]
                 if known:
                     level = float(np.median(known[-3:]))
                 pending = []
                 continue
-        elif dev > clip * scale and dev > least:
+        elif dev > clip * scale and dev > tail * far:
             pending.append(i)
-            continue
+            before = (level, max(p.back * scale, 0.75 * tail * far))
         if hold[i]:
             level = x if math.isfinite(x) else level
             continue
-        bound = clip * scale * 0.5
+        bound = 0.5 * clip * scale
         level += a * max(-bound, min(bound, e))
         scale += b * (1.2533 * min(dev, 3.5 * scale) - scale)
         if scale < floor:
             scale = floor
+        far *= rise if dev > far else fall
+        if far < least:
+            far = least
     return out
 
 
@@ -144,26 +149,36 @@ def distinct_readings(readings: DataFrame) -> DataFrame:
     return readings.where(ok).groupBy("key", "ts", "val").agg(F.min("rec_id").alias("rec_id"), F.count(F.lit(1)).alias("copies"))
 
 
-def _cut(once: DataFrame, p: ChartParams) -> DataFrame:
-    """Readings with their shard."""
-    extent = once.groupBy("key").agg(F.count(F.lit(1)).alias("_n"), F.min("ts").alias("_from"), F.max("ts").alias("_to"))
-    extent = extent.withColumn("_shards", F.ceil(F.col("_n") / F.lit(p.shard_rows))).withColumn(
-        "_len", F.ceil((F.col("_to") - F.col("_from") + 1) / F.col("_shards"))
+def _cut(large: DataFrame, p: ChartParams) -> DataFrame:
+    """Readings of large sources with their shard, and for how many neighbouring shards they are context.
+
+    Shards are cut by number of readings: counts per 16 seconds, running totals of these within 2**16 seconds, and over the
+    2**16-second totals of a source. No window holds more than 4,096 counts or the totals of one source.
+    """
+    x = large.withColumn("_spot", F.shiftright("ts", 4))
+    counts = x.groupBy("key", "_spot").agg(F.count(F.lit(1)).alias("_n")).withColumn("_day", F.shiftright("_spot", 12))
+    days = counts.groupBy("key", "_day").agg(F.sum("_n").alias("_in_day"))
+    earlier = (Window.unboundedPreceding, -1)
+    by_day = Window.partitionBy("key").orderBy("_day").rowsBetween(*earlier)
+    in_day = Window.partitionBy("key", "_day").orderBy("_spot").rowsBetween(*earlier)
+    days = days.withColumn("_from", F.coalesce(F.sum("_in_day").over(by_day), F.lit(0)))
+    counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(in_day), F.lit(0)))
+    spots = counts.join(days, ["key", "_day"]).select("key", "_spot", (F.col("_from") + F.col("_before")).alias("_at"))
+    into = F.pmod("_at", F.lit(p.shard_rows))
+    context = int(p.context_share * p.shard_rows)
+    spots = spots.select(
+        "key", "_spot", F.expr(f"_at div {p.shard_rows}").alias("_shard"), (into < context).alias("_first"), (into >= p.shard_rows - context).alias("_last")
     )
-    many = extent.where("_shards > 1").select("key", "_from", "_len", "_shards")
-    # sources with one shard, nearly all of them, need no join partner: left join keeps them in shard 0
-    x = once.join(many, "key", "left")
-    shard = F.coalesce(F.floor((F.col("ts") - F.col("_from")) / F.col("_len")), F.lit(0).cast("bigint"))
-    return x.withColumn("_shard", shard)
+    return x.join(spots, ["key", "_spot"]).drop("_spot")
 
 
 def _run_facts(x: DataFrame, p: ChartParams) -> DataFrame:
-    """(key, shard, changes, first_run, last_run) of sources with several shards, from run summaries of the shards.
+    """(key, shard, changes, first_run, last_run) of large sources, from run summaries of the shards.
 
     changes: whether the source, long runs apart, changes with nearly every reading and has long runs at all.
     """
     inside = Window.partitionBy("key", "shard").orderBy("ts", "val")
-    x = x.where("_shards > 1").select("key", F.col("_shard").alias("shard"), "ts", "val")
+    x = x.select("key", F.col("_shard").alias("shard"), "ts", "val")
     x = x.withColumn("_new", F.coalesce(F.col("val") != F.lag("val").over(inside), F.lit(True)).cast("bigint"))
     x = x.withColumn("run", F.sum("_new").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
     runs = x.groupBy("key", "shard", "run").agg(F.max("val").alias("val"), F.count(F.lit(1)).alias("n"))
@@ -197,24 +212,16 @@ def _run_facts(x: DataFrame, p: ChartParams) -> DataFrame:
     )
 
 
-def _with_context(x: DataFrame, p: ChartParams) -> DataFrame:
+def _with_context(x: DataFrame) -> DataFrame:
     """Readings with their shard, and again as context (own = false) for the shards beside it."""
-    into = (F.col("ts") - F.col("_from")) - F.col("_shard") * F.col("_len")
-    halo = F.ceil(F.col("_len") * F.lit(p.context_share))
-    spots = F.filter(
-        F.array(
-            F.struct(F.col("_shard").alias("shard"), F.lit(True).alias("own")),
-            F.struct(F.when((F.col("_shard") > 0) & (into < halo), F.col("_shard") - 1).alias("shard"), F.lit(False).alias("own")),
-            F.struct(
-                F.when((F.col("_shard") < F.col("_shards") - 1) & (into >= F.col("_len") - halo), F.col("_shard") + 1).alias("shard"),
-                F.lit(False).alias("own"),
-            ),
-        ),
-        lambda s: s["shard"].isNotNull(),
-    )
-    return x.select("key", "ts", "val", "rec_id", "copies", F.explode(spots).alias("_at")).select(
-        "key", "ts", "val", "rec_id", "copies", F.col("_at.shard").alias("shard"), F.col("_at.own").alias("own")
-    )
+
+    def spot(shard: Column, own: bool) -> Column:
+        return F.struct(shard.alias("shard"), F.lit(own).alias("own"))
+
+    here = F.col("_shard")
+    spots = F.array(spot(here, True), spot(F.when(F.col("_first") & (here > 0), here - 1), False), spot(F.when(F.col("_last"), here + 1), False))
+    known = F.explode(F.filter(spots, lambda s: s["shard"].isNotNull())).alias("_to")
+    return x.select("key", "ts", "val", "rec_id", "copies", known).select("key", "ts", "val", "rec_id", "copies", F.col("_to.shard").alias("shard"), F.col("_to.own").alias("own"))
 
 
 def flag_readings(readings: DataFrame, kinds: DataFrame, params: ChartParams = ChartParams()) -> DataFrame:
@@ -272,9 +279,14 @@ def flag_readings(readings: DataFrame, kinds: DataFrame, params: ChartParams = C
         cols = [(c.chunk(0) if c.num_chunks else pa.array([], c.type)) for c in out.columns]
         return pa.RecordBatch.from_arrays([*cols, reason], names=["key", "ts", "val", "rec_id", "copies", "reason"])
 
-    cut = _cut(distinct_readings(readings), params)
+    once = distinct_readings(readings)
+    large = once.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > params.shard_rows).select("key", F.lit(True).alias("_large"))
+    once = once.join(large, "key", "left")
+    whole = once.where(F.col("_large").isNull()).drop("_large").withColumns({"shard": F.lit(0).cast("bigint"), "own": F.lit(True)})
+    cut = _cut(once.where("_large").drop("_large"), params)
     # the facts of a shard are the first row of its group, as they have no time
-    every = _with_context(cut, params).unionByName(_run_facts(cut, params).withColumn("own", F.lit(False)), allowMissingColumns=True)
+    facts = _run_facts(cut, params).withColumn("own", F.lit(False))
+    every = whole.unionByName(_with_context(cut)).unionByName(facts, allowMissingColumns=True)
     parts = every.repartition("key", "shard").sortWithinPartitions("key", "shard", "ts", "val")
     return parts.mapInArrow(run, "key string, ts bigint, val double, rec_id bigint, copies bigint, reason string")
 

@@ -262,3 +262,34 @@ def test_frozen_over_whole_shards_is_flagged(spark):
     for shard_rows in (4096, 256):
         got = spikes.flag_records(df, kinds, spikes.ChartParams(shard_rows=shard_rows)).where("reason = 'frozen'").collect()
         assert {r.rec_id for r in got} == set(range(a, b)), shard_rows
+
+
+@pytest.mark.parametrize("shard_rows", [100_000, 4096, 700])
+def test_half_of_a_large_source_frozen(spark, shard_rows):
+    rnd = np.random.default_rng(2)
+    n, a, b = 20_000, 6_000, 16_000
+    v = np.round(rnd.normal(50, 2, n), 6)
+    v[a:b] = 50.0
+    df = spark.createDataFrame([(i, "one.source.load", i, float(x)) for i, x in enumerate(v)], "rec_id bigint, key string, ts bigint, val double")
+    kinds = spark.createDataFrame([], "kind string, low double, high double")
+    got = spikes.flag_records(df, kinds, spikes.ChartParams(shard_rows=shard_rows)).collect()
+    assert {r.rec_id for r in got} == set(range(a, b)) and {r.reason for r in got} == {"frozen"}
+
+
+def test_shards_are_cut_by_readings_not_by_time(spark):
+    """A source that sends nearly everything in one stretch of its time is spread all the same."""
+    n = 20_000
+    df = spark.createDataFrame([(i, "burst", i if i < n - 1 else 10**8, float(i % 7), 1) for i in range(n)], "rec_id bigint, key string, ts bigint, val double, copies int")
+    cut = spikes._cut(df, spikes.ChartParams(shard_rows=1000))
+    sizes = [r["count"] for r in cut.groupBy("_shard").count().collect()]
+    assert sum(sizes) == n and max(sizes) <= 1016 and len(sizes) == 20
+    assert spikes._with_context(cut).where("not own").groupBy("shard").count().agg(F.max("count")).first()[0] <= 2 * (125 + 16)
+
+
+def test_clipped_values_hardly_move_the_chart():
+    v = wave(600, noise=0.5)
+    v[300:303] += 500
+    assert np.flatnonzero(codes(v)).tolist() == [300, 301, 302]
+    # two spikes close together are both seen
+    v[306] -= 400
+    assert np.flatnonzero(codes(v)).tolist() == [300, 301, 302, 306]
