@@ -6,11 +6,12 @@ a spike hardly moves level and scale. A suspected group of at most `spike_len` r
 the level it had before is a spike; a longer one is a change of level, from which the chart goes on. The chart is run in
 both directions. A run-length counter finds frozen stretches, limits of the kind find values that cannot occur.
 
-Sources are cut into shards of about `shard_rows` readings so that no task holds an unbounded source: repeated deliveries
-are first reduced to one reading by an aggregate (never collected), readings of large sources are counted per 16 seconds,
-running totals over those counts, in two levels, give the shard of each, and every shard also gets the readings before and
-after it as context, which it does not report. Whether a source changes with nearly every reading, and how long a run is
-that reaches a shard's border, is found per source from run summaries of its shards.
+A source of at most `shard_rows` records is judged whole, its records shuffled once. Larger ones are cut into shards of
+about that many readings, so that no task holds an unbounded source: repeated deliveries are first reduced to one reading by
+an aggregate (never collected), readings are counted per 16 seconds, running totals over those counts, in two levels, give
+the shard of each, and every shard also gets the readings before and after it as context, which it does not report.
+Whether a source changes with nearly every reading, and how long a run is that reaches a shard's border, is found per
+source from run summaries of its shards. Readings are kept in the shared folder, as both ways start from them.
 
 Defined cases: readings with null key, null time, or null/NaN value are not judged; infinite values are judged; every
 delivered copy of a flagged reading is flagged; several different values at one second are taken in order of value; a
@@ -28,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from meterloom.session import kept
+
 REASONS = ("limit", "frozen", "spike")
 
 
@@ -143,10 +146,10 @@ def judge(v: np.ndarray, low: float, high: float, p: ChartParams, frozen: np.nda
     return np.where(limit, 1, np.where(frozen, 2, np.where(spike, 3, 0)))
 
 
-def distinct_readings(readings: DataFrame) -> DataFrame:
-    """(key, ts, val, rec_id, copies): one row per reading, however often delivered."""
+def known_readings(readings: DataFrame) -> DataFrame:
+    """(key, ts, val, rec_id): the readings that can be judged."""
     ok = F.col("key").isNotNull() & F.col("ts").isNotNull() & F.col("val").isNotNull() & ~F.isnan("val")
-    return readings.where(ok).groupBy("key", "ts", "val").agg(F.min("rec_id").alias("rec_id"), F.count(F.lit(1)).alias("copies"))
+    return readings.where(ok).select("key", "ts", "val", "rec_id")
 
 
 def _cut(large: DataFrame, p: ChartParams) -> DataFrame:
@@ -221,18 +224,24 @@ def _with_context(x: DataFrame) -> DataFrame:
     here = F.col("_shard")
     spots = F.array(spot(here, True), spot(F.when(F.col("_first") & (here > 0), here - 1), False), spot(F.when(F.col("_last"), here + 1), False))
     known = F.explode(F.filter(spots, lambda s: s["shard"].isNotNull())).alias("_to")
-    return x.select("key", "ts", "val", "rec_id", "copies", known).select("key", "ts", "val", "rec_id", "copies", F.col("_to.shard").alias("shard"), F.col("_to.own").alias("own"))
+    return x.select("key", "ts", "val", known).select("key", "ts", "val", F.col("_to.shard").alias("shard"), F.col("_to.own").alias("own"))
+
 
+def _with_limits(rows: DataFrame, kinds: DataFrame) -> DataFrame:
+    """Rows with the limits of their kind, the last part of the key; where a kind has several rows, the widest."""
+    known = lambda c: F.when(~F.isnan(c), F.col(c))
+    limits = kinds.groupBy(F.col("kind").alias("_kind")).agg(F.min(known("low")).alias("low"), F.max(known("high")).alias("high"))
+    return rows.join(limits, F.substring_index("key", ".", -1) == F.col("_kind"), "left").drop("_kind")
 
-def flag_readings(readings: DataFrame, kinds: DataFrame, params: ChartParams = ChartParams()) -> DataFrame:
-    """(key, ts, val, rec_id, copies, reason): the implausible readings, one row each however often delivered.
 
-    readings: rec_id, key, ts (epoch seconds), val. kinds: kind, low, high, a fixed table of at most `MAX_KINDS` rows.
+def _judged(groups: DataFrame, params: ChartParams) -> DataFrame:
+    """(key, ts, val, rec_id, reason): the implausible ones of readings that are partitioned by (key, shard).
+
+    Repeated deliveries are judged as one reading.
     """
-    limits = _limits(kinds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Partitions are hashed by (key, shard) and sorted, so groups are contiguous; only one is held over a batch's end."""
+        """Partitions are sorted by key and shard, so groups are contiguous; only one is held over a batch's end."""
         rest: list[pa.RecordBatch] = []
         for b in batches:
             if not b.num_rows:
@@ -262,51 +271,52 @@ def flag_readings(readings: DataFrame, kinds: DataFrame, params: ChartParams = C
 
     def _judge_groups(t: pa.Table, starts: np.ndarray, end: int) -> pa.RecordBatch:
         codes = np.zeros(end, np.int64)
-        vals = t["val"].to_numpy()[:end]
-        own = t["own"].to_numpy()[:end]
-        keys = t["key"]
+        ts, vals, own, low, high = (t[c].to_numpy()[:end] for c in ("ts", "val", "own", "low", "high"))
         for s, e in zip(starts, [*starts[1:], end]):
-            low, high = limits.get(keys[int(s)].as_py().rsplit(".", 1)[-1], (-math.inf, math.inf))
-            frozen = None
+            facts = None
             if t["changes"][int(s)].is_valid:
                 facts = tuple(t[c][int(s)].as_py() for c in ("changes", "first_run", "last_run"))
                 s += 1
-                frozen = shard_runs(vals[s:e], own[s:e], facts, params)
-            codes[s:e] = judge(vals[s:e], low, high, params, frozen)
+            first = np.r_[True, (ts[s + 1 : e] != ts[s : e - 1]) | (vals[s + 1 : e] != vals[s : e - 1])][: e - s]
+            v, mine = vals[s:e][first], own[s:e][first]
+            frozen = None if facts is None else shard_runs(v, mine, facts, params)
+            codes[s:e] = judge(v, low[e - 1], high[e - 1], params, frozen)[np.cumsum(first) - 1]
         hit = np.flatnonzero((codes > 0) & own)
-        out = t.select(["key", "ts", "val", "rec_id", "copies"]).take(pa.array(hit)).combine_chunks()
+        out = t.select(["key", "ts", "val", "rec_id"]).take(pa.array(hit)).combine_chunks()
         reason = pa.array([REASONS[c - 1] for c in codes[hit]], pa.string())
         cols = [(c.chunk(0) if c.num_chunks else pa.array([], c.type)) for c in out.columns]
-        return pa.RecordBatch.from_arrays([*cols, reason], names=["key", "ts", "val", "rec_id", "copies", "reason"])
-
-    once = distinct_readings(readings)
-    large = once.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > params.shard_rows).select("key", F.lit(True).alias("_large"))
-    once = once.join(large, "key", "left")
-    whole = once.where(F.col("_large").isNull()).drop("_large").withColumns({"shard": F.lit(0).cast("bigint"), "own": F.lit(True)})
-    cut = _cut(once.where("_large").drop("_large"), params)
-    # the facts of a shard are the first row of its group, as they have no time
-    facts = _run_facts(cut, params).withColumn("own", F.lit(False))
-    every = whole.unionByName(_with_context(cut)).unionByName(facts, allowMissingColumns=True)
-    parts = every.repartition("key", "shard").sortWithinPartitions("key", "shard", "ts", "val")
-    return parts.mapInArrow(run, "key string, ts bigint, val double, rec_id bigint, copies bigint, reason string")
+        return pa.RecordBatch.from_arrays([*cols, reason], names=["key", "ts", "val", "rec_id", "reason"])
 
+    columns = ("key", "shard", "ts", "val", "rec_id", "own", F.coalesce("low", F.lit(-math.inf)).alias("low"), F.coalesce("high", F.lit(math.inf)).alias("high"), *_FACTS)
+    parts = groups.select(*columns).sortWithinPartitions("key", "shard", "ts", "val")
+    return parts.mapInArrow(run, "key string, ts bigint, val double, rec_id bigint, reason string")
 
-MAX_KINDS = 10_000
 
-
-def _limits(kinds: DataFrame) -> dict[str, tuple[float, float]]:
-    rows = kinds.select("kind", "low", "high").limit(MAX_KINDS + 1).collect()
-    if len(rows) > MAX_KINDS:
-        raise ValueError("the table of kinds is larger than its bound")
-    known = lambda x, other: other if x is None or math.isnan(x) else x
-    return {r.kind: (known(r.low, -math.inf), known(r.high, math.inf)) for r in rows if r.kind is not None}
+#: What `_run_facts` finds out about a shard.
+_FACTS = {"changes": "boolean", "first_run": "bigint", "last_run": "bigint"}
 
 
 def flag_records(readings: DataFrame, kinds: DataFrame, params: ChartParams = ChartParams()) -> DataFrame:
-    """(rec_id, reason): every delivered record of an implausible reading."""
-    readings = readings.select("rec_id", "key", "ts", "val")
-    flags = flag_readings(readings, kinds, params)
-    alone = flags.where("copies = 1").select("rec_id", "reason")
-    several = flags.where("copies > 1").select(F.col("key").alias("_k"), F.col("ts").alias("_t"), F.col("val").alias("_v"), "reason")
-    copies = readings.join(several, (F.col("key") == F.col("_k")) & (F.col("ts") == F.col("_t")) & (F.col("val") == F.col("_v")))
-    return alone.unionByName(copies.select("rec_id", "reason"))
+    """(rec_id, reason): every delivered record of an implausible reading.
+
+    readings: rec_id, key, ts (epoch seconds), val. kinds: kind, low, high.
+    """
+    p = params
+    readings = kept(known_readings(readings), "readings")
+    large = kept(readings.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > p.shard_rows).select("key"), "large-sources")
+    any_large = not large.isEmpty()
+    # a whole source, copies and all, has at most shard_rows records here
+    small = readings.join(large, "key", "left_anti") if any_large else readings
+    whole = _with_limits(small, kinds).withColumns({"shard": F.lit(0).cast("bigint"), "own": F.lit(True)} | {n: F.lit(None).cast(t) for n, t in _FACTS.items()})
+    out = _judged(whole.repartition("key"), p).select("rec_id", "reason")
+    if any_large:
+        every = readings.join(large, "key", "left_semi")
+        once = kept(every.groupBy("key", "ts", "val").agg(F.lit(1).alias("_")).drop("_"), "large-readings")
+        cut = _cut(once, p)
+        # the facts of a shard are the first row of its group, as they have no time
+        facts = _run_facts(cut, p).withColumn("own", F.lit(False))
+        rows = _with_limits(_with_context(cut).unionByName(facts, allowMissingColumns=True), kinds).withColumn("rec_id", F.lit(None).cast("bigint"))
+        flags = _judged(rows.repartition("key", "shard"), p).select(F.col("key").alias("_k"), F.col("ts").alias("_t"), F.col("val").alias("_v"), "reason")
+        copies = every.join(flags, (F.col("key") == F.col("_k")) & (F.col("ts") == F.col("_t")) & (F.col("val") == F.col("_v")))
+        out = out.unionByName(copies.select("rec_id", "reason"))
+    return out

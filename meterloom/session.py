@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int = 8, partitions: int | None = None) -> SparkSession:
@@ -24,13 +25,23 @@ def local_session(cpus: int = 8, partitions: int | None = None) -> SparkSession:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of `spark.checkpoint.dir`; a local one only where the session names none (tests)."""
+    """The shared folder of `spark.checkpoint.dir`. Where the session names none, a local one, but only in local mode."""
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        if not sc._jsc.sc().getCheckpointDir().isDefined():
-            sc.setCheckpointDir(configured)
-        return configured
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="meterloom-ckpt-"))
-    return sc._jsc.sc().getCheckpointDir().get()
+    if not configured and not sc._jsc.sc().getCheckpointDir().isDefined():
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        configured = tempfile.mkdtemp(prefix="meterloom-ckpt-")
+    if configured and not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(configured)
+    return configured or sc._jsc.sc().getCheckpointDir().get()
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """The same rows, read from a table written to the checkpoint folder: cuts lineage and is computed once.
+
+    The folder's files are of no use once the results are out.
+    """
+    path = f"{checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

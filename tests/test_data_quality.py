@@ -279,7 +279,7 @@ def test_half_of_a_large_source_frozen(spark, shard_rows):
 def test_shards_are_cut_by_readings_not_by_time(spark):
     """A source that sends nearly everything in one stretch of its time is spread all the same."""
     n = 20_000
-    df = spark.createDataFrame([(i, "burst", i if i < n - 1 else 10**8, float(i % 7), 1) for i in range(n)], "rec_id bigint, key string, ts bigint, val double, copies int")
+    df = spark.createDataFrame([("burst", i if i < n - 1 else 10**8, float(i % 7)) for i in range(n)], "key string, ts bigint, val double")
     cut = spikes._cut(df, spikes.ChartParams(shard_rows=1000))
     sizes = [r["count"] for r in cut.groupBy("_shard").count().collect()]
     assert sum(sizes) == n and max(sizes) <= 1016 and len(sizes) == 20
