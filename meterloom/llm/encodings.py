@@ -1,20 +1,22 @@
 """Text decoded with the wrong encoding: which messages hold some, and what stood there.
 
-A noisy-channel model over words that hold characters beyond ASCII. The source model is the corpus itself: how many
-documents hold a word, and how often a character occurs. The channel is a decoder that took bytes of one encoding for
-another. Each word is laid out as a lattice over its characters: an edge keeps a character, or reads the bytes of two to
-four neighbours as one character of UTF-8, or stands as a wildcard for bytes that were lost; the Viterbi path is the most
-likely source. Paths are searched again on their own result, which undoes repeated damage. Confusions between one-byte
-encodings keep a word's length and look like text; they are judged by word frequencies: a reading is taken if the corpus
-holds it far more often than the word as it stands. Wildcards (U+FFFD, lead bytes whose rest is gone) are filled with the
-most frequent word of the corpus that fits.
+A noisy-channel model over words that hold characters beyond ASCII. The source model is the corpus itself: on how many
+different lines a word stands, and how often a character occurs. The channel is a decoder that took bytes of one encoding
+for another, or lost some. Each word is laid out as a lattice over its bytes: an edge keeps a character, or reads the bytes
+of two to four neighbours as one character of UTF-8, or is a wildcard where bytes were lost (U+FFFD, controls, lead bytes
+whose rest is gone). A Viterbi search under the character counts gives the likeliest path without and with wildcards; it is
+repeated on its own result, which undoes repeated damage. Every proposed reading is then scored under the corpus's word
+frequencies: a reading's gain in characters and in frequency together must outweigh the word as it stands, and wildcards
+take the most frequent word that fits. Confusions between one-byte encodings, a lattice of one edge a byte, look like text
+and need a reading that the corpus holds far more often than the word.
 
 Statistics cover every word of every document and count different lines, quote marks apart, so that copies and quotes do
-not make a word likelier; characters that can be read as UTF-8 are left out of the character counts. Words are judged once each, not once per document, and meet the documents
-again by a join; only the character table (at most one row per code point) is collected.
+not make a word likelier; characters that can be read as UTF-8 are left out of the character counts. Documents are read
+once for their words, which are kept in the shared folder. Words are judged once each, not once per document, spread over
+as many tasks as their number asks for; only the character table (at most one row per code point) is collected.
 
-A lone letter where the corpus has a symbol a hundred times as often counts as damage, so a letter that stands alone for
-good reason, but hardly ever, may be taken for damage; lone symbols are never judged by counts.
+A lone character counts as damage where the corpus has a reading of it in the same surroundings in a hundred times as many
+messages, so one that stands alone for good reason, but hardly ever, may be taken for damage.
 
 Defined cases: null or empty texts hold no damage; repeated documents are each found; a message whose damage can't be
 undone is still found, and its text stays; an empty table gives no rows; extra columns are ignored.
@@ -30,16 +32,16 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meterloom.llm import mail
-from meterloom.session import checkpoint_dir
+from meterloom.session import kept
 
 LOST = "�"
 WORD = re.compile("(?<![A-Za-z])[A-Za-z]*+(?:[^\x00-\x7f\xa0  　]\xa0?[A-Za-z]*)+")
-#: A lone character beyond ASCII before a digit or a blank; at a line's end it may be what is left of a cut word.
-SYMBOL = re.compile("(?<![A-Za-z\x80-\U0010ffff])([^\x00-\x7f\xa0\u2028\u2029\u3000\ufffd])([0-9 ])")
+#: A lone character beyond ASCII and what follows it: a digit, a blank, another ASCII character but a letter, a line's end.
+SYMBOL = re.compile("(?<![A-Za-z\x80-\U0010ffff])([^\x00-\x7f\xa0\u2028\u2029\u3000\ufffd])(?![A-Za-z\x80-\U0010ffff])(.?)")
 QUOTE = re.compile(r"^[\s>|]+")
 #: Encodings that bytes may have been taken for, and encodings they may have been in.
 TAKEN_FOR = ("cp1252", "cp1250", "cp1251", "cp437", "cp850", "mac_roman", "cp1253", "cp1254", "cp1257", "koi8_r", "cp866", "cp852", "iso8859_2", "iso8859_5")
@@ -47,15 +49,23 @@ WERE_IN = ("cp1252", "cp1250", "cp1251", "mac_roman", "cp437", "cp850", "koi8_r"
 C1 = re.compile("[\x80-\x84\x86-\x9f]")
 
 
+#: Leads of two- and three-byte sequences that are common in texts, and their bytes.
+LEADS = {"Ã": 0xC3, "Ä": 0xC4, "Å": 0xC5, "â": 0xE2}
+
+
 @dataclass(frozen=True)
 class EncodingParams:
-    gain: float = 4.0  # log-likelihood by which a UTF-8 reading must be better than the word as it stands
+    gain: float = 4.0  # log-likelihood, of characters and word frequency together, by which a UTF-8 reading must be better
     seen: int = 3  # different lines that must hold a character before it is offered as a reading
     slack: float = 6.0  # log-likelihood by which a one-byte reading may fall behind before word counts are asked
-    word_docs: int = 5  # different lines that must hold a one-byte reading
+    word_lines: int = 5  # different lines that must hold a one-byte reading
     ratio: float = 4.0  # and how many times more than the word as it stands
-    symbol_ratio: float = 100.0  # the same for a lone letter that reads as a symbol
-    passes: int = 4
+    sure: float = 6.0  # or log-likelihood, as for UTF-8, that makes one line enough
+    symbol_ratio: float = 100.0  # the same for a lone character, in messages
+    never: float = -30.0  # log-likelihood of a character that no source writes
+    lost: float = -8.0  # and of a wildcard
+    task_words: int = 20_000  # words that one task judges
+    shipped_fixes: int = 200_000  # fixes up to which every worker holds them while texts are restored
 
 
 def _bytes_of(encoding: str) -> dict[str, int]:
@@ -102,8 +112,10 @@ class Channel:
         self.maps = list(maps.values())
 
     def log(self, word: str) -> float:
-        get, least = self.logs.get, self.unseen
-        return sum(get(c, least) for c in word if c > "\x7f")
+        return sum(self._char(c) for c in word if c > "\x7f")
+
+    def _char(self, c: str) -> float:
+        return self.p.never if c == LOST or C1.match(c) else self.logs.get(c, self.unseen)
 
     def _decoded(self, word: str, i: int, table: dict[str, int]) -> tuple[str, int] | None:
         """The UTF-8 character whose bytes start at i, and how many characters it takes."""
@@ -124,44 +136,68 @@ class Channel:
         except UnicodeDecodeError:
             return None
 
-    def viterbi(self, word: str, table: dict[str, int]) -> tuple[str, float]:
-        """The best path through the lattice of one word and one encoding."""
+    def edges(self, word: str, i: int, table: dict[str, int]) -> list[tuple[int, str, float, bool]]:
+        """(end, text, log-likelihood, wildcard) of the lattice's edges from character i of a word."""
+        c = word[i]
+        if c <= "\x7f":
+            return [(i + 1, c, 0.0, False)]
+        out = [(i + 1, c, self._char(c), False)]
+        if c == LOST:
+            end = i
+            while end < len(word) and word[end] == LOST:
+                end += 1
+            return [*out, (end, "*", self.p.lost, True)]
+        d = self._decoded(word, i, table)
+        if d and (self.counts.get(d[0], 0) >= self.p.seen or d[0] in table or d[0] == "\ufeff"):
+            out.append((i + d[1], d[0], self._char(d[0]) if d[0] > "\x7f" else 0.0, False))
+        if C1.match(c) or (not d and c in LEADS and table.get(c) == LEADS[c]):
+            out.append((i + 1, "*", self.p.lost, True))
+        return out
+
+    def viterbi(self, word: str, table: dict[str, int]) -> list[tuple[str, float]]:
+        """The best path through the lattice of one word and one encoding, without wildcards and with some."""
         n = len(word)
-        best = [-math.inf] * (n + 1)
-        back: list[tuple[int, str]] = [(0, "")] * (n + 1)
-        best[0] = 0.0
+        best = [[-math.inf] * 2 for _ in range(n + 1)]
+        back: list[list[tuple[int, int, str]]] = [[(0, 0, "")] * 2 for _ in range(n + 1)]
+        best[0][0] = 0.0
         for i in range(n):
-            c = word[i]
-            at = best[i]
-            keep = at + (self.logs.get(c, self.unseen) if c > "\x7f" else 0.0)
-            if keep > best[i + 1]:
-                best[i + 1], back[i + 1] = keep, (i, c)
-            if c > "\x7f":
-                d = self._decoded(word, i, table)
-                if d and (self.counts.get(d[0], 0) >= self.p.seen or d[0] in table or d[0] == "﻿"):
-                    score = at + (self.logs.get(d[0], self.unseen) if d[0] > "\x7f" else 0.0)
-                    if score > best[i + d[1]]:
-                        best[i + d[1]], back[i + d[1]] = score, (i, d[0])
-        out: list[str] = []
-        i = n
-        while i:
-            i, c = back[i]
-            out.append(c)
-        return "".join(reversed(out)), best[n]
-
-    def utf8_reading(self, word: str) -> str | None:
-        """The word with UTF-8 damage undone, as often as it was done, or None."""
-        now, score = word, self.log(word)
-        for _ in range(self.p.passes):
+            if best[i][0] == best[i][1] == -math.inf:
+                continue
+            for end, text, logp, wild in self.edges(word, i, table):
+                for state in (0, 1):
+                    score, to = best[i][state] + logp, int(wild or state)
+                    if score > best[end][to]:
+                        best[end][to], back[end][to] = score, (i, state, text)
+        paths = []
+        for state in (0, 1):
+            out: list[str] = []
+            i, s = n, state
+            while i:
+                i, s, text = back[i][s]
+                out.append(text)
+            paths.append(("".join(reversed(out)) if best[n][state] > -math.inf else "", best[n][state]))
+        return paths
+
+    def utf8_reading(self, word: str, least: float | None = None) -> tuple[str, float] | None:
+        """The word with UTF-8 damage undone, as often as it was done, and what its characters gain; or None."""
+        least = self.p.gain if least is None else least
+        start = score = self.log(word)
+        now = word
+        while True:
+            # every pass makes the word shorter
             top, top_score = now, score
             for table in self.to_bytes.values():
-                w, s = self.viterbi(now, table)
+                w, s = self.viterbi(now, table)[0]
                 if w != now and s > top_score:
                     top, top_score = w, s
-            if top == now or top_score < score + (self.p.gain if now == word else 0.5):
-                break
+            if top == now or top_score < score + (least if now == word else 0.5):
+                return (now, score - start) if now != word else None
             now, score = top, top_score
-        return now if now != word else None
+
+    def patterns(self, word: str) -> list[str]:
+        """The word with a * for what was lost, by the best paths with wildcards that keep some ASCII letter."""
+        out = {self.viterbi(word, self.to_bytes["cp1252"])[1][0]}
+        return sorted(x for x in out if re.search("[A-Za-z]", x))
 
     def unread(self, word: str) -> str:
         """The characters beyond ASCII that no encoding reads as the bytes of a known UTF-8 character."""
@@ -173,34 +209,56 @@ class Channel:
                     left[i : i + d[1]] = [False] * d[1]
         return "".join(c for c, x in zip(word, left) if x)
 
-    def byte_readings(self, word: str) -> list[str]:
-        """Readings of the same length in which another one-byte encoding was meant. A single character proves nothing."""
-        if len(word) < 2:
-            return []
-        least = self.log(word) - self.p.slack
+    def byte_readings(self, word: str) -> list[tuple[str, float]]:
+        """Readings of the same length in which another one-byte encoding was meant, and what their characters gain."""
+        kept = self.log(word)
         high = {ord(c) for c in word if c > "\x7f"}
-        out = set()
+        out: dict[str, float] = {}
         for m in self.maps:
             if all(c in m for c in high):
                 w = word.translate(m)
-                if w != word and not w.isascii() and self.log(w) >= least:
-                    out.add(w)
-        return sorted(out)
-
-    def wildcard_masks(self, word: str) -> list[str]:
-        """Patterns with * for lost bytes: runs of U+FFFD, and lead bytes of UTF-8 whose other bytes are gone."""
-        out = {re.sub(f"{LOST}+", "*", word)} if LOST in word else set()
-        if not out and len(word) > 2:
-            table = self.to_bytes["cp1252"]
-            m = "".join("*" if 0xC3 <= table.get(c, 0) <= 0xE2 and table[c] in (0xC3, 0xC4, 0xC5, 0xE2) else c for c in word)
-            if m != word:
-                out.add(m)
-        return sorted(x for x in out if re.search("[A-Za-z]", x))
+                if w != word and not w.isascii():
+                    gain = self.log(w) - kept
+                    if gain >= -self.p.slack:
+                        out[w] = gain
+        return sorted(out.items())
+
+    def decode(self, word: str) -> list[tuple[str, str | None, float]]:
+        """(how, reading, gain of its characters) of every reading the lattices of a word propose.
+
+        A null reading says that the word can't stand as it is whatever its readings are worth. A wildcard's reading is
+        the word with * for what was lost.
+        """
+        out: list[tuple[str, str | None, float]] = []
+        if len(word) == 2 and word[0] > "\x7f" and word[1] in SURROUNDINGS:
+            # what is cut off at a line's end may leave a lone letter
+            if not (word[1] == "$" and word[0].isalpha()):
+                out += [("symbol", r, g) for r, g in self.byte_readings(word)]
+        elif LOST in word:
+            out.append(("lost", None, 0.0))
+            out += [("lost", m, 0.0) for m in self.patterns(word)]
+            return out
+        else:
+            reading = self.utf8_reading(word, 0.0)
+            if reading:
+                out.append(("utf8", *reading))
+            if len(word) > 1:
+                out += [("byte", r, g) for r, g in self.byte_readings(word)]
+            if len(word) > 2:
+                out += [("lead", m, 0.0) for m in self.patterns(word)]
+        if C1.search(word):
+            out.append(("control", None, 0.0))
+        return out
+
+
+#: What may follow a lone character: a digit, a blank, a line's end, other punctuation.
+SURROUNDINGS = "0 $."
 
 
 def symbol_word(m: re.Match) -> str:
-    """A lone character with its neighbour, all digits alike."""
-    return m[1] + ("0" if m[2] != " " else " ")
+    """A lone character with what follows it, of which only the kind counts."""
+    after = m[2]
+    return m[1] + ("$" if not after or after in "\r\n" else " " if after in " \t" else "0" if after.isdigit() else ".")
 
 
 def words_per_document(documents: DataFrame) -> DataFrame:
@@ -223,7 +281,6 @@ def words_per_document(documents: DataFrame) -> DataFrame:
                 for line in t.split("\n"):
                     if not line.isascii():
                         h = int.from_bytes(hashlib.blake2b(" ".join(QUOTE.sub("", line).split()).encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
-                        line += "\n"
                         for w in WORD.findall(line):
                             found[w].add(h)
                         for m in SYMBOL.finditer(line):
@@ -239,10 +296,9 @@ def words_per_document(documents: DataFrame) -> DataFrame:
 
 
 def vocabulary(pairs: DataFrame) -> DataFrame:
-    """(word, n, docs): how many different lines and how many documents hold each word; written to the checkpoint folder, as it is read several times."""
-    checkpoint_dir(pairs.sparkSession)
+    """(word, n, docs): how many different lines and how many documents hold each word."""
     once = pairs.select("word", F.posexplode("lines").alias("at", "line")).groupBy("word", "line").agg(F.count_if(F.col("at") == 0).alias("docs"))
-    return once.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.sum("docs").alias("docs")).checkpoint()
+    return kept(once.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.sum("docs").alias("docs")), "vocabulary")
 
 
 def character_counts(vocab: DataFrame, params: EncodingParams = EncodingParams()) -> dict[str, int]:
@@ -262,46 +318,40 @@ def character_counts(vocab: DataFrame, params: EncodingParams = EncodingParams()
     return count(vocab.select("word", "n").mapInArrow(run, "word string, n bigint"))
 
 
-def damaged_words(vocab: DataFrame, params: EncodingParams = EncodingParams()) -> DataFrame:
-    """(word, restored, how): words that arose from a wrong decoding; restored is null where no reading is likely."""
+def propose(vocab: DataFrame, params: EncodingParams = EncodingParams()) -> DataFrame:
+    """(word, n, docs, how, reading, gain): what the lattices of every word propose."""
     channel = vocab.sparkSession.sparkContext.broadcast(Channel(character_counts(vocab, params), params))
+    schema = "word string, n bigint, docs bigint, how string, reading string, gain double"
+    names, types = zip(*[x.split() for x in schema.split(", ")])
+    kinds = [{"string": pa.string(), "bigint": pa.int64(), "double": pa.float64()}[t] for t in types]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ch = channel.value
+        decode = channel.value.decode
         for b in batches:
-            rows: list[tuple] = []  # word, n, how, reading (to be looked up for "byte" and "lost")
-            for word, n, docs in zip(*(c.to_pylist() for c in b.columns)):
-                if LOST in word:
-                    rows.append((word, n, "lost", None))
-                    rows += [(word, n, "lost", m) for m in ch.wildcard_masks(word)]
-                    continue
-                reading = ch.utf8_reading(word)
-                if reading is not None:
-                    rows.append((word, n, "utf8", reading))
-                    continue
-                if C1.search(word):
-                    rows.append((word, n, "control", None))
-                how = "byte" if word[-1] not in "0 " else "symbol"
-                if how == "byte" or word[0].isalpha():
-                    rows += [(word, n if how == "byte" else docs, how, r) for r in ch.byte_readings(word) if how == "byte" or not r[0].isalpha()]
-                rows += [(word, n, "mask", m) for m in ch.wildcard_masks(word)]
-            cols = list(zip(*rows)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.string())],
-                names=["word", "n", "how", "reading"],
-            )
+            rows = [(word, n, docs, *r) for word, n, docs in zip(*(c.to_pylist() for c in b.columns)) for r in decode(word)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [[]] * len(names), kinds)], names=list(names))
+
+    tasks = -(-vocab.count() // params.task_words) or 1
+    return vocab.select("word", "n", "docs").repartition(tasks, "word").mapInArrow(run, schema)
+
 
-    judged = vocab.select("word", "n", "docs").mapInArrow(run, "word string, n bigint, how string, reading string")
-    sure = judged.where("how = 'utf8' or reading is null").select("word", F.col("reading").alias("restored"), "how")
+def damaged_words(vocab: DataFrame, params: EncodingParams = EncodingParams()) -> DataFrame:
+    """(word, restored, how): words that arose from a wrong decoding; restored is null where no reading is likely."""
     p = params
-    # one-byte confusions: the reading must be a frequent word
+    found = kept(propose(vocab, p), "readings")
+    sure = found.where("reading is null").select("word", F.col("reading").alias("restored"), "how", F.lit(0.0).alias("score"))
+    # readings that are words (any case) under the corpus's word frequencies; one of UTF-8 may also be new to the corpus
     counts = vocab.groupBy(F.lower("word").alias("_w")).agg(F.sum("n").alias("_lines"), F.sum("docs").alias("_docs"))
-    byte = judged.where("how in ('byte', 'symbol')").join(counts, F.lower("reading") == F.col("_w"))
-    # lone letters go by documents: one that stands in several copies of a text is more likely meant
-    byte = byte.withColumn("_n", F.when(F.col("how") == "symbol", F.col("_docs")).otherwise(F.col("_lines")))
-    times = F.when(F.col("how") == "symbol", p.symbol_ratio).otherwise(p.ratio)
-    byte = byte.where((F.col("_n") >= p.word_docs) & (F.col("_n") >= times * F.col("n")))
-    byte = byte.groupBy("word").agg(F.max_by("reading", F.struct("_n", "reading")).alias("restored")).withColumn("how", F.lit("byte"))
+    read = found.where("how in ('utf8', 'byte', 'symbol') and reading is not null").join(counts, F.lower("reading") == F.col("_w"), "left")
+    lines, docs = F.coalesce("_lines", F.lit(0)), F.coalesce("_docs", F.lit(0))
+    score = F.col("gain") + F.log((lines + 1) / (F.col("n") + 1))
+    # lone characters go by documents: one that stands in several copies of a text is more likely meant
+    likely = (
+        F.when(F.col("how") == "utf8", score >= p.gain)
+        .when(F.col("how") == "symbol", (docs >= p.word_lines) & (docs >= p.symbol_ratio * F.col("docs")))
+        .otherwise((lines >= p.ratio * F.col("n")) & (lines >= p.word_lines) | (lines > 0) & (score >= p.sure))
+    )
+    read = read.where(likely).select("word", F.col("reading").alias("restored"), "how", score.alias("score"))
     # wildcards: the most frequent word that fits the pattern
     masks = (
         vocab.where(~F.col("word").contains(LOST))
@@ -309,45 +359,76 @@ def damaged_words(vocab: DataFrame, params: EncodingParams = EncodingParams()) -
         .groupBy("_m")
         .agg(F.max_by("_fit", F.struct("_n", "_fit")).alias("_fit"), F.max("_n").alias("_n"))
     )
-    wild = judged.where("how in ('lost', 'mask') and reading is not null").join(masks, F.col("reading") == F.col("_m"))
-    enough = (F.col("_n") >= p.word_docs) & (F.col("_n") >= 2 * p.ratio * F.col("n"))
+    wild = found.where("how in ('lost', 'lead') and reading is not null").join(masks, F.regexp_replace("reading", "[*\\x80-\\x{10ffff}]+", "*") == F.col("_m"))
+    enough = (F.col("_n") >= p.word_lines) & (F.col("_n") >= 2 * p.ratio * F.col("n"))
     lead = F.hex(F.encode(F.regexp_extract("_fit", "[^\\x00-\\x7f]", 0), "UTF-8"))
-    held = F.hex(F.encode(F.regexp_extract("word", "[^\\x00-\\x7f]", 0), "ISO-8859-1"))
+    first = F.regexp_extract("word", "[^\\x00-\\x7f]", 0)
+    held = F.coalesce(*[F.when(first == c, f"{b:X}") for c, b in LEADS.items()])
     wild = wild.where(enough & ((F.col("how") == "lost") | ((lead.substr(1, 2) == held) & (F.col("_fit") != F.col("word")))))
-    wild = wild.select("word", F.col("_fit").alias("restored"), "how")
-    every = sure.unionByName(byte).unionByName(wild)
-    rank = F.when(F.col("restored").isNull(), 9).when(F.col("how") == "utf8", 0).when(F.col("how") == "byte", 1).otherwise(2)
-    best = Window.partitionBy("word").orderBy(rank, "restored")
-    return every.withColumn("_r", F.row_number().over(best)).where("_r = 1").drop("_r")
+    wild = wild.select("word", F.col("_fit").alias("restored"), "how", F.log("_n").alias("score"))
+    # one reading a word: UTF-8 before one-byte encodings before wildcards, the better score first
+    rank = F.when(F.col("restored").isNull(), 9).when(F.col("how") == "utf8", 0).when(F.col("how").isin("byte", "symbol"), 1).otherwise(2)
+    best = F.min_by(F.struct("restored", "how"), F.struct(rank, -F.col("score"), "restored")).alias("b")
+    return sure.unionByName(read).unionByName(wild).groupBy("word").agg(best).select("word", "b.*")
 
 
 def find_damage(documents: DataFrame, params: EncodingParams = EncodingParams()) -> DataFrame:
-    """(doc_id, word, restored, how): every damaged word of every document, once each."""
-    pairs = words_per_document(documents)
+    """(doc_id, word, restored, how): every damaged word of every document, once each. Documents are read once."""
+    pairs = kept(words_per_document(documents), "words")
     bad = damaged_words(vocabulary(pairs), params)
     return pairs.join(bad, "word").select("doc_id", "word", "restored", "how")
 
 
+def _mended(text: str, fixes: dict[str, str | None]) -> tuple[str, int, int]:
+    """The text with its transfer encodings undone and damaged words replaced; how many could be, and how many could not."""
+    hit: set[str] = set()
+
+    def word(m: re.Match) -> str:
+        if m[0] not in fixes:
+            return m[0]
+        hit.add(m[0])
+        return fixes[m[0]] or m[0]
+
+    def symbol(m: re.Match) -> str:
+        w = symbol_word(m)
+        if w not in fixes:
+            return m[0]
+        hit.add(w)
+        return (fixes[w] or w)[0] + m[2]
+
+    out = SYMBOL.sub(symbol, WORD.sub(word, mail.undo_transfer(text)))
+    n = sum(fixes[w] is not None for w in hit)
+    return out, n, len(hit) - n
+
+
 def restore(documents: DataFrame, params: EncodingParams = EncodingParams()) -> DataFrame:
-    """(doc_id, restored_text, n_restored, n_left): affected messages, transfer encodings undone, damaged words replaced."""
-    fixes = find_damage(documents, params).groupBy("doc_id").agg(
-        F.collect_list(F.when(F.col("restored").isNotNull(), F.struct("word", "restored"))).alias("fixes"),
-        F.count("restored").alias("n_restored"),
-        F.sum(F.col("restored").isNull().cast("bigint")).alias("n_left"),
-    )
-    rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(fixes, "doc_id")
+    """(doc_id, restored_text, n_restored, n_left): affected messages, transfer encodings undone, damaged words replaced.
+
+    Up to `shipped_fixes` different damaged words, every worker holds them all and texts stay where they are read; beyond,
+    every document is sent the fixes of its own words. The rows are the same.
+    """
+    schema = "doc_id bigint, restored_text string, n_restored bigint, n_left bigint"
+    names, types = ["doc_id", "restored_text", "n_restored", "n_left"], [pa.int64(), pa.string(), pa.int64(), pa.int64()]
+    pairs = kept(words_per_document(documents), "words")
+    bad = kept(damaged_words(vocabulary(pairs), params), "damaged")
+    rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    shipped = None
+    if bad.count() <= params.shipped_fixes:
+        shipped = documents.sparkSession.sparkContext.broadcast({r.word: r.restored for r in bad.collect()})
+    else:
+        fixes = pairs.join(bad, "word").groupBy("doc_id").agg(F.collect_set(F.struct("word", "restored")).alias("fixes"))
+        rows = rows.join(fixes, rows["doc_id"].eqNullSafe(fixes["doc_id"])).select(rows["doc_id"], "text", "fixes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for text, pairs in zip(b["text"], b["fixes"]):
-                by = {x["word"]: x["restored"] for x in pairs.as_py() or []}
-                t = WORD.sub(lambda m, by=by: by.get(m[0], m[0]), mail.undo_transfer(text.as_py()))
-                out.append(SYMBOL.sub(lambda m, by=by: by.get(symbol_word(m), m[1])[0] + m[2], t))
-            yield pa.RecordBatch.from_arrays(
-                [b["doc_id"], pa.array(out, pa.string()), b["n_restored"], b["n_left"]], names=["doc_id", "restored_text", "n_restored", "n_left"]
-            )
-
-    return rows.select("doc_id", "text", "fixes", "n_restored", "n_left").mapInArrow(
-        run, "doc_id bigint, restored_text string, n_restored bigint, n_left bigint"
-    )
+            for i in range(b.num_rows):
+                text = b["text"][i].as_py()
+                if text:
+                    by = shipped.value if shipped else {x["word"]: x["restored"] for x in b["fixes"][i].as_py()}
+                    mended = _mended(text, by) if by else (text, 0, 0)
+                    if mended[1] or mended[2]:
+                        out.append((b["doc_id"][i].as_py(), *mended))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or [[]] * 4, types)], names=names)
+
+    return rows.mapInArrow(run, schema)

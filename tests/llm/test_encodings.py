@@ -17,9 +17,9 @@ def wrong(text, as_, was="utf-8"):
     return "".join(table.get(b, chr(b)) for b in text.encode(was))
 
 
-def find(spark, texts):
+def find(spark, texts, params=enc.EncodingParams()):
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id bigint, text string, word string")
-    found = enc.find_damage(df).collect()
+    found = enc.find_damage(df, params).collect()
     return df, {(r.doc_id, r.word): r.restored for r in found}
 
 
@@ -89,10 +89,42 @@ def test_nothing(spark):
 @pytest.mark.parametrize("as_", ["cp1252", "cp1251", "cp437", "cp850", "mac_roman", "cp1250"])
 def test_round_trip_of_one_word(as_):
     ch = enc.Channel(dict.fromkeys("éüñß’ł", 1000) | {"Ã": 10, "©": 50}, enc.EncodingParams())
-    assert ch.utf8_reading(wrong("dé’ß", as_)) == "dé’ß"
+    assert ch.utf8_reading(wrong("dé’ß", as_))[0] == "dé’ß"
     assert ch.utf8_reading("dé’ß") is None
 
 
+def test_wildcards_are_edges_of_the_lattice():
+    ch = enc.Channel(dict.fromkeys("éüñß’ł", 1000) | {"Ã": 10, "©": 50}, enc.EncodingParams())
+    cp1252 = ch.to_bytes["cp1252"]
+    assert ch.viterbi("r�sum��s", cp1252)[1][0] == "r*sum*s"
+    assert ch.viterbi("caf\x81 rÃ©sum�", cp1252)[1][0] == "caf* résum*"
+    kept, wild = ch.viterbi("CafÃ", cp1252)
+    assert kept[0] == "CafÃ" and wild[0] == "Caf*" and kept[1] > wild[1]
+    assert ch.viterbi("plain", cp1252) == [("plain", 0.0), ("", -enc.math.inf)]
+
+
+def test_rare_words_are_restored(spark):
+    """A word that stands on one line only is a reading where its characters are much likelier."""
+    texts = [*corpus(), "a façade stood", wrong("the façade", "mac_roman", "cp1252"), wrong("so unique a façadière", "cp1252")]
+    # what a small corpus can be sure of
+    _, found = find(spark, texts, enc.EncodingParams(sure=4.0))
+    assert {(d - 400, r) for (d, _), r in found.items()} == {(1, "façade"), (2, "façadière")}
+
+
+def test_lone_symbols_in_any_surroundings(spark):
+    base = [f"{t} ± 5 © one ±, é à\nthe ©" for t in corpus()]
+    _, found = find(spark, [*base, "▒ 6", "the ⌐", "▒, so", "un Ó deux", "cut off Ó"])
+    assert found == {(400, "▒ "): "± ", (401, "⌐$"): "©$", (402, "▒."): "±.", (403, "Ó "): "à "}
+
+
+def test_restoring_with_and_without_shipped_fixes(spark):
+    base = corpus(200)
+    texts = [*base, wrong("ein café – für", "cp1252"), "r�sum�", wrong("ein März", "cp850"), None, "", wrong("ein café – für", "cp1252")]
+    df = spark.createDataFrame([(min(i, 204), t, "x") for i, t in enumerate(texts)], "doc_id bigint, text string, word string")
+    rows = [sorted(map(tuple, enc.restore(df, enc.EncodingParams(shipped_fixes=n)).collect())) for n in (1000, 0)]
+    assert rows[0] == rows[1] and len(rows[0]) == 4
+
+
 def test_copies_and_quotes_of_a_damaged_message_change_nothing(spark):
     base = corpus()
     bad = wrong("ein été à la façade’s für Señora", "cp1252")
