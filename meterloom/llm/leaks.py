@@ -3,23 +3,31 @@
 The items form a small inverted index over word triples with BM25 weights, its postings cut into blocks of item numbers
 with the greatest weight of each block. Every passage (a window of words) of every document is a query: windows for which
 no block can reach the threshold are dropped by one vectorised upper bound, the others go through block-max WAND, and each
-item retrieved is verified by aligning the words around each run of triples it shares with the document with its passage.
+item retrieved is verified by aligning the words around each run of triples it shares with the document with its passage,
+and by the overlap with its question and answer.
 
-A document leaks an item if a stretch of at least `min_words` successive words of the passage is there, up to
-`edit_share` of them replaced, dropped or added. Introduction and question are not evidence; they only show up in the
-report. Texts are taken whole, with transfer encoding and markup undone, as lower-case words.
+A document leaks an item if a stretch of at least `min_words` successive words of the passage is there, a few of them
+replaced, dropped or added. Edits at the ends of a stretch hide its ends, so what must be seen is `min_words` less `few`
+agreeing words, of which `edit_share` may be edited; where the document also holds the answer and most of the words that
+are the question's own, `doubtful_share` may. Introduction and question are no evidence by themselves, nor is wording that
+several items share: words in runs of `shared_run` words that stand in another item too do not count. Texts are taken
+whole, with transfer encoding and markup undone, as lower-case words.
+
+More items than `max_items` are searched in several passes over the documents, what items share being found over all of
+them; every pass holds one index.
 
 Defined cases: null or empty texts leak nothing; repeated documents are each reported; items without text or with a
-passage shorter than three words never match; an empty table on either side gives no rows; words common to several items
-weigh little and words they share word for word count for each of them only if the stretch is long enough.
+passage shorter than three words never match; items with equal passages are each reported and share nothing with each
+other; an empty table on either side gives no rows.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from bisect import bisect_left, bisect_right
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,11 +37,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meterloom.llm import mail
+from meterloom.session import kept
 
 WORD = re.compile(r"[^\W_]+")
 _LIST_MARK = re.compile(r"(?m)^([\s>|*+-]*)\(?[0-9]{1,2}[.)](?=\s)")
-#: The items are held whole by every worker; a larger table must be split into runs.
-MAX_ITEMS = 20_000
+#: Three word numbers below this fit 63 bits.
+MAX_WORDS = 1 << 21
 
 
 @dataclass(frozen=True)
@@ -45,8 +54,12 @@ class LeakParams:
     b: float = 0.3
     min_score: float = 2.2  # in weights of a triple that one item alone has
     min_words: int = 15
-    edge_slack: int = 1  # words at the ends of a stretch that may be lost to edits
+    few: int = 3  # edits that the shortest stretch may have, wherever they are
     edit_share: float = 0.22
+    doubtful_share: float = 0.34  # if question and answer are there too
+    question_share: float = 0.6  # of the question's own words
+    shared_run: int = 8  # successive words that no two items have in common by accident
+    max_items: int = 20_000  # in one index
 
 
 def words_of(text: str) -> list[str]:
@@ -65,21 +78,53 @@ def split_item(text: str) -> tuple[str, str]:
     return "\n".join(parts[1:-1]), parts[-1]
 
 
+def run_codes(words: list[str], n: int) -> list[int]:
+    """A 64-bit hash of every run of n words."""
+    return [int.from_bytes(hashlib.blake2b("\n".join(words[i : i + n]).encode(), digest_size=8).digest(), "big", signed=True) for i in range(len(words) - n + 1)]
+
+
+def class_code(passage: list[str]) -> int:
+    """The same for items with equal passages."""
+    return run_codes(passage, len(passage))[0] if passage else 0
+
+
+def shared_runs(items: list[tuple[int, str, str | None]], n: int) -> set[int]:
+    """Hashes of the runs of n words that stand in items with different passages."""
+    first: dict[int, int] = {}
+    out: set[int] = set()
+    for _, text, _ in items:
+        of = class_code(words_of(split_item(text)[0]))
+        for code in run_codes(words_of(text), n):
+            if first.setdefault(code, of) != of:
+                out.add(code)
+    return out
+
+
+class TooManyWords(ValueError):
+    """An index can't number the different words of its items."""
+
+
 class ItemIndex:
     """BM25 over word triples with block maxima. Immutable after construction; small enough to be shipped in a closure."""
 
-    def __init__(self, items: list[tuple[int, str, str | None]], p: LeakParams):
+    def __init__(self, items: list[tuple[int, str, str | None]], p: LeakParams, shared: set[int] | None = None):
         self.p = p
         self.ids = [i for i, _, _ in items]
         split = [split_item(t) for _, t, _ in items]
         self.passages = [words_of(a) for a, _ in split]
-        self.questions = [set(words_of(q)) - {"question"} for _, q in split]
+        questions = [set(words_of(q)) for _, q in split]
+        asked = Counter(w for q in questions for w in q)
+        # what many questions say is not a question's own
+        self.questions = [{w for w in q if asked[w] <= max(1, len(items) // 20)} for q in questions]
         self.answers = [words_of(a or "") for _, _, a in items]
+        shared = shared_runs(items, p.shared_run) if shared is None else shared
+        # per passage, how many of the words before each place count as evidence
+        self.own = [self._own_before(x, shared, p.shared_run) for x in self.passages]
         vocabulary = sorted({w for x in self.passages for w in x})
         self.word_no = {w: i for i, w in enumerate(vocabulary)}
         self.base = len(vocabulary) + 1
-        if self.base > 2_000_000:
-            raise ValueError("too many different words for 63-bit triples")
+        if self.base > MAX_WORDS:
+            raise TooManyWords
         places: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
         for k, x in enumerate(self.passages):
             no = [self.word_no[w] for w in x]
@@ -111,8 +156,17 @@ class ItemIndex:
         self.block_starts = np.array(starts, np.int64)
         self.block_no = np.array(block_no, np.int64)
         self.block_max = np.array(block_max)
+        self.block_list, self.block_top = [int(x) for x in block_no], [float(x) for x in block_max]
         self.term_max = np.array([max((w for _, w, _ in row), default=0.0) for row in self.postings])
 
+    @staticmethod
+    def _own_before(passage: list[str], shared: set[int], n: int) -> list[int]:
+        own = np.ones(len(passage), bool)
+        for j, code in enumerate(run_codes(passage, n)) if shared else ():
+            if code in shared:
+                own[j : j + n] = False
+        return np.r_[0, np.cumsum(own)].tolist()
+
     def terms(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(place, term) of every triple of words that the index knows."""
         none = np.zeros(0, np.int64)
@@ -186,21 +240,16 @@ class ItemIndex:
                     self._advance(x, pivot)
 
     def _block_max(self, term: int, block: int) -> float:
-        s, e = self.block_starts[term], self.block_starts[term + 1]
-        for i in range(s, e):
-            if self.block_no[i] == block:
-                return float(self.block_max[i])
-        return 0.0
+        s, e = int(self.block_starts[term]), int(self.block_starts[term + 1])
+        i = bisect_left(self.block_list, block, s, e)
+        return self.block_top[i] if i < e and self.block_list[i] == block else 0.0
 
     @staticmethod
     def _advance(x: list, to: int) -> None:
-        row, i = x[0], x[1]
-        while i < len(row) and row[i][0] < to:
-            i += 1
-        x[1] = i
+        x[1] = bisect_left(x[0], to, x[1], key=lambda r: r[0])
 
-    def search(self, words: list[str]) -> list[tuple[int, float, int, int]]:
-        """(item number, best score, words of its passage found, edits) for a document's words."""
+    def search(self, words: list[str]) -> list[tuple[int, float, int, int, float, bool]]:
+        """(item number, best score, words of its passage found, edits, share of its question, answer seen) for a document's words."""
         p = self.p
         at, term = self.terms(words)
         if not len(at) or float(self.term_max[term].sum()) < self.threshold:
@@ -217,43 +266,53 @@ class ItemIndex:
                 for k, _, places in self.postings[t]:
                     if k in best:
                         pairs[k] += [(a, j) for j in places]
+            seen, joined = set(words), f" {' '.join(words)} "
             for k, score in best.items():
-                stretch = self.verify(words, k, sorted(pairs[k]))
+                q, answer = self.questions[k], self.answers[k]
+                asked = len(q & seen) / len(q) if q else 0.0
+                answered = bool(answer) and f" {' '.join(answer)} " in joined
+                places = sorted(pairs[k])
+                stretch = self.verify(words, k, places, p.edit_share)
+                if not stretch and answered and asked >= p.question_share:
+                    stretch = self.verify(words, k, places, p.doubtful_share)
                 if stretch:
-                    out.append((k, score, *stretch))
+                    out.append((k, score, *stretch, asked, answered))
         return out
 
-    def verify(self, words: list[str], k: int, pairs: list[tuple[int, int]]) -> tuple[int, int] | None:
+    def verify(self, words: list[str], k: int, pairs: list[tuple[int, int]], share: float) -> tuple[int, int] | None:
         """The longest stretch of item k's passage in the document: (words of the passage, edits), or None.
 
-        A stretch within `edit_share` always holds three words in a row without an edit, so every unbroken run of shared
-        triples is taken as the core of a stretch and aligned outwards on both sides, edits counted word by word. A stretch
-        ends before words of which more are edited than agree.
+        A stretch always holds three words in a row without an edit, so every unbroken run of shared triples is taken as the
+        core of a stretch and aligned outwards on both sides, edits counted word by word. A stretch ends before words of
+        which more are edited than agree. Edits and words that other items share leave at least min_words - few.
         """
-        p, passage = self.p, self.passages[k]
+        p, passage, own = self.p, self.passages[k], self.own[k]
+        seen = p.min_words - p.few
         best: tuple[int, int] | None = None
         places = sorted(a for a, _ in pairs)
-        least = min((s - 2 - 3 * int(p.edit_share * s) for s in range(p.min_words - p.edge_slack, len(passage) + 1)), default=len(pairs) + 1)
+        # an edit breaks three triples at most
+        least = min((s - 2 - 3 * int(share * s) for s in range(seen, len(passage) + 1)), default=len(pairs) + 1)
         for a, j, n in sorted(self._runs(pairs), key=lambda r: -r[2]):
             if best and best[0] - best[1] >= len(passage):
                 break
-            most = int(p.edit_share * len(passage))
-            if p.edit_share < 0.33:
-                # an edit breaks three triples at most, so the triples within reach bound the words of a stretch and its edits
+            most = int(share * len(passage))
+            if share < 0.33:
+                # so the triples within reach bound the words of a stretch and its edits
                 far = len(passage) + most
                 shared = bisect_right(places, a + n + far) - bisect_left(places, a - far)
                 if shared < least:
                     continue
-                most = min(most, int(p.edit_share * (shared + 6) / (1 - 3 * p.edit_share)))
+                most = min(most, int(share * (shared + 6) / (1 - 3 * share)))
             right = self._reach(words, passage, a + n, j + n, 1, most)
             # what the right side leaves of the edits allowed
-            spare = max(p.edit_share * (n + after) - y for y, after in right)
-            left = self._reach(words, passage, a - 1, j - 1, -1, min(most, int(spare + p.edit_share * j)))
+            spare = max(share * (n + after) - y for y, after in right)
+            left = self._reach(words, passage, a - 1, j - 1, -1, min(most, int(spare + share * j)))
             for x, before in left:
                 for y, after in right:
                     span, edits = before + n + after, x + y
-                    if span >= p.min_words - p.edge_slack and edits <= p.edit_share * span and (best is None or (span - edits, -edits) > (best[0] - best[1], -best[1])):
-                        best = (span, edits)
+                    if edits <= share * span and own[j + n + after] - own[j - before] - edits >= seen:
+                        if best is None or (span - edits, -edits) > (best[0] - best[1], -best[1]):
+                            best = (span, edits)
         return best
 
     @staticmethod
@@ -307,33 +366,78 @@ class ItemIndex:
         return out
 
 
-def load_items(items: DataFrame) -> list[tuple[int, str, str | None]]:
-    rows = items.select("item_id", "text", "answer").where(F.col("text").isNotNull()).limit(MAX_ITEMS + 1).collect()
-    if len(rows) > MAX_ITEMS:
-        raise ValueError("more test items than one run may hold")
-    return sorted((r.item_id, r.text, r.answer) for r in rows)
+def _known(items: DataFrame) -> DataFrame:
+    return items.where(F.col("text").isNotNull() & F.col("item_id").isNotNull()).select(F.col("item_id").cast("bigint").alias("item_id"), "text", "answer")
+
+
+def shared_runs_of(items: DataFrame, n: int) -> DataFrame:
+    """(run): `shared_runs` of a table of items of any size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for text in b["text"].to_pylist():
+                codes = run_codes(words_of(text), n)
+                of = class_code(words_of(split_item(text)[0]))
+                yield pa.RecordBatch.from_arrays([pa.array(codes, pa.int64()), pa.array([of] * len(codes), pa.int64())], names=["run", "of"])
+
+    return items.select("text").mapInArrow(run, "run bigint, of bigint").groupBy("run").agg(F.min("of").alias("a"), F.max("of").alias("b")).where("a <> b").select("run")
+
+
+_SCHEMA = "doc_id bigint, item_id bigint, score double, words int, edits int, question_share double, answer_seen boolean"
 
 
 def find_leaks(documents: DataFrame, items: DataFrame, params: LeakParams = LeakParams()) -> DataFrame:
     """(doc_id, item_id, score, words, edits, question_share, answer_seen): every leak, one row per document and item."""
-    index = ItemIndex(load_items(items), params)
-    shared = documents.sparkSession.sparkContext.broadcast(index)
-    schema = "doc_id bigint, item_id bigint, score double, words int, edits int, question_share double, answer_seen boolean"
-    names = [x.split()[0] for x in schema.split(", ")]
+    p = params
+    items = _known(items)
+    head = items.limit(p.max_items + 1).collect()
+    if len(head) <= p.max_items:
+        return _search(documents, [(r.item_id, r.text, r.answer) for r in head], p, None)
+    # several indexes, one after the other; what items share is known for all of them
+    shares = -(-items.count() // p.max_items) + 1
+    dealt = items.withColumn("_share", F.pmod(F.xxhash64("item_id", "text"), F.lit(shares)))
+    shared = kept(shared_runs_of(items, p.shared_run), "shared-runs")
+    out = documents.sparkSession.createDataFrame([], _SCHEMA)
+    for k in range(shares):
+        mine = dealt.where(F.col("_share") == k)
+        rows = [(r.item_id, r.text, r.answer) for r in mine.collect()]
+        if rows:
+            runs = {r.run for r in shared_runs_in(mine, shared, p.shared_run).collect()}
+            out = out.unionByName(kept(_search(documents, rows, p, runs), "leaks"))
+    return out
+
+
+def shared_runs_in(items: DataFrame, shared: DataFrame, n: int) -> DataFrame:
+    """The shared runs that stand in these items; no more than they have words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for text in b["text"].to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(run_codes(words_of(text), n), pa.int64())], names=["run"])
+
+    return items.select("text").mapInArrow(run, "run bigint").distinct().join(shared, "run")
+
+
+def _search(documents: DataFrame, items: list[tuple[int, str, str | None]], p: LeakParams, shared: set[int] | None) -> DataFrame:
+    items = sorted(items, key=lambda r: (r[0], r[1]))
+    try:
+        index = ItemIndex(items, p, shared)
+    except TooManyWords:
+        half = len(items) // 2
+        shared = shared_runs(items, p.shared_run) if shared is None else shared
+        return _search(documents, items[:half], p, shared).unionByName(_search(documents, items[half:], p, shared))
+    held = documents.sparkSession.sparkContext.broadcast(index)
+    names = [x.split()[0] for x in _SCHEMA.split(", ")]
     types = [pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32(), pa.float64(), pa.bool_()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ix = shared.value
+        ix = held.value
         for b in batches:
             rows = []
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1)):
-                words = normal_words(text.as_py() or "")
-                for k, score, span, edits in ix.search(words):
-                    seen = set(words)
-                    q, a = ix.questions[k], ix.answers[k]
-                    joined = f" {' '.join(words)} "
-                    rows.append((doc_id, ix.ids[k], score, span, edits, len(q & seen) / len(q) if q else 0.0, bool(a) and f" {' '.join(a)} " in joined))
+                for k, *found in ix.search(normal_words(text.as_py() or "")):
+                    rows.append((doc_id, ix.ids[k], *found))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
-    return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, schema)
+    return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, _SCHEMA)

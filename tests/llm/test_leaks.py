@@ -108,12 +108,12 @@ def test_edits_are_counted_word_by_word():
     ix = one_item(passage)
     noise = [f"n{i}" for i in range(40)]
     doc = noise[:20] + [*passage[:2], "x", *passage[3:12], "y", *passage[13:]] + noise[20:]
-    assert [(k, span, edits) for k, _, span, edits in ix.search(doc)] == [(0, 15, 2)]
+    assert [(k, span, edits) for k, _, span, edits, *_ in ix.search(doc)] == [(0, 15, 2)]
     # agreeing words between two edits are none
     passage = [f"p{i}" for i in range(40)]
     ix = one_item(passage)
     doc = noise[:20] + [*passage[:8], "x", passage[9], "y", *passage[11:20]] + noise[20:]
-    assert [(k, span, edits) for k, _, span, edits in ix.search(doc)] == [(0, 20, 2)]
+    assert [(k, span, edits) for k, _, span, edits, *_ in ix.search(doc)] == [(0, 20, 2)]
 
 
 def test_planted_stretches_are_found_with_their_edits():
@@ -126,7 +126,7 @@ def test_planted_stretches_are_found_with_their_edits():
         doc = [*(f"n{i}" for i in range(9)), *part, *(f"n{i}" for i in range(9, 20))]
         ix = one_item(passage)
         at, term = ix.terms(doc)
-        got = ix.verify(doc, 0, [(a, j) for a, t in zip(at.tolist(), term.tolist()) for _, _, places in ix.postings[t] for j in places])
+        got = ix.verify(doc, 0, [(a, j) for a, t in zip(at.tolist(), term.tolist()) for _, _, places in ix.postings[t] for j in places], p.edit_share)
         edits = fewest_edits(part, passage[8 : 8 + n])
         # edits crowded at an end are cut off with the words beyond
         assert got and got[0] - got[1] >= n - edits - 2 and (got[0] < n or got == (n, edits))
@@ -138,4 +138,92 @@ def test_a_reworded_start_does_not_hide_what_follows():
     noise = [f"n{i}" for i in range(40)]
     for n in (15, 18, 24):
         doc = noise[:20] + passage[5:8] + [f"r{i}" for i in range(8)] + passage[16 : 16 + n] + noise[20:]
-        assert [(k, span, edits) for k, _, span, edits in ix.search(doc)] == [(0, n, 0)]
+        assert [(k, span, edits) for k, _, span, edits, *_ in ix.search(doc)] == [(0, n, 0)]
+
+
+def edit_anywhere(rnd, words, k):
+    w = list(words)
+    for at in sorted(rnd.sample(range(len(w)), k), reverse=True):
+        what = rnd.randrange(3)
+        if what == 0:
+            w[at] = "changed"
+        elif what == 1:
+            del w[at]
+        else:
+            w.insert(at, "added")
+    return w
+
+
+def test_recall_on_edited_stretches():
+    """Stretches of 15 to 40 words with up to 3 edits, the ends included: at least 0.9 of each kind are found, of 15 unedited words all."""
+    rnd = random.Random(11)
+    ix = leaks.ItemIndex(make_items(rnd, 60), leaks.LeakParams())
+    table = {}
+    for n in (15, 16, 18, 20, 24, 30, 40):
+        for k in range(4):
+            hits = 0
+            for _ in range(60):
+                item = rnd.randrange(60)
+                at = rnd.randrange(70 - n)
+                part = edit_anywhere(rnd, ix.passages[item][at : at + n], k)
+                doc = [*sentence(rnd, 80).split(), *part, *sentence(rnd, 80).split()]
+                hits += item in {x[0] for x in ix.search(doc)}
+            table[n, k] = hits / 60
+    assert min(table.values()) >= 0.9 and all(v == 1 for (_, k), v in table.items() if k == 0), table
+
+
+def test_accidental_agreement_is_no_leak():
+    """Texts of the items' own few words agree by chance, and copies of up to 9 words, chance adding some, are too short."""
+    rnd = random.Random(12)
+    ix = leaks.ItemIndex(make_items(rnd, 60), leaks.LeakParams())
+    for _ in range(300):
+        item, at, n = rnd.randrange(60), rnd.randrange(50), rnd.randrange(3, 10)
+        doc = [*sentence(rnd, 150).split(), *ix.passages[item][at : at + n], *sentence(rnd, 150).split()]
+        assert ix.search(doc) == []
+
+
+def test_wording_that_items_share_is_no_evidence():
+    rnd = random.Random(13)
+    items = make_items(rnd, 30)
+    common = sentence(rnd, 25)
+    for k in (3, 4, 5):
+        i, text, a = items[k]
+        items[k] = (i, text.replace("\n\nQuestion", f" {common}\n\nQuestion"), a)
+    items += [(100, items[9][1], "x"), (101, items[9][1], "x")]
+    ix = leaks.ItemIndex(items, leaks.LeakParams())
+    noise = sentence(rnd, 60)
+    assert ix.search(f"{noise} {common} {noise}".split()) == []
+    # a stretch must have enough words of its own beside them
+    own = ix.passages[3][-40:]
+    assert [x[0] for x in ix.search(f"{noise} {' '.join(own[-35:])} {noise}".split())] == []
+    assert [x[0] for x in ix.search(f"{noise} {' '.join(own[-40:])} {noise}".split())] == [3]
+    # equal passages are one and the same
+    assert [x[0] for x in ix.search(f"{noise} {' '.join(ix.passages[9][:20])} {noise}".split())] == [9, 30, 31]
+
+
+def test_question_and_answer_decide_on_doubtful_stretches():
+    rnd = random.Random(14)
+    items = [(i, f"Intro words here.\n\n{sentence(rnd, 60)}.\n\nQuestion: why does q{i}a meet q{i}b near q{i}c?", f"the answer{i}") for i in range(30)]
+    ix = leaks.ItemIndex(items, leaks.LeakParams())
+    p = ix.passages[7][5:29]
+    w = [x if i % 6 not in (4, 5) else f"new{i}" for i, x in enumerate(p)]
+    assert sum(a != b for a, b in zip(w, p)) / len(p) > 0.22
+    text = " ".join(w)
+    assert ix.search(text.split()) == []
+    assert ix.search(f"{text} why q7a q7b q7c".split()) == [] and ix.search(f"{text} the answer7".split()) == []
+    found = ix.search(f"{text} why q7a meets q7b near q7c the answer7".split())
+    assert [(x[0], x[4], x[5]) for x in found] == [(7, 1.0, True)]
+
+
+def test_more_items_than_one_index_holds(spark):
+    rnd = random.Random(15)
+    items = make_items(rnd, 25)
+    common = sentence(rnd, 25)
+    items = [(i, t.replace("\n\nQuestion", f" {common}\n\nQuestion") if i in (2, 17) else t, a) for i, t, a in items]
+    passage = {i: leaks.words_of(leaks.split_item(t)[0]) for i, t, _ in items}
+    docs = [(i, f"{sentence(rnd, 30)} {' '.join(passage[i][5:25])} {sentence(rnd, 30)}") for i in range(25)] + [(99, f"{sentence(rnd, 30)} {common} {sentence(rnd, 30)}")]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    it = spark.createDataFrame(items, "item_id bigint, text string, answer string")
+    for most in (20_000, 8):
+        got = {(r.doc_id, r.item_id) for r in leaks.find_leaks(df, it, leaks.LeakParams(max_items=most)).collect()}
+        assert got == {(i, i) for i in range(25)}, most
