@@ -64,7 +64,7 @@ class EncodingParams:
     symbol_ratio: float = 100.0  # the same for a lone character, in messages
     never: float = -30.0  # log-likelihood of a character that no source writes
     lost: float = -8.0  # and of a wildcard
-    task_words: int = 20_000  # words that one task judges
+    task_words: int = 1_000  # words that one task judges
     shipped_fixes: int = 200_000  # fixes up to which every worker holds them while texts are restored
 
 
@@ -343,12 +343,19 @@ def damaged_words(vocab: DataFrame, params: EncodingParams = EncodingParams()) -
     # readings that are words (any case) under the corpus's word frequencies; one of UTF-8 may also be new to the corpus
     counts = vocab.groupBy(F.lower("word").alias("_w")).agg(F.sum("n").alias("_lines"), F.sum("docs").alias("_docs"))
     read = found.where("how in ('utf8', 'byte', 'symbol') and reading is not null").join(counts, F.lower("reading") == F.col("_w"), "left")
+    char, after = F.substring("word", 1, 1), F.substring("word", 2, 1)
+    alone = vocab.where((F.length("word") == 2) & after.isin(*SURROUNDINGS) & ~((after == "$") & char.rlike("\\p{L}")))
+    alone = alone.groupBy(char.alias("_c")).agg(F.sum("docs").alias("_alone"))
+    lone = F.col("how") == "symbol"
+    read = read.join(alone, lone & (char == F.col("_c")), "left")
+    read = read.join(alone.toDF("_rc", "_reading_alone"), lone & (F.substring("reading", 1, 1) == F.col("_rc")), "left")
     lines, docs = F.coalesce("_lines", F.lit(0)), F.coalesce("_docs", F.lit(0))
     score = F.col("gain") + F.log((lines + 1) / (F.col("n") + 1))
-    # lone characters go by documents: one that stands in several copies of a text is more likely meant
+    # lone characters go by documents: one that stands in several copies of a text is more likely meant, and one that is
+    # common in other surroundings may just be rare in these
     likely = (
         F.when(F.col("how") == "utf8", score >= p.gain)
-        .when(F.col("how") == "symbol", (docs >= p.word_lines) & (docs >= p.symbol_ratio * F.col("docs")))
+        .when(lone, (docs >= p.word_lines) & (docs >= p.symbol_ratio * F.col("docs")) & (F.col("_reading_alone") >= p.symbol_ratio * F.col("_alone")))
         .otherwise((lines >= p.ratio * F.col("n")) & (lines >= p.word_lines) | (lines > 0) & (score >= p.sure))
     )
     read = read.where(likely).select("word", F.col("reading").alias("restored"), "how", score.alias("score"))
