@@ -1,12 +1,15 @@
 """Documents into containers of fixed capacity, measured in tokens of a public tokenizer.
 
 Documents longer than a container are cut into full containers and a rest; every other document, and every rest, is one
-item. Items are dealt into blocks of bounded size. Each block is solved by a grouping genetic algorithm on several
+item. Items are dealt into blocks by their place in a table, whatever their ids, so that a block holds about `block_items`
+of them and at most twice as many. Each block is solved by a grouping genetic algorithm on several
 islands: a genome is a set of containers, crossover injects another genome's well-filled containers whole, drops the own
 containers that hold one of their items and puts the displaced items back by best fit. Between rounds the best genome of
 every island moves to the next island of the block. What is left in a block's least filled containers is dealt anew, until
 one block holds it all, so that unused room does not grow with the number of blocks.
 
+The tokenizer's vocabulary file is read where the query is planned and travels to the workers.
+
 Defined cases: a null or empty text has no tokens and comes out with a null container; equal texts are packed one by one;
 rows with equal or null doc_id are packed one by one too; an empty table gives no rows; no item is ever split, dropped or put in twice.
 """
@@ -14,6 +17,7 @@ rows with equal or null doc_id are packed one by one too; an empty table gives n
 from __future__ import annotations
 
 import base64
+import hashlib
 import random
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -165,17 +169,29 @@ def evolve(sizes: list[int], genomes: list[bytes], p: PackParams, seed: int) ->
 # ---- on DataFrames
 
 
+_ENCODINGS: dict[tuple[str, str], object] = {}
+
+
+def _encoding(vocabulary: bytes, pattern: str):
+    """The tokenizer of a vocabulary file; made once a process."""
+    import tiktoken
+
+    key = (hashlib.sha256(vocabulary).hexdigest(), pattern)
+    if key not in _ENCODINGS:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
+        _ENCODINGS[key] = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return _ENCODINGS[key]
+
+
 def token_counts(documents: DataFrame, params: PackParams = PackParams()) -> DataFrame:
     """(doc_id, n_tokens) of the whole texts."""
+    with open(params.tokenizer, "rb") as f:
+        shipped = documents.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import tiktoken
-
-        with open(params.tokenizer, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        encoding = tiktoken.Encoding("packing", pat_str=params.pattern, mergeable_ranks=ranks, special_tokens={})
+        encode = _encoding(shipped.value, params.pattern).encode_ordinary
         for b in batches:
-            n = [len(encoding.encode_ordinary(t.as_py())) if t.is_valid else 0 for t in b.column(1)]
+            n = [len(encode(t)) if t else 0 for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64())], names=["doc_id", "n_tokens"])
 
     return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, n_tokens bigint")
@@ -221,8 +237,11 @@ def _migrate(state: DataFrame, p: PackParams, n_tasks: int) -> DataFrame:
 
 
 def solve_blocks(items: DataFrame, n_blocks: int, level: int, p: PackParams) -> DataFrame:
-    """items(doc_id, piece, size) -> (doc_id, piece, size, block, bin, open): each block packed by its islands."""
-    dealt = items.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece", F.lit(level)), F.lit(n_blocks)))
+    """items(doc_id, piece, size) -> (doc_id, piece, size, block, bin, open): each block packed by its islands.
+
+    items are read from a checkpoint, so that a row keeps its number.
+    """
+    dealt = items.withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(level)), F.lit(n_blocks)))
     blocks = dealt.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("doc_id", "piece", "size"))).alias("items"))
     islands = F.explode(F.sequence(F.lit(0), F.lit(p.islands - 1))).alias("island")
     state = blocks.select("block", islands, "items", F.lit(None).cast("array<binary>").alias("genomes"))
@@ -276,7 +295,7 @@ def pack(documents: DataFrame, params: PackParams = PackParams()) -> DataFrame:
         solved = solve_blocks(items, n_blocks, level, p).checkpoint()
         solved = solved.withColumn("container", F.concat_ws("-", F.lit(f"l{level}"), "block", "bin"))
         left = solved.where("open").count() if n_blocks > 1 else 0
-        # each level must halve what is left; small blocks of tiny items could go round for ever
+        # each level must halve what is left, or tiny items could go round for ever; blocks that don't are solved for good
         again = 0 < 2 * left <= n
         done.append((solved.where(~F.col("open")) if again else solved).select("doc_id", "piece", "size", "container"))
         if not again:

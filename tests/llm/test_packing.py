@@ -2,6 +2,7 @@ import os
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from meterloom.llm import packing
 
@@ -79,6 +80,13 @@ def test_equal_and_null_ids(spark):
     assert sum(fill.values()) == n and max(fill.values()) <= 4096
 
 
+def test_blocks_are_even_whatever_the_ids(spark):
+    rows = spark.range(20_000).select(F.lit(None).cast("bigint").alias("doc_id"), F.lit(0).alias("piece"), F.lit(100).alias("size")).repartition(4)
+    p = packing.PackParams(block_items=2000, children=1, population=2, rounds=1, islands=1)
+    sizes = [r["count"] for r in packing.solve_blocks(rows, 10, 0, p).groupBy("block").count().collect()]
+    assert sum(sizes) == 20_000 and len(sizes) == 10 and max(sizes) < 2300
+
+
 @needs_vocab
 def test_pack_nothing(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
