@@ -1,7 +1,7 @@
 """Run the engine as a service: python -m meterloom -f CONFIG [-c CHECKPOINT_DIR]
 
-Listens on the configured ports (and reads standard input if parse_stdin is set), flushes every interval into the flush
-command, and flushes what is left when it is told to stop.
+Listens on the configured ports, and to standard input if parse_stdin is set, flushes every interval into the flush
+command, and flushes what is left when it is told to stop. The end of standard input does not stop it.
 """
 
 from __future__ import annotations
@@ -9,16 +9,15 @@ from __future__ import annotations
 import argparse
 import signal
 import sys
-import tempfile
 import threading
+import uuid
 
 from pyspark.sql import SparkSession
 
 from meterloom.config import EngineConfig, load_ini
-from meterloom.functions.protocol import parse_lines
 from meterloom.sinks.command import command_sink
-from meterloom.sources import text
-from meterloom.sources.listener import ListenerSource
+from meterloom.sources.listener import ListenerSource, feed, free_port
+from meterloom.session import checkpoint_dir
 from meterloom.streaming import flush
 
 
@@ -34,15 +33,13 @@ def main(argv: list[str]) -> int:
     cfg = load_ini(a.config) if a.config else EngineConfig()
     spark = SparkSession.builder.appName("meterloom").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     sink = command_sink(cfg)
-    if cfg.parse_stdin:
-        for lines in text.handle_lines(spark, sys.stdin):
-            sink(flush.flush_batch(parse_lines(lines), cfg), -1)
-    if not cfg.tcp_port and not cfg.udp_port:
-        return 0
     spark.dataSource.register(ListenerSource)
     options = {"bind_address": cfg.bind_address, "udp_port": cfg.udp_port, "tcp_port": cfg.tcp_port, "udp_rcvbuf": cfg.udp_rcvbuf}
+    if cfg.parse_stdin:
+        options["pipe_port"] = free_port()
+        threading.Thread(target=feed, args=(sys.stdin.buffer, options["pipe_port"]), daemon=True).start()
     chunks = spark.readStream.format(ListenerSource.name()).options(**options).load()
-    checkpoint = a.checkpoint or tempfile.mkdtemp(prefix="meterloom-")
+    checkpoint = a.checkpoint or f"{checkpoint_dir(spark)}/service-{uuid.uuid4().hex}"
     query = flush.start_raw(chunks, cfg, sink, checkpoint)
     stop = threading.Event()
     for s in (signal.SIGINT, signal.SIGTERM):

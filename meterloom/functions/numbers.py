@@ -25,10 +25,11 @@ def number_parts(text: Column) -> Column:
     return F.when(~_plain(text), F.split(F.regexp_replace(text, _HEAD, "$1\n$2\n$3"), "\n"))
 
 
-def number_of(parts: Column, text: Column) -> Column:
+def number_of(parts: Column, text: Column, any_size: bool = False) -> Column:
     """The number a text starts with, or null: what follows it is ignored, and a sign or point alone reads as zero.
 
-    Only where an exponent letter follows the digits can a value be out of range, and is then rejected.
+    Only where an exponent letter follows the digits can a value be out of range, and is then rejected; any_size takes it
+    as the infinity or the zero it comes to.
     """
     mantissa, exponent = F.get(parts, F.lit(0)), F.get(parts, F.lit(1))
     has_letter = F.length(F.concat(exponent, F.get(parts, F.lit(2)))) > 0
@@ -36,7 +37,7 @@ def number_of(parts: Column, text: Column) -> Column:
     zero = F.length(F.translate(mantissa, "+-.0", "")) == 0
     scaled = F.concat(mantissa, exponent).try_cast("double")
     size = F.abs(scaled)
-    in_range = (size < float("inf")) & ((size >= _SMALLEST_NORMAL) | zero)
+    in_range = F.lit(True) if any_size else (size < float("inf")) & ((size >= _SMALLEST_NORMAL) | zero)
     return (
         F.when(parts.isNull(), text.try_cast("double"))
         .when(has_letter, F.when(has_digit & in_range, scaled))

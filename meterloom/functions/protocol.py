@@ -1,7 +1,9 @@
 """The text protocol `name:value|type[|@rate]`: from lines or tokens to typed samples.
 
 Samples: seq, ts, type (kv, g, gd, c, ms, s), name, value, member, sample_rate. A gauge text with a sign is a delta (gd);
-h is ms. Anything that is no valid message gives no row; the operators for rejected rows are in `operators.badrows`.
+h is ms. Anything that is no valid message gives no row; the operators for rejected rows are in `operators.badrows`. Only
+with `counted`, for an input counter, do messages whose number or rate is none come along, as samples of the type UNUSABLE
+that no aggregate takes.
 """
 
 from __future__ import annotations
@@ -11,6 +13,8 @@ from pyspark.sql import functions as F
 
 from meterloom.functions.numbers import bind, number_of, number_parts
 
+#: Type of samples that count as input only.
+UNUSABLE = "unusable"
 #: One message; groups: name, value, unrated type, rated type, rate.
 MESSAGE = r"(?s)\A([^:]+):([^|]+)\|(?:(kv|g|s)|(ms|h|c)(?:\|@([^\n]+))?)\z"
 #: The form with several values for one name: name(:value|type[|@rate])+.
@@ -40,7 +44,7 @@ def effective_rate(rate: Column, number: Column) -> Column:
     return F.when(rate.isNull() | (F.length(rate) <= 1) & number.isNull(), F.lit(1.0)).when(number.isNotNull(), usable)
 
 
-def to_samples(messages: DataFrame, name: str = "name", raw: str = "raw", kind: str = "type", rate: str = "rate") -> DataFrame:
+def to_samples(messages: DataFrame, name: str = "name", raw: str = "raw", kind: str = "type", rate: str = "rate", counted: bool = False) -> DataFrame:
     """Typed samples of tokenised messages; extra columns other than seq and ts are dropped.
 
     The type is a plain projection below the generator that parses numbers, so a filter on it, such as every aggregate
@@ -59,20 +63,21 @@ def to_samples(messages: DataFrame, name: str = "name", raw: str = "raw", kind:
         bind(
             F.when(is_set, F.col("_b._v")).alias("member"),
             number_of(F.col("_b.v"), F.when(~is_set, F.col("_b._v"))).alias("value"),
-            F.when(rated, effective_rate(F.col("_b._r"), number_of(F.col("_b.r"), F.col("_b._r")))).otherwise(F.lit(1.0)).alias("sample_rate"),
+            F.when(rated, effective_rate(F.col("_b._r"), number_of(F.col("_b.r"), F.col("_b._r"), any_size=True))).otherwise(F.lit(1.0)).alias("sample_rate"),
         ).alias("_b"),
     )
     x = x.select(*keep, "type", "name", "_b.value", "_b.member", "_b.sample_rate")
-    return x.where(F.col("sample_rate").isNotNull() & (F.col("value").isNotNull() | (F.col("type") == "s") & F.col("member").isNotNull()))
+    usable = F.col("sample_rate").isNotNull() & (F.col("value").isNotNull() | (F.col("type") == "s") & F.col("member").isNotNull())
+    return x.withColumn("type", F.when(usable, F.col("type")).otherwise(UNUSABLE)) if counted else x.where(usable)
 
 
-def parse_lines(lines: DataFrame, line: str = "line") -> DataFrame:
+def parse_lines(lines: DataFrame, line: str = "line", counted: bool = False) -> DataFrame:
     """Samples from lines without their line ends."""
-    return to_samples(match_messages(lines, line))
+    return to_samples(match_messages(lines, line), counted=counted)
 
 
-def tokens_to_samples(messages: DataFrame) -> DataFrame:
+def tokens_to_samples(messages: DataFrame, counted: bool = False) -> DataFrame:
     """Samples from a table of tokenised messages (name, value, type, samplerate), held to the same grammar as lines."""
     ok = (F.length("name") > 0) & ~F.col("name").contains(":") & (F.length("value") > 0) & ~F.col("value").contains("|")
     ok = ok & (F.col("type").isin("kv", "g", "s") & F.col("samplerate").isNull() | F.col("type").isin("ms", "h", "c"))
-    return to_samples(messages.where(ok), raw="value", rate="samplerate")
+    return to_samples(messages.where(ok), raw="value", rate="samplerate", counted=counted)

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from meterloom.config import EngineConfig, Histogram
 
-#: Up to this many members a set counts exactly: the sketch then still holds every member's hash.
-EXACT_SET = 64
+#: Up to this many members a set counts exactly, and a sketch of this precision then still holds every member's hash.
+EXACT_SET, EXACT_PRECISION = 64, 10
 GAUGE_BUCKET = 1 << 16
 
 
@@ -122,12 +122,19 @@ def sets(samples: DataFrame, cfg: EngineConfig = EngineConfig(), by: tuple[str,
     x = samples.where((F.col("type") == "s") & F.col("name").isNotNull() & F.col("member").isNotNull())
     if exact:
         return x.groupBy(*by, "name").agg(F.count_distinct("member").alias("members"))
-    sketch = F.hll_sketch_agg("member", F.lit(max(10, cfg.set_precision)))
-    return x.groupBy(*by, "name").agg(F.hll_sketch_estimate(sketch).alias("members"))
+    size = lambda precision: F.hll_sketch_estimate(F.hll_sketch_agg("member", F.lit(precision)))
+    if cfg.set_precision >= EXACT_PRECISION:
+        return x.groupBy(*by, "name").agg(size(cfg.set_precision).alias("members"))
+    # coarse sketches are only asked once a set has outgrown exact counting
+    both = x.groupBy(*by, "name").agg(size(EXACT_PRECISION).alias("_small"), size(cfg.set_precision).alias("_large"))
+    return both.select(*by, "name", F.when(F.col("_small") <= EXACT_SET, F.col("_small")).otherwise(F.col("_large")).alias("members"))
 
 
 def count_inputs(samples: DataFrame, cfg: EngineConfig) -> DataFrame:
-    """Samples plus one counter sample per message, if the configuration names an input counter."""
+    """Samples plus one counter sample per message, if the configuration names an input counter.
+
+    Messages whose number is none count too, if the samples were parsed with `counted`.
+    """
     if not cfg.input_counter:
         return samples
     one = samples.select(

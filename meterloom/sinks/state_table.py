@@ -11,7 +11,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Value type of binary records to state column; fixed values. Percentiles (128 + p) go to the map `percentiles`.
+#: Value type of binary records to state column, and names of types; fixed values. Percentiles (128 + p) go to the map `percentiles`.
 STATS = {0: "kv", 1: "sum", 2: "sumsqrt", 3: "mean", 4: "count", 5: "stddev", 6: "min", 7: "max"}
 TYPES = {1: "kv", 2: "counter", 3: "timer", 4: "set", 5: "gauge"}
 
@@ -25,13 +25,15 @@ def collect_state(recs: DataFrame) -> DataFrame:
     """(key, ts, type, kv, sum, sumsqrt, mean, count, stddev, min, max, percentiles) of decoded binary records."""
     order = F.struct("ts", *(["seq"] if "seq" in recs.columns else []))
     kinds = F.create_map(*[F.lit(v) for kv in TYPES.items() for v in kv])
-    is_p = (F.col("value_type") >= 128) & (F.col("value_type") < 256)
-    pct = F.when(is_p, F.struct((F.col("value_type") - 128).cast("string").alias("k"), F.col("value").alias("v")))
-    return recs.groupBy("key").agg(
-        F.max("ts").alias("ts"),
-        F.max_by(F.try_element_at(kinds, F.col("type").cast("int")), order).alias("type"),
-        *[F.max_by(F.when(F.col("value_type") == c, F.col("value")), F.when(F.col("value_type") == c, order)).alias(n) for c, n in STATS.items()],
-        F.map_from_entries(F.array_distinct(F.collect_set(pct))).alias("percentiles"),
+    # the last value of every statistic first, of which a key has a bounded number
+    last = recs.groupBy("key", "value_type").agg(F.max_by(F.struct("value", "type"), order).alias("x"), F.max(order).alias("order"))
+    stat = F.col("value_type")
+    pct = F.when((stat >= 128) & (stat < 256), F.struct((stat - 128).cast("string").alias("k"), F.col("x.value").alias("v")))
+    return last.groupBy("key").agg(
+        F.max("order.ts").alias("ts"),
+        F.max_by(F.try_element_at(kinds, F.col("x.type").cast("int")), F.col("order")).alias("type"),
+        *[F.max(F.when(stat == c, F.col("x.value"))).alias(n) for c, n in STATS.items()],
+        F.map_from_entries(F.array_sort(F.collect_list(pct))).alias("percentiles"),
     )
 
 

@@ -11,10 +11,10 @@ import struct
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meterloom.functions.protocol import parse_lines
+from meterloom.functions.protocol import UNUSABLE, parse_lines
 
 MAGIC = 0xAA
 #: Type codes of messages; fixed values of the format.
@@ -25,37 +25,46 @@ RECORD = struct.Struct("<QBBHd")
 SAMPLE_SCHEMA = "chunk_no bigint, pos int, type string, name string, value double, member string, sample_rate double"
 
 
-def read_messages(data: bytes) -> list[tuple[str, str, float | None, str | None]]:
-    """(type, name, value, member) of one chunk, up to the first damage or an unfinished message."""
-    out = []
+def frame(data: bytes) -> tuple[list[tuple[str, int, int, int, float | None]], int, bool]:
+    """(messages, bytes they take, damaged): messages as type, start of the key, its length, the member's, value.
+
+    What follows the bytes taken is an unfinished message, or damage.
+    """
+    out: list[tuple[str, int, int, int, float | None]] = []
     at, end = 0, len(data)
     while at < end:
         if data[at] == 0x0A:
             at += 1
             continue
-        if data[at] != MAGIC or at + SET.size > end:
+        if data[at] != MAGIC or (at + 1 < end and data[at + 1] not in MESSAGE_TYPES):
+            return out, at, True
+        if at + SET.size > end:
             break
-        kind = MESSAGE_TYPES.get(data[at + 1])
-        if kind is None:
+        kind = MESSAGE_TYPES[data[at + 1]]
+        head = SET if kind == "s" else NUMBER
+        if at + head.size > end:
             break
-        if kind == "s":
-            _, _, n, m = SET.unpack_from(data, at)
-            body = at + SET.size
-            if not n or not m or body + n + m > end or data[body + n - 1] or data[body + n + m - 1]:
-                break
-            member = data[body + n : body + n + m].split(b"\0", 1)[0]
-            value, at = None, body + n + m
-        else:
-            if at + NUMBER.size > end:
-                break
-            _, _, n, value = NUMBER.unpack_from(data, at)
-            body = at + NUMBER.size
-            if not n or body + n > end or data[body + n - 1]:
-                break
-            member, at = None, body + n
-        name = data[body : body + n].split(b"\0", 1)[0]
-        out.append((kind, name.decode("utf-8", "replace"), value, None if member is None else member.decode("utf-8", "replace")))
-    return out
+        _, _, n, last = head.unpack_from(data, at)
+        body = at + head.size
+        m, value = (last, None) if kind == "s" else (0, last)
+        if not n or (kind == "s" and not m):
+            return out, at, True
+        if body + n + m > end:
+            break
+        if data[body + n - 1] or (m and data[body + n + m - 1]):
+            return out, at, True
+        out.append((kind, body, n, m, value))
+        at = body + n + m
+    return out, at, False
+
+
+def read_messages(data: bytes) -> list[tuple[str, str, float | None, str | None]]:
+    """(type, name, value, member) of one chunk, up to the first damage or an unfinished message."""
+
+    def text(a: int, n: int) -> str:
+        return data[a : a + n].split(b"\0", 1)[0].decode("utf-8", "replace")
+
+    return [(kind, text(at, n), value, text(at + n, m) if m else None) for kind, at, n, m, value in frame(data)[0]]
 
 
 def write_number(kind: int, name: str, value: float) -> bytes:
@@ -68,16 +77,17 @@ def write_set(name: str, member: str) -> bytes:
     return SET.pack(MAGIC, 4, len(key), len(m)) + key + m
 
 
-def parse_chunks(chunks: DataFrame, data: str = "data", chunk_no: str = "chunk_no") -> DataFrame:
-    """Samples of binary chunks; NaN timers are dropped, other NaN and infinite values pass."""
+def parse_chunks(chunks: DataFrame, data: str = "data", chunk_no: str = "chunk_no", counted: bool = False) -> DataFrame:
+    """Samples of binary chunks; NaN timers are dropped (or only counted), other NaN and infinite values pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for no, d in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 for pos, (kind, name, value, member) in enumerate(read_messages(d or b"")):
-                    if not (kind == "ms" and math.isnan(value)):
-                        rows.append((no, pos, kind, name, value, member, 1.0))
+                    usable = not (kind == "ms" and math.isnan(value))
+                    if usable or counted:
+                        rows.append((no, pos, kind if usable else UNUSABLE, name, value, member, 1.0))
             names = [x.split()[0] for x in SAMPLE_SCHEMA.split(", ")]
             types = [pa.int64(), pa.int32(), pa.string(), pa.string(), pa.float64(), pa.string(), pa.float64()]
             cols = list(zip(*rows)) or [[]] * len(names)
@@ -86,17 +96,23 @@ def parse_chunks(chunks: DataFrame, data: str = "data", chunk_no: str = "chunk_n
     return chunks.select(F.col(chunk_no).cast("bigint").alias("chunk_no"), F.col(data).alias("data")).mapInArrow(run, SAMPLE_SCHEMA)
 
 
-def parse_mixed(chunks: DataFrame, data: str = "data", chunk_no: str = "chunk_no") -> DataFrame:
-    """Samples of chunks of either protocol: the first byte of a chunk decides for all of it."""
+def sequence(chunk_no: Column, pos: Column) -> Column:
+    """One order over chunks and places in them, of any number."""
+    return chunk_no.cast("decimal(20,0)") * F.lit(1 << 31) + pos
+
+
+def parse_mixed(chunks: DataFrame, data: str = "data", chunk_no: str = "chunk_no", counted: bool = False) -> DataFrame:
+    """(seq and a sample's columns) of chunks of either protocol: the first byte of a chunk decides for all of it.
+
+    Bytes of a text chunk that are no UTF-8 are replaced.
+    """
     binary = F.substring(F.col(data), 1, 1) == F.lit(bytearray([MAGIC]))
-    bin_rows = parse_chunks(chunks.where(binary), data, chunk_no)
-    lines = chunks.where(~binary).select(F.col(chunk_no).alias("chunk_no"), F.posexplode(F.split(F.decode(F.col(data), "UTF-8"), "\n")).alias("pos", "line"))
-    # the sequence number keeps chunk and place through the parser
-    text = parse_lines(lines.where("line <> ''").withColumn("seq", F.col("chunk_no") * F.lit(1 << 20) + F.col("pos")))
-    text = text.select(
-        F.floor(F.col("seq") / (1 << 20)).alias("chunk_no"), F.pmod("seq", F.lit(1 << 20)).cast("int").alias("pos"), "type", "name", "value", "member", "sample_rate"
-    )
-    return bin_rows.unionByName(text)
+    columns = ("seq", "type", "name", "value", "member", "sample_rate")
+    packed = parse_chunks(chunks.where(binary), data, chunk_no, counted).withColumn("seq", sequence(F.col("chunk_no"), F.col("pos")))
+    text = F.make_valid_utf8(F.col(data).cast("string"))
+    lines = chunks.where(~binary).select(F.col(chunk_no).alias("chunk_no"), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
+    read = parse_lines(lines.where("line <> ''").select(sequence(F.col("chunk_no"), F.col("pos")).alias("seq"), "line"), counted=counted)
+    return packed.select(*columns).unionByName(read.select(*columns))
 
 
 def read_records(data: bytes) -> list[tuple[int, int, int, str, float, int | None]]:

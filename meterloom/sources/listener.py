@@ -3,37 +3,44 @@
     spark.dataSource.register(ListenerSource)
     spark.readStream.format("meterloom_listener").option("udp_port", 8125).option("tcp_port", 8125).load()
 
-Rows: seq, data (one UDP datagram or one TCP line, as bytes), origin. A port of 0 turns a listener off. Sockets are bound by the
+Rows: seq, data (one UDP datagram, one TCP line or the whole binary messages of one read, as bytes), origin. A message that
+comes in several reads waits for its rest; a connection that sends damaged binary messages is closed. A port of 0 turns a
+listener off; pipe_port is one more TCP port, of this machine only, into which `feed` copies a handle such as standard
+input. Sockets are bound by the
 process that reads, on its first read, as Spark makes a source's objects several times. What is buffered there when the
 process ends is lost: delivery is at most once until a batch is planned.
 """
 
 from __future__ import annotations
 
+import os
 import selectors
 import socket
 import threading
 import time
 from collections.abc import Iterator
+from typing import BinaryIO
 
 from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 
+from meterloom.sources.binary import MAGIC, frame
+
 DATAGRAM = 65_535
 
 
 class _Listener:
     """Owns the sockets of one process and a thread that fills the buffer."""
 
-    def __init__(self, address: str, udp_port: int, tcp_port: int, rcvbuf: int):
+    def __init__(self, address: str, udp_port: int, tcp_port: int, rcvbuf: int, pipe_port: int = 0):
         self.rows: list[tuple[int, bytes, str]] = []
         self.next = 0
         self.lock = threading.Lock()
         self.sel = selectors.DefaultSelector()
         self.tails: dict[int, bytes] = {}
-        for port, kind in ((udp_port, socket.SOCK_DGRAM), (tcp_port, socket.SOCK_STREAM)):
+        for host, port, kind in ((address, udp_port, socket.SOCK_DGRAM), (address, tcp_port, socket.SOCK_STREAM), ("127.0.0.1", pipe_port, socket.SOCK_STREAM)):
             if not port:
                 continue
-            family, kind_, proto, _, where = socket.getaddrinfo(address, port, type=kind, flags=socket.AI_PASSIVE)[0]
+            family, kind_, proto, _, where = socket.getaddrinfo(host, port, type=kind, flags=socket.AI_PASSIVE)[0]
             s = socket.socket(family, kind_, proto)
             s.setsockopt(socket.SOL_SOCKET, socket.SO_REUSEADDR, 1)
             if family == socket.AF_INET6:
@@ -73,21 +80,50 @@ class _Listener:
         no = s.fileno()
         data = s.recv(1 << 16)
         if not data:
-            self.sel.unregister(s)
-            s.close()
-            self.tails.pop(no, None)
-            return
+            return self._close(s)
         held = self.tails[no] + data
-        if held[:1] == b"\xaa":
-            # binary messages are framed by their parser; a connection's bytes so far form a chunk
-            self._put(held, "tcp")
-            self.tails[no] = b""
+        if held[0] == MAGIC:
+            _, taken, damaged = frame(held)
+            if taken:
+                self._put(held[:taken], "tcp")
+            if damaged:
+                return self._close(s)
+            self.tails[no] = held[taken:]
             return
         *lines, tail = held.split(b"\n")
         for line in lines:
             self._put(line, "tcp")
         self.tails[no] = tail
 
+    def _close(self, s: socket.socket) -> None:
+        self.tails.pop(s.fileno(), None)
+        self.sel.unregister(s)
+        s.close()
+
+
+def free_port() -> int:
+    with socket.socket(socket.AF_INET, socket.SOCK_STREAM) as s:
+        s.bind(("127.0.0.1", 0))
+        return s.getsockname()[1]
+
+
+def feed(handle: BinaryIO, port: int, patience: float = 120.0) -> None:
+    """Copy a handle, as it is written to, into the listener on pipe_port; ends with the handle."""
+    deadline = time.monotonic() + patience
+    while True:
+        try:
+            s = socket.create_connection(("127.0.0.1", port), 5.0)
+            break
+        except OSError:
+            # the listener binds on its first read
+            if time.monotonic() > deadline:
+                raise
+            time.sleep(0.1)
+    with s:
+        s.settimeout(None)
+        while data := os.read(handle.fileno(), 1 << 16):
+            s.sendall(data)
+
 
 _LISTENERS: dict[tuple, _Listener] = {}
 _GUARD = threading.Lock()
@@ -96,7 +132,7 @@ _GUARD = threading.Lock()
 class ListenerReader(SimpleDataSourceStreamReader):
     def __init__(self, options: dict):
         o = {k.lower(): v for k, v in options.items()}
-        self.args = (o.get("bind_address", "::"), int(o.get("udp_port", 0)), int(o.get("tcp_port", 0)), int(o.get("udp_rcvbuf", 0)))
+        self.args = (o.get("bind_address", "::"), int(o.get("udp_port", 0)), int(o.get("tcp_port", 0)), int(o.get("udp_rcvbuf", 0)), int(o.get("pipe_port", 0)))
         self.wait = float(o.get("wait_seconds", 0.2))
 
     def _listener(self) -> _Listener:

@@ -2,20 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import islice
-from typing import TextIO
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meterloom.functions.protocol import parse_lines
+from meterloom.sources.binary import sequence
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """(line, seq): one row per line; seq follows the order within a file and, by path, between files."""
     lines = spark.read.option("lineSep", "\n").text(path)
-    return lines.select(F.col("value").alias("line"), F.monotonically_increasing_id().alias("seq"))
+    return lines.select(F.make_valid_utf8("value").alias("line"), F.monotonically_increasing_id().alias("seq"))
 
 
 def stream_lines(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
@@ -23,7 +20,7 @@ def stream_lines(spark: SparkSession, path: str, max_files: int | None = None) -
     reader = spark.readStream.option("lineSep", "\n")
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return reader.text(path).select(F.col("value").alias("line"))
+    return reader.text(path).select(F.make_valid_utf8("value").alias("line"))
 
 
 def read_samples(spark: SparkSession, path: str) -> DataFrame:
@@ -32,13 +29,6 @@ def read_samples(spark: SparkSession, path: str) -> DataFrame:
 
 def split_datagrams(datagrams: DataFrame, data: str = "data", order: str = "chunk_no") -> DataFrame:
     """(line, seq) of datagrams; a missing final newline is supplied by the split."""
-    x = datagrams.select(F.col(order).alias("_no"), F.posexplode(F.split(F.col(data).cast("string"), "\n")).alias("_pos", "line"))
-    return x.where("line <> ''").select("line", (F.col("_no") * F.lit(1 << 20) + F.col("_pos")).alias("seq"))
-
-
-def handle_lines(spark: SparkSession, handle: TextIO, size: int = 100_000) -> Iterator[DataFrame]:
-    """(line, seq) frames of at most `size` lines from an open text handle, such as standard input."""
-    seq = 0
-    while rows := [(line.rstrip("\n"), seq + i) for i, line in enumerate(islice(handle, size))]:
-        seq += len(rows)
-        yield spark.createDataFrame(rows, "line string, seq bigint")
+    text = F.make_valid_utf8(F.col(data).cast("string"))
+    x = datagrams.select(F.col(order).alias("_no"), F.posexplode(F.split(text, "\n")).alias("_pos", "line"))
+    return x.where("line <> ''").select("line", sequence(F.col("_no"), F.col("_pos")).alias("seq"))

@@ -49,8 +49,7 @@ def start_raw(chunks: DataFrame, cfg: EngineConfig, sink: Sink, checkpoint: str,
     def each(batch: DataFrame, batch_id: int) -> None:
         chunks = batch.select(F.col("seq").alias("chunk_no"), "data").persist()
         try:
-            samples = binary.parse_mixed(chunks).withColumn("seq", F.col("chunk_no") * F.lit(1 << 20) + F.col("pos"))
-            sink(flush_batch(samples.select("seq", "type", "name", "value", "member", "sample_rate"), cfg), batch_id)
+            sink(flush_batch(binary.parse_mixed(chunks, counted=bool(cfg.input_counter)), cfg), batch_id)
         finally:
             chunks.unpersist()
 
@@ -61,7 +60,7 @@ def start_raw(chunks: DataFrame, cfg: EngineConfig, sink: Sink, checkpoint: str,
 
 def start_lines(lines: DataFrame, cfg: EngineConfig, sink: Sink, checkpoint: str, once: bool = False) -> StreamingQuery:
     """The same for a stream of protocol lines."""
-    return start(parse_lines(lines), cfg, sink, checkpoint, once)
+    return start(parse_lines(lines, counted=bool(cfg.input_counter)), cfg, sink, checkpoint, once)
 
 
 def replay(samples: DataFrame, cfg: EngineConfig, ts: str = "ts") -> DataFrame:

@@ -1,4 +1,6 @@
+import os
 import socket
+import threading
 import time
 
 from pyspark.sql import functions as F
@@ -6,7 +8,7 @@ from pyspark.sql import functions as F
 from meterloom.config import EngineConfig
 from meterloom.functions.protocol import parse_lines
 from meterloom.operators import emit
-from meterloom.sources import listener, text
+from meterloom.sources import binary, listener, text
 from meterloom.streaming import flush
 
 
@@ -94,8 +96,6 @@ def test_listener_as_a_stream(spark, tmp_path):
 
 
 def test_chunks_of_both_protocols(spark, tmp_path):
-    from meterloom.sources import binary
-
     path, store = str(tmp_path / "chunks"), []
     rows = [(0, bytearray(b"a:1|c\ng:5|g")), (1, bytearray(binary.write_number(2, "a", 2.0) + binary.write_number(6, "g", -1.0))), (2, bytearray(b"\xaa\x09bad"))]
     df = spark.createDataFrame(rows, "seq bigint, data binary")
@@ -105,8 +105,86 @@ def test_chunks_of_both_protocols(spark, tmp_path):
     assert [x for _, x in store] == [["counts.a|3.000000", "gauges.g|4.000000"]]
 
 
-def test_lines_of_a_handle(spark):
-    import io
+def chunks_of(reader, wanted, seconds=20.0):
+    """What a listener has got, once it is as many chunks as wanted."""
+    rows, deadline = [], time.time() + seconds
+    while len(rows) < wanted and time.time() < deadline:
+        rows = list(reader.read({"next": 0})[0])
+    return [bytes(d) for _, d, _ in rows]
+
+
+def test_binary_messages_split_over_reads(spark):
+    port = free_port(socket.SOCK_STREAM)
+    reader = listener.ListenerReader({"tcp_port": str(port), "bind_address": "127.0.0.1"})
+    reader.read(reader.initialOffset())
+    messages = [binary.write_number(2, f"m{i}", float(i)) if i % 2 else binary.write_set("s", f"member{i}") for i in range(5)]
+    data = b"".join(messages)
+    for cut in range(1, len(data), 7):
+        with socket.create_connection(("127.0.0.1", port)) as s:
+            s.setsockopt(socket.IPPROTO_TCP, socket.TCP_NODELAY, 1)
+            before = reader.read({"next": 0})[1]["next"]
+            s.sendall(data[:cut])
+            time.sleep(0.02)
+            s.sendall(data[cut:])
+            got, deadline = b"", time.time() + 10
+            while got != data and time.time() < deadline:
+                got = b"".join(bytes(d) for _, d, _ in reader.read({"next": before})[0])
+        assert got == data, cut
+    df = spark.createDataFrame([(0, bytearray(data))], "chunk_no bigint, data binary")
+    assert binary.parse_mixed(df).count() == 5
+
+
+def test_damaged_binary_messages_close_the_connection():
+    port = free_port(socket.SOCK_STREAM)
+    reader = listener.ListenerReader({"tcp_port": str(port), "bind_address": "127.0.0.1"})
+    reader.read(reader.initialOffset())
+    good = binary.write_number(2, "a", 1.0)
+    with socket.create_connection(("127.0.0.1", port), 10) as s:
+        s.sendall(good + b"\n" + good + b"\xaa\x09" + good)
+        assert chunks_of(reader, 1) == [good + b"\n" + good]
+        assert s.recv(1) == b""
+
+
+def test_standard_input_is_one_more_connection():
+    port = listener.free_port()
+    reader = listener.ListenerReader({"pipe_port": str(port)})
+    read, write = os.pipe()
+    thread = threading.Thread(target=listener.feed, args=(os.fdopen(read, "rb"), port))
+    thread.start()
+    reader.read(reader.initialOffset())
+    os.write(write, b"a:1|c\nb:2|")
+    assert chunks_of(reader, 1) == [b"a:1|c"]
+    os.write(write, b"g\n")
+    assert chunks_of(reader, 2) == [b"a:1|c", b"b:2|g"]
+    os.close(write)
+    thread.join(10)
+    assert not thread.is_alive()
+
+
+def test_invalid_bytes_do_not_stop_a_batch(spark, tmp_path):
+    path, store = str(tmp_path / "chunks"), []
+    df = spark.createDataFrame([(0, bytearray(b"caf\xe9:1|c\n\xff\xfe\nok:2|c")), (1, bytearray(b"\xc3:x\xc3|s"))], "seq bigint, data binary")
+    df.write.parquet(path)
+    q = flush.start_raw(spark.readStream.schema(df.schema).parquet(path), EngineConfig(), collecting(store), str(tmp_path / "ck"), once=True)
+    assert q.awaitTermination(60)
+    assert [x for _, x in store] == [["counts.caf\ufffd|1.000000", "counts.ok|2.000000", "sets.\ufffd|1"]]
+    assert text.split_datagrams(df.withColumnRenamed("seq", "chunk_no")).count() == 4
+
 
-    frames = list(text.handle_lines(spark, io.StringIO("a:1|c\nb:2|g\nc:3|kv"), size=2))
-    assert [[(r.line, r.seq) for r in f.collect()] for f in frames] == [[("a:1|c", 0), ("b:2|g", 1)], [("c:3|kv", 2)]]
+def test_inputs_are_counted_before_their_numbers_are_read(spark, tmp_path):
+    src, store = tmp_path / "in", []
+    src.mkdir()
+    (src / "1.txt").write_text("a:1|c\na:x|c\nb:1e400|g\nc:1|ms|@zz\ns:m|s\njunk\nd:|c\n")
+    cfg = EngineConfig(input_counter="inputs", quantiles=())
+    assert flush.start_lines(text.stream_lines(spark, str(src)), cfg, collecting(store), str(tmp_path / "ck"), once=True).awaitTermination(60)
+    assert [x for _, x in store] == [["counts.a|1.000000", "counts.inputs|5.000000", "sets.s|1"]]
+    packed = binary.write_number(3, "t", float("nan")) + binary.write_number(2, "a", 1.0)
+    df = spark.createDataFrame([(0, bytearray(packed))], "chunk_no bigint, data binary")
+    assert [r.type for r in binary.parse_mixed(df, counted=True).orderBy("seq").collect()] == ["unusable", "c"] and binary.parse_mixed(df).count() == 1
+
+
+def test_order_over_very_long_chunks(spark):
+    n = (1 << 20) + 5
+    df = spark.createDataFrame([(0, bytearray(b"\n" * n + b"g:5|g")), (1, bytearray(b"g:+1|g"))], "chunk_no bigint, data binary")
+    got = {(r.key, r.value) for r in emit.flush(binary.parse_mixed(df), EngineConfig(), F.lit(1)).collect()}
+    assert got == {("gauges.g", 6.0)}
