@@ -61,8 +61,10 @@ class EngineConfig:
     input_counter: str | None = None
     stream_cmd: str = "cat"
     histograms: tuple[Histogram, ...] = field(default=())
-    #: Accuracy of the mergeable quantile sketch; None: from timer_eps.
+    #: Accuracy of the mergeable quantile sketch; None: twice what timer_eps asks for, as merging costs some.
     quantile_accuracy: int | None = None
+    #: Count sets of any size exactly, by a shuffle of their members, instead of by a sketch of set_eps.
+    exact_sets: bool = False
 
     @property
     def set_precision(self) -> int:
@@ -70,7 +72,7 @@ class EngineConfig:
 
     @property
     def accuracy(self) -> int:
-        return self.quantile_accuracy or math.ceil(1 / self.timer_eps)
+        return self.quantile_accuracy or math.ceil(2 / self.timer_eps)
 
     def prefix(self, kind: str) -> str:
         """Prefix of a type's keys: kv, g, c, ms or s."""

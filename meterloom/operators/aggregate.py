@@ -62,6 +62,38 @@ def timers(samples: DataFrame, cfg: EngineConfig = EngineConfig(), by: tuple[str
     return out.withColumn("median", median)
 
 
+def scalars(samples: DataFrame, cfg: EngineConfig = EngineConfig(), by: tuple[str, ...] = ()) -> DataFrame:
+    """(type, name, and the columns of counters, timers and sets): all three from one pass over the samples.
+
+    A column that a type lacks is null. With exact_sets, sets are left out: exact counts need a shuffle of their own.
+    """
+    t, v = F.col("type"), F.when(F.col("type") == "ms", F.col("value"))
+    number = t.isin("c", "ms") & F.col("value").isNotNull() & ~((t == "ms") & F.isnan("value"))
+    member = (t == "s") & F.col("member").isNotNull() & F.lit(not cfg.exact_sets)
+    qs = [float(q) for q in cfg.quantiles]
+    seconds = F.lit(float(cfg.flush_interval))
+    precision = max(EXACT_PRECISION, cfg.set_precision)
+    found = F.when(t == "s", F.col("member"))
+    size = lambda p: F.hll_sketch_estimate(F.hll_sketch_agg(found, F.lit(p)))
+    coarse = cfg.set_precision < EXACT_PRECISION
+    out = samples.where(F.col("name").isNotNull() & (number | member)).groupBy(*by, "type", "name").agg(
+        F.sum(F.when(t == "c", F.col("value") * (1.0 / F.col("sample_rate"))).otherwise(v)).alias("sum"),
+        F.sum(F.when(t != "s", _weight())).alias("count"),
+        F.sum(v * v).alias("sum_sq"),
+        F.avg(v).alias("mean"),
+        F.min(v).alias("lower"),
+        F.max(v).alias("upper"),
+        F.coalesce(F.stddev_samp(v), F.lit(0.0)).alias("stdev"),
+        (F.percentile_approx(v, qs, cfg.accuracy) if qs else F.first(F.lit(None).cast("array<double>"))).alias("quantiles"),
+        (F.lit(None).cast("bigint") if cfg.exact_sets else size(precision)).alias("members"),
+        (size(cfg.set_precision) if coarse and not cfg.exact_sets else F.lit(None).cast("bigint")).alias("_coarse"),
+    )
+    median = F.element_at("quantiles", qs.index(0.5) + 1) if 0.5 in qs else F.lit(None).cast("double")
+    members = F.when((F.col("members") > EXACT_SET) & F.col("_coarse").isNotNull(), F.col("_coarse")).otherwise(F.col("members"))
+    out = out.withColumns({"rate": F.col("sum") / seconds, "sample_rate": F.col("count") / seconds, "median": median, "members": members})
+    return out.drop("_coarse")
+
+
 def longest_prefix(name: Column, hists: tuple[Histogram, ...], value) -> Column:
     """value(h) of the histogram with the longest prefix of name, null without one: a narrow CASE, no join."""
     out = None

@@ -89,6 +89,29 @@ def counter_items(cfg: EngineConfig, binary: bool) -> list[Column]:
     return [count, _item("rate", F.col("rate"), VALUE_CODES["rate"])]
 
 
+def set_items() -> list[Column]:
+    return [_item("", F.col("members"), VALUE_CODES["sum"], whole=True)]
+
+
+def _scalar_rows(df: DataFrame, cfg: EngineConfig, by: tuple[str, ...], binary: bool) -> DataFrame:
+    """The rows of counters, timers and sets, which come from one aggregate."""
+    items = {"c": counter_items(cfg, binary), "ms": timer_items(cfg, binary), "s": set_items()}
+    case = F.coalesce(*[F.when(F.col("type") == k, F.array(*v)) for k, v in items.items()])
+    rank = F.coalesce(*[F.when(F.col("type") == k, F.lit(RANK[k] * 10_000)) for k in items])
+    return df.select(*by, "type", "name", F.posexplode(case).alias("_pos", "_x")).select(
+        *by,
+        "type",
+        "name",
+        F.col("_x.stat").alias("stat"),
+        F.col("_x.code").alias("code"),
+        F.col("_x.value").alias("value"),
+        F.col("_x.whole").alias("whole"),
+        F.lit(None).cast("bigint").alias("hist_count"),
+        (rank + F.col("_pos")).cast("int").alias("rank"),
+        F.lit(None).cast("bigint").alias("seq"),
+    )
+
+
 def _with_key(df: DataFrame, cfg: EngineConfig) -> DataFrame:
     prefix = F.coalesce(*[F.when(F.col("type") == k, F.lit(cfg.prefix(k))) for k in RANK])
     suffix = F.when(F.col("stat") == "", F.lit("")).otherwise(F.concat(F.lit("."), "stat"))
@@ -102,11 +125,11 @@ def flush(samples: DataFrame, cfg: EngineConfig = EngineConfig(), ts: Column | N
     ordered = x if seq else x.withColumn("seq", F.monotonically_increasing_id())
     parts = [
         _rows(agg.key_values(ordered, by), "kv", [_item("", F.col("value"), VALUE_CODES[""])], by, F.col("seq")),
-        _rows(agg.counters(x, cfg, by), "c", counter_items(cfg, binary), by),
-        _rows(agg.timers(x, cfg, by), "ms", timer_items(cfg, binary), by),
+        _scalar_rows(agg.scalars(x, cfg, by), cfg, by, binary),
         _rows(agg.gauges(ordered, by), "g", [_item("", F.col("value"), VALUE_CODES[""])], by),
-        _rows(agg.sets(x, cfg, by), "s", [_item("", F.col("members"), VALUE_CODES["sum"], whole=True)], by),
     ]
+    if cfg.exact_sets:
+        parts.append(_rows(agg.sets(x, cfg, by, exact=True), "s", set_items(), by))
     if cfg.histograms:
         last = longest_prefix(F.col("name"), cfg.histograms, lambda h: F.lit(h.num_bins - 1))
         edge = longest_prefix(

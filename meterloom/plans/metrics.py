@@ -252,10 +252,64 @@ def replay_counters(spark: SparkSession, d: str) -> DataFrame:
     return out.select("ts", "key", r("value").alias("value"))
 
 
+FLUSHED_AT = 1647302400
+#: Quantiles of any group of up to a million values, and sets, come out as SQL has them.
+EXACT = EngineConfig(quantile_accuracy=1_000_000, exact_sets=True, extended_counters=True)
+
+
+def _flush_messages(spark: SparkSession, d: str, cfg: EngineConfig) -> DataFrame:
+    return emit.flush(_messages(spark, d), with_histogram_table(cfg, table(spark, d, "hist_cfg")), F.lit(FLUSHED_AT))
+
+
 def flush_messages(spark: SparkSession, d: str) -> DataFrame:
-    """The flagship: one whole flush of all messages, every type and statistic."""
-    cfg = with_histogram_table(EngineConfig(), table(spark, d, "hist_cfg"))
-    return emit.flush(_messages(spark, d), cfg, F.lit(1647302400)).select("ts", "type", "key", "value", "hist_count")
+    """The flagship: one whole flush of all messages, every type, statistic and histogram; sets and quantiles exactly."""
+    value = F.when(F.col("stat") == "sum_sq", r("value", 0)).when(F.col("stat").isin("mean", "stdev"), r("value", 7)).otherwise(r("value", 6))
+    return _flush_messages(spark, d, EXACT).select("ts", "type", "key", value.alias("value"), "hist_count")
+
+
+def flush_messages_sketched(spark: SparkSession, d: str) -> DataFrame:
+    """The same with the default error of quantiles and sets: what every flush of a service computes."""
+    return _flush_messages(spark, d, EngineConfig()).select("ts", "type", "key", "value", "hist_count")
+
+
+def flush_within_bound(spark: SparkSession, d: str) -> DataFrame:
+    """The sets and quantiles of a sketched flush that keep their bounds: three set_eps, and timer_eps of the ranks."""
+    cfg, messages = EngineConfig(), _messages(spark, d)
+    got = agg.scalars(messages, cfg)
+    sets = got.where("type = 's'").join(agg.sets(messages, cfg, exact=True).withColumnRenamed("members", "exact"), "name")
+    sets = sets.where(F.abs(F.col("members") - F.col("exact")) <= 3 * cfg.set_eps * F.col("exact")).select("type", "name", F.lit("members").alias("stat"))
+    timers = messages.where("type = 'ms' and name is not null and value is not null and not isnan(value)").join(
+        got.where("type = 'ms'").select("name", F.posexplode("quantiles").alias("i", "found")), "name"
+    )
+    ranks = timers.groupBy("name", "i").agg(F.count_if(F.col("value") < F.col("found")).alias("below"), F.count_if(F.col("value") <= F.col("found")).alias("upto"), F.count(F.lit(1)).alias("n"))
+    rank = F.ceil(F.element_at(F.array(*map(F.lit, cfg.quantiles)), F.col("i") + 1) * F.col("n"))
+    slack = F.greatest(F.lit(1.0), cfg.timer_eps * F.col("n"))
+    near = ranks.where((F.col("below") + 1 <= rank + slack) & (F.col("upto") >= rank - slack))
+    return sets.unionByName(near.select(F.lit("ms").alias("type"), "name", F.concat(F.lit("q"), F.col("i").cast("string")).alias("stat")))
+
+
+def input_counter_messages(spark: SparkSession, d: str) -> DataFrame:
+    """Counters with one that counts every message of the grammar, whether its numbers can be used or not."""
+    cfg = replace(CFG, input_counter="inputs")
+    return agg.counters(agg.count_inputs(protocol.tokens_to_samples(table(spark, d, "ascii_parser"), counted=True), cfg), cfg).select("name", r("sum", 5).alias("sum"), "count")
+
+
+def condensed_messages(spark: SparkSession, d: str) -> DataFrame:
+    """Counters of the messages written as condensed lines, each with a second value, and parsed again."""
+    m = table(spark, d, "ascii_parser").where("name is not null and value is not null and type is not null and not contains(value, ':') and not contains(coalesce(samplerate, ''), ':')")
+    one = F.concat("value", F.lit("|"), "type", F.coalesce(F.concat(F.lit("|@"), "samplerate"), F.lit("")))
+    line = F.concat("name", F.lit(":"), one, F.lit(":1|c"))
+    x = protocol.to_samples(protocol.match_condensed(m.select("seq", line.alias("line"))))
+    return agg.counters(x, CFG).select("name", r("sum", 5).alias("sum"), "count")
+
+
+def binary_round_trip_all(spark: SparkSession, d: str) -> DataFrame:
+    """Packed records of a whole flush of all messages, sets and histograms too, with key prefixes, decoded again."""
+    cfg = with_histogram_table(replace(EXACT, prefix_binary_stream=True, global_prefix="all."), table(spark, d, "hist_cfg"))
+    packed = emit.binary_records(emit.flush(_messages(spark, d), cfg, F.lit(FLUSHED_AT), binary=True), cfg)
+    timer, stat = F.col("type") == 3, F.col("value_type")
+    value = F.when(timer & (stat == 2), r("value", 0)).when(timer & stat.isin(3, 5), r("value", 7)).otherwise(r("value", 6))
+    return binary.parse_records(packed).select("ts", "type", "value_type", "key", value.alias("value"), "hist_count")
 
 
 # ---- the two workloads of the baseline
@@ -283,7 +337,7 @@ def set_few_keys_sketch(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        flush_messages, counter_sum, counter_rate, counter_sampled, counter_extended, counter_extended_nonlegacy, timer_stats, timer_quantiles,
+        flush_messages, flush_messages_sketched, flush_within_bound, input_counter_messages, condensed_messages, binary_round_trip_all, counter_sum, counter_rate, counter_sampled, counter_extended, counter_extended_nonlegacy, timer_stats, timer_quantiles,
         timer_quantiles_approx, timer_histogram, timer_histogram_prefix, timers_windowed, lineitem_timers, gauge_last, gauge_delta, kv_passthrough,
         set_exact, set_hybrid_small, set_hll, set_hll_within_bound, input_counter, flush_all_types, flush_text, binary_round_trip, binary_messages,
         parse_lines, parse_numbers, message_counters, message_timers, message_gauges, message_sets, message_histograms, replay_counters,
@@ -298,7 +352,12 @@ _NUM = """CASE WHEN regexp_matches({0}, '^[+-]?[0-9]*(\\.[0-9]*)?[eE]') THEN
       CASE WHEN abs({1}) < 'inf'::DOUBLE AND (abs({1}) >= 2.2250738585072014e-308 OR NOT regexp_matches(regexp_extract({0}, '^[+-]?[0-9.]*'), '[1-9]'))
            THEN {1} END END
   WHEN regexp_matches({0}, '^[+-]?(\\.?[0-9])') THEN TRY_CAST(regexp_extract({0}, '^[+-]?[0-9]*(\\.[0-9]*)?') AS DOUBLE)
-  WHEN regexp_matches({0}, '^[+-.]') THEN 0.0::DOUBLE END"""
+  WHEN regexp_matches({0}, '^[-+.]') THEN 0.0::DOUBLE END"""
+#: A rate counts from two characters on and between 0 and 1; one that starts with no number makes the sample unusable.
+_RATE = r"""CASE WHEN t NOT IN ('ms', 'h', 'c') OR rt IS NULL OR length(rt) <= 1 THEN 1.0::DOUBLE
+  WHEN NOT regexp_matches(rt, '^[-+.0-9]') OR regexp_matches(rt, '^[-+]?\.?[eE]') THEN NULL
+  WHEN rate > 0 AND rate <= 1 THEN rate ELSE 1.0::DOUBLE END"""
+_RATE_VALUE = r"TRY_CAST(regexp_extract(rt, '^[+-]?[0-9]*(\.[0-9]*)?([eE][+-]?[0-9]+)?') AS DOUBLE)"
 
 
 def _num(c: str) -> str:
@@ -311,13 +370,11 @@ tokens AS (
   WHERE length(name) > 0 AND strpos(name, ':') = 0 AND length(value) > 0 AND strpos(value, '|') = 0
     AND (type IN ('kv', 'g', 's') AND samplerate IS NULL OR type IN ('ms', 'h', 'c'))
 ),
-numbers AS (SELECT *, CASE WHEN t <> 's' THEN {_num("raw")} END AS value, {_num("rt")} AS rate FROM tokens),
+numbers AS (SELECT *, CASE WHEN t <> 's' THEN {_num("raw")} END AS value, {_RATE_VALUE} AS rate FROM tokens),
 samples AS (
   SELECT seq, ts, name, value, CASE WHEN t = 's' THEN raw END AS member,
          CASE WHEN t = 'h' THEN 'ms' WHEN t = 'g' AND regexp_matches(raw, '^[+-]') THEN 'gd' ELSE t END AS type,
-         CASE WHEN t NOT IN ('ms', 'h', 'c') OR rt IS NULL THEN 1.0::DOUBLE
-              WHEN length(rt) <= 1 AND rate IS NULL THEN 1.0::DOUBLE
-              WHEN rate IS NOT NULL THEN CASE WHEN rate > 0 AND rate <= 1 THEN rate ELSE 1.0::DOUBLE END END AS sample_rate
+         {_RATE} AS sample_rate
   FROM numbers WHERE value IS NOT NULL OR t = 's'
 ),
 good AS (SELECT * FROM samples WHERE sample_rate IS NOT NULL)
@@ -352,7 +409,78 @@ _EXT = """WITH x AS ({0}), c AS (SELECT name, sum(value * (1.0 / sample_rate)) A
   SELECT 'c' AS type, 'counts.' || name || '.count' AS key, round(CAST({1} AS DOUBLE), 3) AS value FROM c
   UNION ALL SELECT 'c', 'counts.' || name || '.rate', round(s / 10.0, 3) FROM c"""
 
+def _every(rows: dict[str, str]) -> str:
+    """All flushed rows as (type, name, stat, value, hist_count), from `good` samples and histograms."""
+    return " UNION ALL ".join(f"SELECT '{t}' AS type, name, {stat} AS stat, CAST({e} AS DOUBLE) AS value, {h} AS hist_count FROM {src}" for (t, stat), (e, h, src) in rows.items())
+
+
+_NO_COUNT = "CAST(NULL AS BIGINT)"
+_HIST_CTE = """
+hcfg AS (SELECT *, CAST(trunc((max_val - min_val) / bin_width + 2) AS INTEGER) AS bins FROM hist_cfg),
+hnames AS (SELECT name, arg_max(hcfg, length(prefix)) AS h FROM (SELECT DISTINCT name FROM good WHERE type = 'ms') JOIN hcfg ON starts_with(name, prefix) GROUP BY name),
+hcounted AS (
+  SELECT g.name, CASE WHEN value < h.min_val THEN 0 WHEN value >= h.max_val THEN h.bins - 1
+         ELSE CAST(trunc((value - h.min_val) / h.bin_width) AS INTEGER) + 1 END AS bin, count(*) AS c
+  FROM good g JOIN hnames n USING (name) WHERE type = 'ms' GROUP BY ALL),
+hspine AS (SELECT name, h, CAST(unnest(generate_series(0, h.bins - 1)) AS INTEGER) AS bin FROM hnames),
+hist AS (
+  SELECT s.name, s.bin, coalesce(c.c, 0) AS c, h.bins AS bins,
+         CASE WHEN s.bin = 0 THEN h.min_val WHEN s.bin = h.bins - 1 THEN h.max_val ELSE h.min_val + h.bin_width * (s.bin - 1) END AS edge
+  FROM hspine s LEFT JOIN hcounted c USING (name, bin)),
+gbase AS (SELECT name, max(seq) FILTER (type = 'g') AS base FROM good WHERE type IN ('g', 'gd') GROUP BY name),
+gauges AS (SELECT g.name, sum(value) AS value FROM good g JOIN gbase USING (name) WHERE type IN ('g', 'gd') AND (base IS NULL OR seq >= base) GROUP BY g.name)
+"""
+_SCALED, _WEIGHT = "sum(value * (1.0 / sample_rate))", "sum(CAST(floor(1.0 / sample_rate) AS BIGINT))"
+_C_ROWS, _MS_ROWS, _S_ROWS = "good WHERE type = 'c' GROUP BY name", "good WHERE type = 'ms' GROUP BY name", "good WHERE type = 's' GROUP BY name"
+_DEFAULT_Q = (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))
+_MS_STATS = {
+    "sum": "sum(value)", "sum_sq": "sum(value * value)", "mean": "avg(value)", "lower": "min(value)", "upper": "max(value)", "count": _WEIGHT, "stdev": "coalesce(stddev_samp(value), 0)",
+    "median": "quantile_disc(value, 0.5)", **{n: f"quantile_disc(value, {q})" for n, q in _DEFAULT_Q}, "rate": "sum(value) / 10", "sample_rate": f"{_WEIGHT} / 10.0",
+}
+_FLUSHED = _every(
+    {
+        ("kv", "''"): ("value", _NO_COUNT, "good WHERE type = 'kv'"),
+        ("c", "'count'"): (_WEIGHT, _NO_COUNT, _C_ROWS),
+        ("c", "'rate'"): (f"{_SCALED} / 10", _NO_COUNT, _C_ROWS),
+        **{("ms", f"'{n}'"): (e, _NO_COUNT, _MS_ROWS) for n, e in _MS_STATS.items()},
+        ("g", "''"): ("value", _NO_COUNT, "gauges"),
+        ("s", "''"): ("count(DISTINCT member)", _NO_COUNT, _S_ROWS),
+        ("ms", "'histogram.bin_' || CASE WHEN bin = 0 THEN '<' WHEN bin = bins - 1 THEN '>' ELSE '' END || format('{:.2f}', edge)"): ("c", "c", "hist"),
+    }
+)
+#: Type, value type and source of every record of a packed flush.
+_PACKED = {
+    (1, "0"): ("value", _NO_COUNT, "good WHERE type = 'kv'"),
+    (2, "4"): (_WEIGHT, _NO_COUNT, _C_ROWS),
+    (2, "11"): (f"{_SCALED} / 10", _NO_COUNT, _C_ROWS),
+    **{(3, str(c)): (_MS_STATS[n], _NO_COUNT, _MS_ROWS) for n, c in (("sum", 1), ("sum_sq", 2), ("mean", 3), ("count", 4), ("stdev", 5), ("lower", 6), ("upper", 7), ("rate", 11), ("sample_rate", 12))},
+    **{(3, str(128 | int(q * 100))): (f"quantile_disc(value, {q})", _NO_COUNT, _MS_ROWS) for _, q in _DEFAULT_Q},
+    (5, "0"): ("value", _NO_COUNT, "gauges"),
+    (4, "1"): ("count(DISTINCT member)", _NO_COUNT, _S_ROWS),
+    (3, "CASE WHEN bin = 0 THEN 8 WHEN bin = bins - 1 THEN 10 ELSE 9 END"): ("edge", "c", "hist"),
+}
+_PREFIX = "CASE type WHEN {0} THEN 'kv.' WHEN {1} THEN 'counts.' WHEN {2} THEN 'timers.' WHEN {3} THEN 'gauges.' ELSE 'sets.' END"
+
+
 ORACLE_SQL = {
+    "flush_messages": f"""WITH {_SAMPLES}, {_HIST_CTE}, flushed AS ({_FLUSHED})
+        SELECT CAST({FLUSHED_AT} AS BIGINT) AS ts, type, {_PREFIX.format("'kv'", "'c'", "'ms'", "'g'")} || name || CASE WHEN stat = '' THEN '' ELSE '.' || stat END AS key,
+               CASE WHEN stat = 'sum_sq' THEN round(value, 0) WHEN stat IN ('mean', 'stdev') THEN round(value, 7) ELSE round(value, 6) END AS value, hist_count FROM flushed""",
+    "flush_within_bound": f"""WITH {_SAMPLES} SELECT 's' AS type, name, 'members' AS stat FROM {_S_ROWS}
+        UNION ALL SELECT 'ms', name, 'q' || i FROM (SELECT name FROM {_MS_ROWS}), (VALUES (0), (1), (2)) AS q(i)""",
+    "input_counter_messages": f"""WITH {_SAMPLES} SELECT name, round({_SCALED}, 5) AS sum, CAST({_WEIGHT} AS BIGINT) AS count FROM {_C_ROWS}
+        UNION ALL SELECT 'inputs', CAST(count(*) AS DOUBLE), count(*) FROM tokens""",
+    "condensed_messages": f"""WITH lines AS (
+          SELECT name, value AS raw, type AS t, samplerate AS rt FROM ascii_parser
+          WHERE length(name) > 0 AND strpos(name, ':') = 0 AND length(value) > 0 AND strpos(value, '|') = 0 AND strpos(value, ':') = 0
+            AND (type IN ('kv', 'g', 's') AND samplerate IS NULL OR type IN ('ms', 'h', 'c') AND coalesce(samplerate, 'x') <> '' AND strpos(coalesce(samplerate, ''), ':') = 0)),
+        numbers AS (SELECT *, {_num("raw")} AS value, {_RATE_VALUE} AS rate FROM lines),
+        rated AS (SELECT name, value, {_RATE} AS sample_rate FROM numbers WHERE t = 'c' AND value IS NOT NULL),
+        every AS (SELECT * FROM rated WHERE sample_rate IS NOT NULL UNION ALL SELECT name, 1.0::DOUBLE, 1.0::DOUBLE FROM lines)
+        SELECT name, round({_SCALED}, 5) AS sum, CAST({_WEIGHT} AS BIGINT) AS count FROM every GROUP BY name""",
+    "binary_round_trip_all": f"""WITH {_SAMPLES}, {_HIST_CTE}, packed AS ({" UNION ALL ".join(f"SELECT {t} AS type, CAST({c} AS INTEGER) AS value_type, name, CAST({e} AS DOUBLE) AS value, {h} AS hist_count FROM {src}" for (t, c), (e, h, src) in _PACKED.items())})
+        SELECT CAST({FLUSHED_AT} AS BIGINT) AS ts, CAST(type AS INTEGER) AS type, value_type, 'all.' || {_PREFIX.format(1, 2, 3, 5)} || name AS key,
+               CASE WHEN type = 3 AND value_type = 2 THEN round(value, 0) WHEN type = 3 AND value_type IN (3, 5) THEN round(value, 7) ELSE round(value, 6) END AS value, hist_count FROM packed""",
     "counter_sum": "SELECT event_type AS name, round(sum(value), 3) AS sum FROM events GROUP BY 1",
     "counter_rate": "SELECT event_type AS name, round(sum(value) / 10.0, 3) AS rate FROM events GROUP BY 1",
     "counter_sampled": f"""SELECT name, round(sum(value * (1.0 / sample_rate)), 3) AS sum, CAST(sum(CAST(floor(1.0 / sample_rate) AS BIGINT)) AS BIGINT) AS count,
@@ -401,12 +529,11 @@ ORACLE_SQL = {
                  '(?s)^([^:]+):([^|]+)\\|((kv|g|s)|(ms|h|c)(\\|@([^\\n]+))?)$', ['name', 'raw', 'tail', 'u', 't', 'x', 'rt']) AS f
           FROM ascii_parser WHERE name IS NOT NULL AND value IS NOT NULL AND type IS NOT NULL),
         tokens AS (SELECT seq, f.name AS name, f.raw AS raw, f.u || f.t AS t, nullif(f.rt, '') AS rt FROM lines WHERE f.name <> ''),
-        numbers AS (SELECT *, CASE WHEN t <> 's' THEN {_num("raw")} END AS value, {_num("rt")} AS rate FROM tokens),
+        numbers AS (SELECT *, CASE WHEN t <> 's' THEN {_num("raw")} END AS value, {_RATE_VALUE} AS rate FROM tokens),
         samples AS (
           SELECT seq, CASE WHEN t = 'h' THEN 'ms' WHEN t = 'g' AND regexp_matches(raw, '^[+-]') THEN 'gd' ELSE t END AS type, name, value,
                  CASE WHEN t = 's' THEN raw END AS member,
-                 CASE WHEN t NOT IN ('ms', 'h', 'c') OR rt IS NULL THEN 1.0::DOUBLE WHEN length(rt) <= 1 AND rate IS NULL THEN 1.0::DOUBLE
-                      WHEN rate IS NOT NULL THEN CASE WHEN rate > 0 AND rate <= 1 THEN rate ELSE 1.0::DOUBLE END END AS sample_rate
+                 {_RATE} AS sample_rate
           FROM numbers WHERE value IS NOT NULL OR t = 's')
         SELECT * FROM samples WHERE sample_rate IS NOT NULL""",
     "message_counters": f"""WITH {_SAMPLES} SELECT name, round(sum(value * (1.0 / sample_rate)), 5) AS sum, CAST(sum(CAST(floor(1.0 / sample_rate) AS BIGINT)) AS BIGINT) AS count
