@@ -144,9 +144,11 @@ def set_exact(spark: SparkSession, d: str) -> DataFrame:
 
 
 def set_hybrid_small(spark: SparkSession, d: str) -> DataFrame:
-    """Small sets, one per hour and type: the sketch still counts exactly. Larger ones are left to set_hll_within_bound."""
-    name = F.concat_ws(".", "event_type", F.date_format(F.col("ts"), "yyyy-MM-dd'T'HH"))
-    return agg.sets(events_as(spark, d, "s", name=name), CFG).where(f"members <= {agg.EXACT_SET}")
+    """Sets per hour and type: small ones are counted exactly, larger ones come out exactly if the sketch keeps its bound."""
+    x = events_as(spark, d, "s", name=F.concat_ws(".", "event_type", F.date_format(F.col("ts"), "yyyy-MM-dd'T'HH")))
+    both = agg.sets(x, CFG).withColumnRenamed("members", "found").join(agg.sets(x, CFG, exact=True), "name")
+    kept_bound = (F.col("members") > agg.EXACT_SET) & (F.abs(F.col("found") - F.col("members")) <= 3 * CFG.set_eps * F.col("members"))
+    return both.select("name", F.when(kept_bound, F.col("members")).otherwise(F.col("found")).alias("members"))
 
 
 def set_hll(spark: SparkSession, d: str) -> DataFrame:
@@ -167,13 +169,13 @@ def input_counter(spark: SparkSession, d: str) -> DataFrame:
 
 
 def flush_all_types(spark: SparkSession, d: str) -> DataFrame:
-    """Every flushed row of samples of all types, with prefixes and suffixes. Rows of sets are left to set_hll_within_bound."""
+    """Every flushed row of samples of all types, with prefixes and suffixes."""
     kinds = ("c", "ms", "g", "s")
     x = None
     for k in kinds:
         e = events_as(spark, d, k)
         x = e if x is None else x.unionByName(e)
-    return emit.flush(x, replace(CFG, global_prefix="app."), F.lit(0)).where("type <> 's'").select("type", "name", "stat", "key", r("value", 1).alias("value"))
+    return emit.flush(x, replace(CFG, global_prefix="app.", exact_sets=True), F.lit(0)).select("type", "name", "stat", "key", r("value", 1).alias("value"))
 
 
 def flush_text(spark: SparkSession, d: str) -> DataFrame:
@@ -504,13 +506,14 @@ ORACLE_SQL = {
     "kv_passthrough": "SELECT event_type AS name, value, event_id AS seq FROM events",
     "set_exact": "SELECT event_type AS name, count(DISTINCT user_id) AS members FROM events GROUP BY 1",
     "set_hybrid_small": """SELECT event_type || '.' || strftime(ts, '%Y-%m-%dT%H') AS name, count(DISTINCT user_id) AS members FROM events
-        GROUP BY 1 HAVING count(DISTINCT user_id) <= 64""",
+        GROUP BY 1""",
     "set_hll_within_bound": "SELECT event_type AS name, count(DISTINCT user_id) AS members FROM events GROUP BY 1",
     "input_counter": """SELECT event_type AS name, round(sum(value), 3) AS sum, count(*) AS count FROM events WHERE event_id % 2 = 0 GROUP BY 1
         UNION ALL SELECT 'numStats', CAST(count(*) AS DOUBLE), count(*) FROM events""",
     "flush_all_types": " UNION ALL ".join(
         [
             "SELECT 'c' AS type, event_type AS name, '' AS stat, 'app.counts.' || event_type AS key, round(sum(value), 1) AS value FROM events GROUP BY event_type",
+            "SELECT 's', event_type, '', 'app.sets.' || event_type, CAST(count(DISTINCT user_id) AS DOUBLE) FROM events GROUP BY event_type",
             "SELECT 'g', event_type, '', 'app.gauges.' || event_type, round(arg_max(value, event_id), 1) FROM events GROUP BY event_type",
             *[f"SELECT 'ms', event_type, '{n}', 'app.timers.' || event_type || '.{n}', round(CAST({e} AS DOUBLE), 1) FROM events GROUP BY event_type" for n, e in _ALL_TIMER],
         ]
