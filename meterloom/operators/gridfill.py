@@ -12,6 +12,8 @@ gives an empty grid; a source with one reading gives one slot.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,7 +28,8 @@ def gauge_readings(prefix: DataFrame, sink: DataFrame) -> DataFrame:
 def occupied_slots(readings: DataFrame, key: str, ts: str, val: str, tie: str, step: int, shard_slots: int) -> DataFrame:
     """(key, shard, slot_no, first_val, last_val, n), partitioned by (key, shard)."""
     slot = F.floor(F.col(ts) / F.lit(step))
-    order = F.struct(F.col(ts), F.col(tie))
+    # time within the slot, then the tie, as one number: ordered by a struct, the aggregate would sort all its rows
+    order = F.pmod(F.col(ts), F.lit(step)).cast("decimal(18,0)") * F.lit(Decimal(2 * 10**19)) + F.coalesce(F.col(tie), F.lit(-(1 << 63))).cast("decimal(20,0)")
     ok = F.col(key).isNotNull() & F.col(ts).isNotNull() & F.col(val).isNotNull() & ~F.isnan(val)
     return (
         readings.where(ok)

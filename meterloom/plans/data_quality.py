@@ -41,7 +41,6 @@ def p3_key_results(spark: SparkSession, d: str) -> DataFrame:
             "key",
             {"n": F.count(F.lit(1)), "n_different": F.count_distinct("what"), "first_at": F.min("at"), "last_at": F.max("at")},
             {"n": add, "n_different": add, "first_at": F.min, "last_at": F.max},
-            HOT_SHARE,
             salt_on=["what"],
         )
         return out.select(F.lit(src).alias("src"), "*")

@@ -75,6 +75,13 @@ def test_a_key_at_exactly_the_share_is_hot(spark, share, total):
     assert [r.hot_key for r in hotkeys.heavy_hitters(df, "name", share).collect()] == ["tie"]
 
 
+def test_shares_too_small_for_a_sketch_are_counted(spark):
+    rows = [("a",)] * 50 + [("b",)] * 30 + [(f"k{i}",) for i in range(20)] + [(None,)] * 100
+    got = hotkeys.heavy_hitters(spark.createDataFrame(rows, "name string"), "name", 1e-6).collect()
+    assert len(got) == 22 and {(r.hot_key, r.n, r.total) for r in got} >= {("a", 50, 200), ("b", 30, 200)}
+    assert hotkeys.heavy_hitters(spark.createDataFrame([], "name string"), "name", 1e-6).count() == 0
+
+
 def test_heavy_hitters_of_nothing(spark):
     assert hotkeys.heavy_hitters(spark.createDataFrame([], "name string"), "name").count() == 0
     assert hotkeys.heavy_hitters(spark.createDataFrame([(None,)] * 5, "name string"), "name").count() == 0
@@ -85,9 +92,11 @@ def test_split_aggregate_matches_group_by(spark):
     rows = [("hot" if rnd.random() < 0.4 else rnd.choice([None, f"k{rnd.randrange(60)}"]), rnd.choice([None, f"v{rnd.randrange(40)}"]), rnd.random()) for _ in range(3000)]
     df = spark.createDataFrame(rows, "key string, what string, n double")
     partial = {"rows": F.count(F.lit(1)), "different": F.count_distinct("what"), "top": F.max("n")}
-    got = hotkeys.split_aggregate(df, "key", partial, {"rows": F.sum, "different": F.sum, "top": F.max}, 0.03, salts=8, salt_on=["what"])
     want = df.groupBy("key").agg(*[c.alias(n) for n, c in partial.items()])
-    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    for share in (0.03, None, 0.0003):
+        got = hotkeys.split_aggregate(df, "key", partial, {"rows": F.sum, "different": F.sum, "top": F.max}, share, salts=8, salt_on=["what"])
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert hotkeys.split_aggregate(df.limit(0), "key", partial, {"rows": F.sum, "different": F.sum, "top": F.max}).count() == 0
 
 
 # ---- rows that fail to parse
