@@ -164,6 +164,15 @@ def json_merge(spark: SparkSession, d: str) -> DataFrame:
     return x.select("key", "ts", "type", "kv", *added, "mean", "stddev", "min", "max", *shares, F.size("percentiles").alias("n_percentiles"))
 
 
+def state_forms(spark: SparkSession, d: str) -> DataFrame:
+    """The state of all records, written as YAML lines and as Marshal payloads and read again."""
+    state = state_table.collect_state(_binary_rows(spark, d))
+    a = state_table.read_yaml_lines(state_table.yaml_lines(state)).withColumn("form", F.lit("yaml"))
+    b = state_table.read_marshal(state_table.marshal_payloads(state, 100)).withColumn("form", F.lit("marshal"))
+    shares = [F.try_element_at("percentiles", F.lit(str(p))).alias(f"p{p}") for p in PERCENTILES]
+    return a.unionByName(b).select("form", "key", "ts", "type", "kv", "sum", "sumsqrt", "mean", "count", "stddev", "min", "max", *shares, F.size("percentiles").alias("n_percentiles"))
+
+
 def binary_key_totals(spark: SparkSession, d: str) -> DataFrame:
     """Decoded binary records per type and statistic."""
     return _binary_rows(spark, d).groupBy("type", "value_type").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("key").alias("n_keys"), F.max("ts").alias("last_ts"))
@@ -173,7 +182,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         sink_records, sink_graphite_normalize, sink_graphite_chunks, sink_influx_line, sink_influx_json, sink_opentsdb_tags, sink_cloudwatch_dims, sink_http_json,
-        sink_ganglia_types, sink_ganglia_packets, sink_sources, sink_legacy_names, sink_measurements, sink_measurement_payloads, json_merge, binary_key_totals,
+        sink_ganglia_types, sink_ganglia_packets, sink_sources, sink_legacy_names, sink_measurements, sink_measurement_payloads, json_merge, state_forms, binary_key_totals,
     )
 }
 
@@ -256,5 +265,6 @@ ORACLE_SQL = {
           round({_added('sum')}, 6) AS sum, round({_added('count')}, 6) AS count, round({_added('sumsqrt')}, 6) AS sumsqrt,
           {_extreme('min', 'least')} AS min, {_extreme('max', 'greatest')} AS max
         FROM o FULL OUTER JOIN n ON o.key = n.key""",
+    "state_forms": f"WITH {_ROWS}, {_STATE.format('state', 'IS NOT NULL')} SELECT * FROM (VALUES ('yaml'), ('marshal')) f(form), state",
     "binary_key_totals": f"WITH {_ROWS} SELECT type, value_type, count(*) AS n, count(DISTINCT key) AS n_keys, max(ts) AS last_ts FROM rows GROUP BY ALL",
 }

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from meterloom.config import EngineConfig
 from meterloom.functions import protocol
 from meterloom.operators import emit
-from meterloom.sinks import command, measurements, payloads, state_table
+from meterloom.sinks import command, marshal, measurements, payloads, state_table
 
 
 def recs(spark, *rows):
@@ -165,11 +165,40 @@ def test_command_sink(spark, tmp_path):
     assert len(out.read_bytes()) == 3 * 20 + 6
 
 
+def test_marshal_round_trip():
+    value = {"a": 1, "é": {"x": 1.5, "y": None, "z": True}, "n": [0, 1, 122, 123, 255, 256, -1, -123, -124, -256, -257, 65536, 2**30 - 1, -(2**30)], "big": 2**40, "neg": -(2**70), "inf": float("inf")}
+    value["n"] = {str(i): n for i, n in enumerate(value["n"])}
+    assert marshal.loads(marshal.dumps(value)) == value
+    # as the other side writes it: {"a" => 1}, {:s => 1.5, "t" => the same float again}
+    assert marshal.dumps({"a": 1}) == b'\x04\x08{\x06I"\x06a\x06:\x06ETi\x06'
+    assert marshal.dumps(300) == b"\x04\x08i\x02,\x01" and marshal.dumps(-129) == b"\x04\x08i\xff\x7f"
+    assert marshal.loads(b'\x04\x08{\x07:\x06sf\x081.5I"\x06t\x06:\x06ET@\x06') == {"s": 1.5, "t": 1.5}
+    with pytest.raises(ValueError):
+        marshal.loads(b"\x04\x08[\0")
+    with pytest.raises(ValueError):
+        marshal.loads(b"\x04\x08{\x06")
+
+
+def test_state_as_yaml_and_marshal(spark):
+    schema = "ts bigint, type int, value_type int, key string, value double"
+    rows = [(5, 3, 178, "t \"q\": {", 3.0), (5, 3, 133, "t \"q\": {", 0.25), (5, 3, 6, "t \"q\": {", 1.0), (6, 2, 1, "zähler", 7.5), (6, 1, 0, "k", -1e300)]
+    state = state_table.collect_state(spark.createDataFrame(rows, schema))
+    want = sorted(map(str, state.collect()))
+    lines = state_table.yaml_lines(state)
+    assert [r.value for r in lines.where("value like '%ähler%'").collect()] == ['"zähler": {"ts": 6, "type": "counter", "sum": 7.5}']
+    assert sorted(map(str, state_table.read_yaml_lines(lines).collect())) == want
+    packed = state_table.marshal_payloads(state.coalesce(1), 2)
+    assert sorted(r.n for r in packed.collect()) == [1, 2]
+    assert sorted(map(str, state_table.read_marshal(packed).collect())) == want
+    assert marshal.loads(bytes(state_table.marshal_payloads(state.where("key = 't \"q\": {'")).first().payload)) == {"t \"q\": {": {"ts": 5, "type": "timer", "min": 1.0, "P05": 0.25, "P50": 3.0}}
+    assert state_table.read_marshal(state_table.marshal_payloads(state.limit(0))).count() == 0
+
+
 def test_state_versions(spark, tmp_path):
     schema = "ts bigint, type int, value_type int, key string, value double"
     path = str(tmp_path / "state")
     assert state_table.load_state(spark, path) is None
-    for kind in ("json", "parquet"):
+    for kind in ("json", "parquet", "yaml"):
         where = f"{path}-{kind}"
         for ts, v in ((1, 5.0), (2, 7.0)):
             new = state_table.collect_state(spark.createDataFrame([(ts, 2, 1, "c", v), (ts, 3, 178, "t", v)], schema))
