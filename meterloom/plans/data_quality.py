@@ -83,6 +83,11 @@ def p5_reasons(spark: SparkSession, d: str) -> DataFrame:
     return _flags(spark, d)
 
 
+def p5_limits_and_frozen(spark: SparkSession, d: str) -> DataFrame:
+    """The implausible records whose reason SQL can tell: values that cannot occur, and frozen stretches."""
+    return _flags(spark, d).where("reason <> 'spike'")
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_grid": p2_grid,
@@ -93,6 +98,7 @@ QUERIES = {
     "p4_loaded": p4_loaded,
     "p5_found": p5_found,
     "p5_reasons": p5_reasons,
+    "p5_limits_and_frozen": p5_limits_and_frozen,
 }
 
 _READINGS = """
@@ -169,6 +175,16 @@ ORACLE_SQL = {
     "p2_grid": f"""WITH {_READINGS}
       SELECT key, slot_no * 60 AS slot, val, n, false AS gap FROM slots
       UNION ALL SELECT key, slot_no * 60 AS slot, val, CAST(0 AS BIGINT) AS n, true AS gap FROM gaps""",
+    "p5_limits_and_frozen": f"""WITH {_READINGS},
+      once AS (SELECT DISTINCT key, ts, val FROM readings),
+      marked AS (SELECT *, CASE WHEN val = lag(val) OVER (PARTITION BY key ORDER BY ts, val) THEN 0 ELSE 1 END AS new FROM once),
+      numbered AS (SELECT *, sum(new) OVER (PARTITION BY key ORDER BY ts, val) AS run FROM marked),
+      sized AS (SELECT *, count(*) OVER (PARTITION BY key, run) AS n FROM numbered),
+      sources AS (SELECT key, count(*) FILTER (n < 12) AS rest, count(DISTINCT run) FILTER (n < 12) AS changes FROM sized GROUP BY key),
+      judged AS (
+        SELECT s.key, s.ts, s.val, CASE WHEN s.val < k.low OR s.val > k.high THEN 'limit' WHEN n >= 12 AND rest >= 12 AND rest - changes <= 0.2 * rest THEN 'frozen' END AS reason
+        FROM sized s JOIN sources USING (key) LEFT JOIN gauge_kinds k ON k.kind = split_part(s.key, '.', -1))
+      SELECT r.rec_id, j.reason FROM readings r JOIN judged j ON r.key = j.key AND r.ts = j.ts AND r.val = j.val WHERE j.reason IS NOT NULL""",
     "p3_found": " UNION ALL ".join(
         f"""SELECT '{t}' AS src, {k} AS hot_key FROM {t} WHERE {k} IS NOT NULL GROUP BY {k}
             HAVING count(*) >= 0.03 * (SELECT count(*) FROM {t})"""

@@ -95,8 +95,20 @@ def timer_quantiles(spark: SparkSession, d: str) -> DataFrame:
 
 
 def timer_quantiles_approx(spark: SparkSession, d: str) -> DataFrame:
-    """With the accuracy that timer_eps asks for: within eps of the rank, not equal to the exact quantile."""
-    return agg.timers(events_as(spark, d, "ms"), EngineConfig()).select("name", "quantiles")
+    """The quantiles of default accuracy that lie within timer_eps of their rank."""
+    cfg, x = EngineConfig(), events_as(spark, d, "ms")
+    return _near_their_rank(x, agg.timers(x, cfg), cfg)
+
+
+def _near_their_rank(samples: DataFrame, found: DataFrame, cfg: EngineConfig) -> DataFrame:
+    """(name, stat): the quantiles of timers that are within timer_eps of their rank, or one rank."""
+    x = samples.where("type = 'ms' and name is not null and value is not null and not isnan(value)")
+    x = x.join(found.select("name", F.posexplode("quantiles").alias("i", "found")), "name")
+    ranks = x.groupBy("name", "i").agg(F.count_if(F.col("value") < F.col("found")).alias("below"), F.count_if(F.col("value") <= F.col("found")).alias("upto"), F.count(F.lit(1)).alias("n"))
+    rank = F.ceil(F.element_at(F.array(*map(F.lit, cfg.quantiles)), F.col("i") + 1) * F.col("n"))
+    slack = F.greatest(F.lit(1.0), cfg.timer_eps * F.col("n"))
+    near = ranks.where((F.col("below") + 1 <= rank + slack) & (F.col("upto") >= rank - slack))
+    return near.select("name", F.concat(F.lit("q"), F.col("i").cast("string")).alias("stat"))
 
 
 def timer_histogram(spark: SparkSession, d: str) -> DataFrame:
@@ -280,14 +292,8 @@ def flush_within_bound(spark: SparkSession, d: str) -> DataFrame:
     got = agg.scalars(messages, cfg)
     sets = got.where("type = 's'").join(agg.sets(messages, cfg, exact=True).withColumnRenamed("members", "exact"), "name")
     sets = sets.where(F.abs(F.col("members") - F.col("exact")) <= 3 * cfg.set_eps * F.col("exact")).select("type", "name", F.lit("members").alias("stat"))
-    timers = messages.where("type = 'ms' and name is not null and value is not null and not isnan(value)").join(
-        got.where("type = 'ms'").select("name", F.posexplode("quantiles").alias("i", "found")), "name"
-    )
-    ranks = timers.groupBy("name", "i").agg(F.count_if(F.col("value") < F.col("found")).alias("below"), F.count_if(F.col("value") <= F.col("found")).alias("upto"), F.count(F.lit(1)).alias("n"))
-    rank = F.ceil(F.element_at(F.array(*map(F.lit, cfg.quantiles)), F.col("i") + 1) * F.col("n"))
-    slack = F.greatest(F.lit(1.0), cfg.timer_eps * F.col("n"))
-    near = ranks.where((F.col("below") + 1 <= rank + slack) & (F.col("upto") >= rank - slack))
-    return sets.unionByName(near.select(F.lit("ms").alias("type"), "name", F.concat(F.lit("q"), F.col("i").cast("string")).alias("stat")))
+    near = _near_their_rank(messages, got.where("type = 'ms'"), cfg)
+    return sets.unionByName(near.select(F.lit("ms").alias("type"), "name", "stat"))
 
 
 def input_counter_messages(spark: SparkSession, d: str) -> DataFrame:
@@ -492,6 +498,7 @@ ORACLE_SQL = {
     "timer_stats": f"""SELECT name, {_TIMER_SQL.format(s=3, sq='round(sum(value * value), 1) AS sum_sq,', m=6)}, round(sum(value) / 10.0, 3) AS rate,
         round(sum(CAST(floor(1.0 / sample_rate) AS BIGINT)) / 10.0, 3) AS sample_rate FROM ({_EVENT_RATED}) AS t GROUP BY name""",
     "timer_quantiles": "SELECT event_type AS name, " + ", ".join(f"quantile_disc(value, {q}) AS {n}" for n, q in _Q) + ", quantile_disc(value, 0.5) AS median FROM events GROUP BY 1",
+    "timer_quantiles_approx": "SELECT name, 'q' || i AS stat FROM (SELECT DISTINCT event_type AS name FROM events), (VALUES (0), (1), (2)) AS q(i)",
     "timer_histogram": _hist_sql(HISTS[:1]),
     "timer_histogram_prefix": _hist_sql(HISTS),
     "timers_windowed": f"""SELECT CAST(floor(epoch(ts) / {WINDOW}) * {WINDOW} AS BIGINT) AS window_start, event_type AS name, round(sum(value), 3) AS sum, count(*) AS count,
