@@ -3,7 +3,8 @@
 Per source a robust exponentially weighted control chart follows level, scale and the far quantile of the deviations. A
 reading beyond the chart's bound is suspected; like every other it enters the update, but clipped to half the bound, so that
 a spike hardly moves level and scale. A suspected group of at most `spike_len` readings after which the source is back at
-the level it had before is a spike; a longer one is a change of level, from which the chart goes on. The chart is run in
+the level it had before, nearer to it than halfway, is a spike; a longer one is a change of level, from which the chart goes
+on, and one that lasts to the end is not seen to come back. The chart is run in
 both directions. A run-length counter finds frozen stretches, limits of the kind find values that cannot occur.
 
 A source of at most `shard_rows` records is judged whole, its records shuffled once. Larger ones are cut into shards of
@@ -94,7 +95,8 @@ def chart(v: np.ndarray, p: ChartParams, frozen: np.ndarray) -> np.ndarray:
         e = x - level
         dev = abs(e)
         if pending:
-            if abs(x - before[0]) <= before[1]:
+            # back is near the former level, and no more than halfway to the nearest of the suspected
+            if abs(x - before[0]) <= before[1] and all(abs(x - before[0]) <= 0.5 * abs(vals[j] - before[0]) for j in pending):
                 out[pending] = True
                 pending = []
             elif len(pending) < p.spike_len:
@@ -143,6 +145,9 @@ def judge(v: np.ndarray, low: float, high: float, p: ChartParams, frozen: np.nda
     frozen = frozen_runs(v, p) if frozen is None else frozen
     seen = np.where(limit, np.inf, v) if limit.any() else v
     spike = chart(seen, p, frozen) | chart(seen[::-1], p, frozen[::-1])[::-1]
+    if spike.any():
+        # what lasts to the end is not seen to come back
+        spike[np.flatnonzero(~spike).max(initial=-1) + 1 :] = False
     return np.where(limit, 1, np.where(frozen, 2, np.where(spike, 3, 0)))
 
 

@@ -302,3 +302,17 @@ def test_clipped_values_hardly_move_the_chart():
     # two spikes close together are both seen
     v[306] -= 400
     assert np.flatnonzero(codes(v)).tolist() == [300, 301, 302, 306]
+
+
+def test_what_does_not_come_back_is_no_spike():
+    v = wave(300)
+    v[-2:] += 80
+    assert not any(codes(v))
+    # down to a new level by way of a deeper reading
+    v = wave(300)
+    v[150:] -= 40
+    v[150] -= 15
+    assert not any(codes(v))
+    v = wave(300)
+    v[0] += 80
+    assert np.flatnonzero(codes(v)).tolist() == [0]
