@@ -412,19 +412,20 @@ def restore(documents: DataFrame, params: EncodingParams = EncodingParams()) ->
     """(doc_id, restored_text, n_restored, n_left): affected messages, transfer encodings undone, damaged words replaced.
 
     Up to `shipped_fixes` different damaged words, every worker holds them all and texts stay where they are read; beyond,
-    every document is sent the fixes of its own words. The rows are the same.
+    every text is sent the fixes of its own words, by its hash, as copies have them in common. The rows are the same.
     """
     schema = "doc_id bigint, restored_text string, n_restored bigint, n_left bigint"
     names, types = ["doc_id", "restored_text", "n_restored", "n_left"], [pa.int64(), pa.string(), pa.int64(), pa.int64()]
-    pairs = kept(words_per_document(documents), "words")
+    code = F.xxhash64("text").alias("_code")
+    pairs = kept(words_per_document(documents.select(code.alias("doc_id"), "text")), "words")
     bad = kept(damaged_words(vocabulary(pairs), params), "damaged")
-    rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", code)
     shipped = None
     if bad.count() <= params.shipped_fixes:
         shipped = documents.sparkSession.sparkContext.broadcast({r.word: r.restored for r in bad.collect()})
     else:
-        fixes = pairs.join(bad, "word").groupBy("doc_id").agg(F.collect_set(F.struct("word", "restored")).alias("fixes"))
-        rows = rows.join(fixes, rows["doc_id"].eqNullSafe(fixes["doc_id"])).select(rows["doc_id"], "text", "fixes")
+        fixes = pairs.join(bad, "word").groupBy(F.col("doc_id").alias("_code")).agg(F.collect_set(F.struct("word", "restored")).alias("fixes"))
+        rows = rows.join(fixes, "_code").select("doc_id", "text", "fixes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
