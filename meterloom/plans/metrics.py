@@ -218,6 +218,26 @@ def _pack_message(*columns: str) -> Column:
     return pack(*columns)
 
 
+def binary_message_types(spark: SparkSession, d: str) -> DataFrame:
+    """Binary messages of every type made of events, framed back into samples."""
+
+    @F.pandas_udf(T.BinaryType())
+    def pack(no: pd.Series, name: pd.Series, value: pd.Series, member: pd.Series) -> pd.Series:
+        kinds = list(binary.MESSAGE_TYPES)
+        packed = (binary.write_set(n, m) if i % 6 == 3 else binary.write_number(kinds[i % 6], n, v) for i, n, v, m in zip(no, name, value, member))
+        return pd.Series(list(packed), dtype="object")
+
+    rows = table(spark, d, "events").where("event_type is not null and value is not null and user_id is not null")
+    chunks = rows.select(F.col("event_id").alias("chunk_no"), pack("event_id", "event_type", "value", F.col("user_id").cast("string")).alias("data"))
+    return binary.parse_chunks(chunks).select(F.col("chunk_no").alias("seq"), "type", "name", "value", "member")
+
+
+def timers_chosen(spark: SparkSession, d: str) -> DataFrame:
+    """A flush of some statistics only, with quantiles whose labels round half to even and beyond 99."""
+    cfg = replace(CFG, timers_include=frozenset({"mean", "upper", "count"}), quantiles=(0.125, 0.995))
+    return emit.flush(events_as(spark, d, "ms"), cfg, F.lit(0)).select("key", r("value", 6).alias("value"))
+
+
 # ---- tokenised messages
 
 
@@ -347,7 +367,7 @@ QUERIES = {
     for f in (
         flush_messages, flush_messages_sketched, flush_within_bound, input_counter_messages, condensed_messages, binary_round_trip_all, counter_sum, counter_rate, counter_sampled, counter_extended, counter_extended_nonlegacy, timer_stats, timer_quantiles,
         timer_quantiles_approx, timer_histogram, timer_histogram_prefix, timers_windowed, lineitem_timers, gauge_last, gauge_delta, kv_passthrough,
-        set_exact, set_hybrid_small, set_hll, set_hll_within_bound, input_counter, flush_all_types, flush_text, binary_round_trip, binary_messages,
+        set_exact, set_hybrid_small, set_hll, set_hll_within_bound, input_counter, flush_all_types, flush_text, binary_round_trip, binary_messages, binary_message_types, timers_chosen,
         parse_lines, parse_numbers, message_counters, message_timers, message_gauges, message_sets, message_histograms, replay_counters,
         counter_few_keys, set_few_keys, set_few_keys_sketch,
     )
@@ -532,6 +552,12 @@ ORACLE_SQL = {
          for t, c, e in [(2, 4, "count(*)"), (2, 11, "sum(value) / 10"), *[(3, i + 1, e) for i, (_, e) in enumerate((_STATS[0], _STATS[1], _STATS[2], _STATS[5], _STATS[6], _STATS[3], _STATS[4]))],
                          (3, 11, "sum(value) / 10"), (3, 12, "count(*) / 10.0"), *[(3, 128 | int(q * 100), f"quantile_disc(value, {q})") for _, q in _Q]]]
     ),
+    "binary_message_types": """SELECT event_id AS seq, ['kv', 'c', 'ms', 's', 'g', 'gd'][event_id % 6 + 1] AS type, event_type AS name, CASE WHEN event_id % 6 <> 3 THEN value END AS value,
+        CASE WHEN event_id % 6 = 3 THEN CAST(user_id AS VARCHAR) END AS member FROM events WHERE event_type IS NOT NULL AND value IS NOT NULL AND user_id IS NOT NULL""",
+    "timers_chosen": " UNION ALL ".join(
+        f"SELECT 'timers.' || event_type || '.{n}' AS key, round(CAST({e} AS DOUBLE), 6) AS value FROM events GROUP BY event_type"
+        for n, e in (("mean", "avg(value)"), ("upper", "max(value)"), ("count", "count(*)"), ("p12", "quantile_disc(value, 0.125)"), ("p100", "quantile_disc(value, 0.995)"))
+    ),
     "binary_messages": "SELECT event_type AS name, round(sum(value), 3) AS sum, count(*) AS count FROM events GROUP BY 1",
     "parse_numbers": f"SELECT seq, {_num('value')} AS number FROM ascii_parser WHERE type <> 's'",
     "parse_lines": f"""WITH lines AS (
