@@ -187,6 +187,9 @@ class Channel:
             # every pass makes the word shorter
             top, top_score = now, score
             for table in self.to_bytes.values():
+                # without an edge that reads UTF-8 the word as it stands is the only path
+                if not any(c > "\x7f" and self._decoded(now, i, table) for i, c in enumerate(now)):
+                    continue
                 w, s = self.viterbi(now, table)[0]
                 if w != now and s > top_score:
                     top, top_score = w, s
@@ -196,6 +199,8 @@ class Channel:
 
     def patterns(self, word: str) -> list[str]:
         """The word with a * for what was lost, by the best paths with wildcards that keep some ASCII letter."""
+        if not any(c == LOST or c in LEADS or C1.match(c) for c in word):
+            return []
         out = {self.viterbi(word, self.to_bytes["cp1252"])[1][0]}
         return sorted(x for x in out if re.search("[A-Za-z]", x))
 
