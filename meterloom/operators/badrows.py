@@ -171,34 +171,54 @@ def _typed(row_id: pa.Array, name: pa.Array, value: pa.Array, kind: pa.Array, ra
     return pa.RecordBatch.from_arrays([row_id, pa.nulls(n, pa.string()), name, kind, pa.array(spread, mask=sets), member, factor], schema=_OUT)
 
 
-def bisect(n: int, misshapen: np.ndarray, parse: Callable[[int, int], object], block: int) -> tuple[list, list[int]]:
-    """(what `parse` made of the blocks that pass, the records that fail) of n records.
+def bisect(n: int, misshapen: np.ndarray, parse: Callable[[np.ndarray], object], block: int) -> tuple[list, list[int]]:
+    """(what `parse` made of the records that pass, the records that fail) of n records, block by block.
 
-    parse(a, b) gives None where any record from a to b fails.
+    parse(places) gives None where any record fails. Failing blocks are halved down to the record: first by the running sums,
+    then, where what has the right shape still fails as a whole, by parsing it again.
     """
     good: list = []
     bad: list[int] = []
 
-    def halve(a: int, b: int) -> None:
-        if a == b:
-            return
+    def by_shape(a: int, b: int, fine: list[np.ndarray]) -> None:
         if misshapen[a] == misshapen[b]:
-            parsed = parse(a, b)
-            if parsed is not None:
-                good.append(parsed)
-                return
-        if b - a == 1:
+            fine.append(np.arange(a, b))
+        elif b - a == 1:
             bad.append(a)
+        else:
+            half = (a + b) // 2
+            by_shape(a, half, fine)
+            by_shape(half, b, fine)
+
+    def by_parsing(places: np.ndarray) -> None:
+        if not len(places):
             return
-        half = (a + b) // 2
-        halve(a, half)
-        halve(half, b)
+        parsed = parse(places)
+        if parsed is not None:
+            good.append(parsed)
+        elif len(places) == 1:
+            bad.append(int(places[0]))
+        else:
+            half = len(places) // 2
+            by_parsing(places[:half])
+            by_parsing(places[half:])
 
     for a in range(0, n, block):
-        halve(a, min(n, a + block))
+        fine: list[np.ndarray] = []
+        by_shape(a, min(n, a + block), fine)
+        by_parsing(np.concatenate(fine) if fine else np.arange(0))
     return good, bad
 
 
+def _at(columns: list[pa.Array], places: np.ndarray) -> list[pa.Array]:
+    """The records at ascending places; without a copy where none between is left out."""
+    first, n = int(places[0]), len(places)
+    if int(places[-1]) - first + 1 == n:
+        return [c.slice(first, n) for c in columns]
+    index = pa.array(places)
+    return [c.take(index) for c in columns]
+
+
 def _rows_of(good: list[pa.RecordBatch], judged: list[tuple]) -> list[pa.RecordBatch]:
     if judged:
         good = [*good, pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*judged), _OUT)], schema=_OUT)]
@@ -209,7 +229,7 @@ def judge_messages(b: pa.RecordBatch, block: int) -> list[pa.RecordBatch]:
     """Typed rows and diagnosed ones of tokenised messages (row_id, name, value, type, rate)."""
     row_id, name, value, kind, rate = b.columns
     wrong = _misshapen(_joined(name, value, kind, rate), _RECORD)
-    good, bad = bisect(b.num_rows, wrong, lambda i, j: _typed(*[c.slice(i, j - i) for c in b.columns]), block)
+    good, bad = bisect(b.num_rows, wrong, lambda places: _typed(*_at(b.columns, places)), block)
     return _rows_of(good, [_strict(*(c[i].as_py() for c in b.columns)) for i in bad])
 
 
@@ -238,20 +258,20 @@ def judge_lines(b: pa.RecordBatch, block: int) -> list[pa.RecordBatch]:
     """Typed rows and diagnosed ones of spool lines (row_id, line)."""
     row_id, line = b.columns
 
-    def parse(i: int, j: int) -> tuple | None:
-        fields = _fields(line.slice(i, j - i))
-        return fields and (i, j, *fields)
+    def parse(places: np.ndarray) -> tuple | None:
+        fields = _fields(_at([line], places)[0])
+        return fields and (places, *fields)
 
     read, bad = bisect(b.num_rows, _misshapen(line, _LINE), parse, block)
     good: list[pa.RecordBatch] = []
     judged = [_strict_line(row_id[i].as_py(), line[i].as_py()) for i in bad]
     if read:
-        at = pa.array(np.concatenate([np.arange(i, j) for i, j, *_ in read]))
-        name, value, kind, rate = (pa.chunked_array(c).combine_chunks() for c in zip(*[r[2:] for r in read]))
+        at = pa.array(np.concatenate([r[0] for r in read]))
+        name, value, kind, rate = (pa.chunked_array(c).combine_chunks() for c in zip(*[r[1:] for r in read]))
         rate = pc.if_else(pc.equal(rate, ""), pa.scalar(None, pa.string()), rate)
         cols = [row_id.take(at), name, value, kind, rate]
         wrong = _misshapen(_joined(name, value, kind, rate), _RECORD)
-        good, bad = bisect(len(at), wrong, lambda i, j: _typed(*[c.slice(i, j - i) for c in cols]), block)
+        good, bad = bisect(len(at), wrong, lambda places: _typed(*_at(cols, places)), block)
         judged += [_strict(*(c[i].as_py() for c in cols)) for i in bad]
     return _rows_of(good, judged)
 
@@ -264,13 +284,13 @@ def _parse(df: DataFrame, judge: Callable, block: int) -> DataFrame:
     return df.mapInArrow(run, OUT_SCHEMA)
 
 
-def parse_messages(df: DataFrame, row_id: str = "seq", block: int = 1024) -> DataFrame:
+def parse_messages(df: DataFrame, row_id: str = "seq", block: int = 4096) -> DataFrame:
     """Judge tokenised messages (name, value, type, samplerate); one row each, reason null where valid."""
     fields = df.select(F.col(row_id).cast("bigint").alias("row_id"), "name", "value", "type", "samplerate")
     return _parse(fields, judge_messages, block)
 
 
-def parse_spool(df: DataFrame, row_id: str = "line_id", line: str = "line", block: int = 1024) -> DataFrame:
+def parse_spool(df: DataFrame, row_id: str = "line_id", line: str = "line", block: int = 4096) -> DataFrame:
     """Judge spool lines `second,name,value,type,samplerate`; one row each, reason null where valid."""
     return _parse(df.select(F.col(row_id).cast("bigint").alias("row_id"), F.col(line).alias("line")), judge_lines, block)
 
