@@ -113,8 +113,8 @@ def histograms(samples: DataFrame, cfg: EngineConfig, by: tuple[str, ...] = ())
     """(name, bin, label, count): every bin of every timer that a configured prefix matches, empty ones too."""
     hists = cfg.histograms
     if not hists:
-        empty = samples.sparkSession.createDataFrame([], "name string, bin int, label string, count bigint")
-        return empty if not by else samples.select(*by).limit(0).crossJoin(empty)
+        kinds = {"name": "string", "bin": "int", "label": "string", "count": "bigint"}
+        return samples.limit(0).select(*by, *[F.lit(None).cast(t).alias(c) for c, t in kinds.items()])
     x = _timer_rows(samples).withColumn("bin", longest_prefix(F.col("name"), hists, _bin)).where("bin is not null")
     counted = x.groupBy(*by, "name", "bin").agg(F.count(F.lit(1)).alias("count"))
     # at most MAX_BINS entries a name
