@@ -141,3 +141,52 @@ def test_one_byte_damage_in_many_quotes(spark):
     _, found = find(spark, [*base, *quotes])
     assert {d for d, _ in found} == set(range(n, n + len(quotes)))
     assert set(found.values()) == {"naïve"}
+
+
+ALPHABETS = {
+    "fr": ("bcdflmnprstv", "aeioué", "éèêàçôîû"), "de": ("bdfghklmnrst", "aeiouü", "äöüß"), "es": ("bcdlmnprst", "aeioó", "ñáíóú"),
+    "pl": ("bcdkmnprswz", "aeioyó", "łśćżźąęó"), "ru": ("бвгдклмнпрст", "аеиоуы", "ъьэюяж"), "el": ("βγδκλμνπρστ", "αεηιοω", "άέήίόώ"),
+}
+#: Bytes of what text, taken for what.
+DAMAGES = [("utf-8", e) for e in ("cp1252", "cp1251", "cp437", "cp850", "mac_roman", "iso8859_2")] + [("cp1252", "mac_roman"), ("cp1252", "cp437"), ("cp1252", "cp850"), ("mac_roman", "cp1252"), ("cp1251", "cp1252"), ("koi8_r", "cp1251")]
+
+
+def generated_words(rnd, alphabet, n=40):
+    c, v, extra = ALPHABETS[alphabet]
+    words = []
+    for _ in range(n):
+        w = "".join(rnd.choice(c) + rnd.choice(v) for _ in range(rnd.randrange(2, 4)))
+        at = rnd.randrange(1, len(w) + 1)
+        words.append(w[:at] + rnd.choice(extra) + w[at:])
+    return words
+
+
+def test_held_out_damage_of_a_generated_corpus(spark):
+    """Words, texts and damages are drawn anew: recall and precision by message, and the share of words restored exactly."""
+    rnd = random.Random(77)
+    words = {a: generated_words(rnd, a) for a in ALPHABETS}
+    rank = [1 / (i + 1) for i in range(40)]
+    texts, bad, originals = [], set(), {}
+    for i in range(2400):
+        a = rnd.choice(sorted(words))
+        lines = [" and ".join(rnd.choices(words[a], rank, k=5)) for _ in range(4)]
+        if i % 10 == 0:
+            was, taken = rnd.choice(DAMAGES)
+            n = rnd.randrange(4)
+            try:
+                damaged = wrong(lines[n], taken, was)
+            except UnicodeEncodeError:
+                was, taken = "utf-8", "cp1252"
+                damaged = wrong(lines[n], taken, was)
+            if i % 40 == 0:
+                damaged = "".join("\ufffd" if c > "\x7f" and rnd.random() < 0.3 else c for c in lines[n])
+            if damaged != lines[n]:
+                bad.add(i)
+                originals[i] = lines[n]
+                lines[n] = damaged
+        texts.append("\n".join(lines))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    found = {r.doc_id: r.restored_text for r in enc.restore(df).collect()}
+    recall, precision = len(bad & set(found)) / len(bad), len(bad & set(found)) / len(found)
+    right = sum(originals[i] in found[i].split("\n") for i in bad & set(found)) / len(bad)
+    assert recall >= 0.97 and precision >= 0.97 and right >= 0.8, (recall, precision, right)
