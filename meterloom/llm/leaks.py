@@ -203,7 +203,16 @@ class ItemIndex:
         for t in terms:
             counts[t] += 1
         size = self.p.block_items
-        lists = [[self.postings[t], 0, float(self.term_max[t]) * c, t, c] for t, c in counts.items()]
+        lists = []
+        # terms of one item only, which nearly all are, make one list an item
+        alone: dict[int, float] = defaultdict(float)
+        for t, c in counts.items():
+            row = self.postings[t]
+            if len(row) == 1:
+                alone[row[0][0]] += row[0][1] * c
+            else:
+                lists.append([row, 0, float(self.term_max[t]) * c, t, c])
+        lists += [[[(k, w)], 0, w, -1, 1] for k, w in alone.items()]
         found = []
         while True:
             lists = [x for x in lists if x[1] < len(x[0])]
@@ -219,7 +228,7 @@ class ItemIndex:
             if pivot < 0:
                 return found
             block = pivot // size
-            in_block = sum(self._block_max(x[3], block) * x[4] for x in lists[: i + 1])
+            in_block = sum(self._block_max(x[3], block) * x[4] if x[3] >= 0 else x[2] if x[0][0][0] // size == block else 0.0 for x in lists[: i + 1])
             if in_block < self.threshold:
                 # nothing in this block for these lists: on to the next block, or to the next list's item if nearer
                 to = (block + 1) * size
@@ -297,9 +306,11 @@ class ItemIndex:
                 break
             most = int(share * len(passage))
             if share < 0.33:
-                # so the triples within reach bound the words of a stretch and its edits
+                # so the triples within reach, by place and by shift, bound the words of a stretch and its edits
                 far = len(passage) + most
-                shared = bisect_right(places, a + n + far) - bisect_left(places, a - far)
+                if bisect_right(places, a + n + far) - bisect_left(places, a - far) < least:
+                    continue
+                shared = sum(-far <= x - a <= n + far and abs(x - y - a + j) <= most for x, y in pairs)
                 if shared < least:
                     continue
                 most = min(most, int(share * (shared + 6) / (1 - 3 * share)))
@@ -336,22 +347,27 @@ class ItemIndex:
         """
         rows = len(words) - a if step > 0 else a + 1
         cols = len(passage) - j if step > 0 else j + 1
-        far: dict[int, int] = {}  # shift: words of the passage behind the furthest point
+        # by shift, how many words of the passage lie behind the furthest point; -2 where there is none
+        mid, none = most + 1, [-2] * (2 * most + 3)
+        far = none
         out: list[tuple[int, int]] = [(0, 0)]
         top = gain = 0
         for e in range(most + 1):
-            now: dict[int, int] = {}
+            now = none.copy()
             ends = []
             for d in range(-e, e + 1):
-                x = max(far.get(d, -2) + 1, far.get(d - 1, -2), far.get(d + 1, -2) + 1) if e else 0
-                x = min(x, cols, rows - d)
+                i = mid + d
+                x = max(far[i] + 1, far[i - 1], far[i + 1] + 1) if e else 0
+                last = min(cols, rows - d)
+                if x > last:
+                    x = last
                 if x < 0 or x + d < 0:
                     continue
-                while x < cols and x + d < rows and words[a + step * (x + d)] == passage[j + step * x]:
+                while x < last and words[a + step * (x + d)] == passage[j + step * x]:
                     x += 1
-                now[d] = x
+                now[i] = x
                 # points behind the last round's cost one edit less
-                y, old = x, max(top, far.get(d, 0), -d)
+                y, old = x, max(top, far[i], -d)
                 while y > old and words[a + step * (y - 1 + d)] != passage[j + step * (y - 1)]:
                     y -= 1
                 if y > old and max(y, y + d) - 2 * e >= gain:
