@@ -99,23 +99,29 @@ def fitness(rooms: list[int], capacity: int) -> float:
     return float((f * f).mean()) if len(f) else 1.0
 
 
-def crossover(a: list[list[int]], b: list[list[int]], sizes: list[int], p: PackParams, rnd: random.Random) -> tuple[list[list[int]], list[int]]:
+Genome = tuple[list[list[int]], list[int]]  # containers, and the room that each has left
+
+
+def with_rooms(bins: list[list[int]], sizes: list[int], p: PackParams) -> Genome:
+    return bins, [p.capacity - sum(sizes[i] for i in x) for x in bins]
+
+
+def crossover(a: Genome, b: Genome, sizes: list[int], p: PackParams, rnd: random.Random) -> Genome:
     """A child of a: some well-filled containers of b whole, a's containers without their items, the rest by best fit."""
-    least = p.well_filled * p.capacity
-    good = [x for x in b if sum(sizes[i] for i in x) >= least]
-    if not good:
-        good = b
+    most = (1 - p.well_filled) * p.capacity
+    good = [k for k, room in enumerate(b[1]) if room <= most] or list(range(len(b[0])))
     take = rnd.sample(good, max(1, len(good) // 2)) if len(good) > 1 else good
-    inside = {i for x in take for i in x}
-    child = [list(x) for x in take]
+    child = [list(b[0][k]) for k in take]
+    rooms = [b[1][k] for k in take]
+    inside = {i for x in child for i in x}
     displaced: list[int] = []
-    for x in a:
+    for x, room in zip(*a):
         if inside.isdisjoint(x):
             child.append(list(x))
+            rooms.append(room)
         else:
             displaced += [i for i in x if i not in inside]
     # also empties a few of the worst containers, so that the displaced items have room to recombine
-    rooms = [p.capacity - sum(sizes[i] for i in x) for x in child]
     worst = sorted(range(len(child)), key=lambda i: -rooms[i])[: 1 + len(child) // 50]
     for i in sorted(worst, reverse=True):
         displaced += child.pop(i)
@@ -144,26 +150,26 @@ def evolve(sizes: list[int], genomes: list[bytes], p: PackParams, seed: int) ->
     """One round on one island: the population, best first, and the best fitness."""
     rnd = random.Random(seed)
     n = len(sizes)
-    pool: list[tuple[float, list[list[int]]]] = []
+    pool: list[tuple[float, Genome]] = []
     for g in genomes:
-        bins = decode(g)
-        pool.append((fitness([p.capacity - sum(sizes[i] for i in x) for x in bins], p.capacity), bins))
+        whole = with_rooms(decode(g), sizes, p)
+        pool.append((fitness(whole[1], p.capacity), whole))
     while len(pool) < p.population:
         # decreasing order, loosened by a random factor that differs from genome to genome
         loose = 0.0 if not pool else rnd.choice((0.05, 0.2, 0.6))
         order = sorted(range(n), key=lambda i: -sizes[i] * (1 + loose * rnd.random()))
         bins, rooms = [], []
         best_fit(order, sizes, bins, rooms, p.capacity)
-        pool.append((fitness(rooms, p.capacity), bins))
+        pool.append((fitness(rooms, p.capacity), (bins, rooms)))
     for _ in range(p.children):
         a, b = rnd.sample(range(len(pool)), 2)
-        child, rooms = crossover(pool[a][1], pool[b][1], sizes, p, rnd)
-        f = fitness(rooms, p.capacity)
+        child = crossover(pool[a][1], pool[b][1], sizes, p, rnd)
+        f = fitness(child[1], p.capacity)
         worst = min(range(len(pool)), key=lambda i: pool[i][0])
         if f > pool[worst][0]:
             pool[worst] = (f, child)
     pool.sort(key=lambda x: -x[0])
-    return [encode(x, n) for _, x in pool[: p.population]], pool[0][0]
+    return [encode(bins, n) for _, (bins, _) in pool[: p.population]], pool[0][0]
 
 
 # ---- on DataFrames

@@ -23,7 +23,7 @@ def test_operators_keep_every_item_once():
         rooms = []
         packing.best_fit(order, sizes, bins, rooms, p.capacity)
         assert rooms == [p.capacity - f for f in fills(bins, sizes)]
-    child, rooms = packing.crossover(a, b, sizes, p, rnd)
+    child, rooms = packing.crossover(packing.with_rooms(a, sizes, p), packing.with_rooms(b, sizes, p), sizes, p, rnd)
     assert sorted(i for x in child for i in x) == list(range(len(sizes)))
     assert max(fills(child, sizes)) <= p.capacity and rooms == [p.capacity - f for f in fills(child, sizes)]
     assert sorted(map(sorted, packing.decode(packing.encode(child, len(sizes))))) == sorted(map(sorted, child))
