@@ -185,6 +185,7 @@ def metric_type(value: Column) -> Column:
 
 #: Slopes by code; fixed values of the packet format.
 SLOPES = {"zero": 0, "positive": 1, "negative": 2, "both": 3, "unspecified": 4}
+#: Kinds of packets; fixed values of the format, as is the order of their fields below.
 _META, _DATA = 128, 133
 
 
