@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 DIMS = ("site", "platform", "what")
 WORD_BITS = 64
-#: Half of 63 bits: the hash can't tell more identifiers apart, whatever the size of a bitmap.
+#: The largest power of two that bit numbers of 63 bits allow; the hash tells no more identifiers apart anyway.
 MOST_BITS = 1 << 62
 DEVIATIONS, COLLISIONS = 5.0, 3.0
 
